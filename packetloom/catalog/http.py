@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from packetloom.catalog.registry import query
 from packetloom.operators import content, injection, pairing, parameters, webshell
-from packetloom.operators.ordered import lead, scan
 from packetloom.plans import pages
 from packetloom.views import table, view
 
@@ -395,7 +394,7 @@ def _(spark, sf):
     "form_posts",
 )
 def _(spark, sf):
-    rows = pages.with_repeats(injection.mark_duplicates(webshell.webshell_events(view(spark, sf, "form_posts"))))
+    rows = injection.mark_duplicates(webshell.webshell_events(view(spark, sf, "form_posts")))
     return rows.select("tx_id", "event_kind", F.col("duplicate_of").isNotNull().alias("is_duplicate"), "repeat_count")
 
 

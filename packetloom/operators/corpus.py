@@ -103,12 +103,14 @@ def scan_unknown(df: DataFrame, value: str, chunk: int = CHUNK) -> DataFrame:
     """Flag-like braces with an unknown word, and long mixed tokens."""
     keys = [c for c in df.columns if c != value]
     pieces = chunk_rows(df, value, chunk)
-    found = []
-    for kind, pattern in (("unknown-brace", BRACE), ("unknown-token", TOKEN)):
-        found.append(
-            F.transform(find_all(F.col("piece"), pattern), lambda hit, kind=kind: F.struct(
-                F.lit(kind).alias("kind"), hit["offset"].alias("offset"), hit["value"].alias("value")))
+
+    def found_as(kind: str, pattern: str) -> Column:
+        return F.transform(
+            find_all(F.col("piece"), pattern),
+            lambda hit: F.struct(F.lit(kind).alias("kind"), hit["offset"].alias("offset"), hit["value"].alias("value")),
         )
+
+    found = [found_as("unknown-brace", BRACE), found_as("unknown-token", TOKEN)]
     hits = pieces.select(*keys, "piece_base", "own_from", "own_to", F.explode(F.concat(*found)).alias("hit"))
     owned = hits.where("hit.offset >= own_from AND hit.offset < own_to").select(
         *keys, F.col("hit.kind").alias("kind"), (F.col("piece_base") + F.col("hit.offset")).alias("offset"), F.col("hit.value").alias("value")
@@ -148,20 +150,22 @@ def signature_hits(df: DataFrame, data: str) -> DataFrame:
     """Every position of every known file signature in a binary column."""
     keys = [c for c in df.columns if c != data]
     digits = F.hex(F.col(data))
-    found = []
-    for magic, name, _ in SIGNATURES:
+
+    def positions(magic: str, name: str) -> Column:
         # Lazy pairs keep the match on byte borders; what precedes a magic is consumed with it.
-        pieces = F.regexp_extract_all(digits, F.lit(f"\\G((?:..)*?){magic}"), F.lit(1))
-        steps = F.transform(pieces, lambda gap: F.length(gap))
+        gaps = F.transform(F.regexp_extract_all(digits, F.lit(f"\\G((?:..)*?){magic}"), F.lit(1)), lambda gap: F.length(gap))
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
-        width = len(magic)
 
-        def walk(state: Column, gap: Column, width: int = width) -> Column:
+        def walk(state: Column, gap: Column) -> Column:
             here = state["at"] + gap
-            return F.struct((here + width).cast("int").alias("at"), F.concat(state["hits"], F.array((here / 2).cast("int"))).alias("hits"))
+            return F.struct(
+                (here + len(magic)).cast("int").alias("at"), F.concat(state["hits"], F.array((here / 2).cast("int"))).alias("hits")
+            )
+
+        offsets = F.aggregate(gaps, start, walk)["hits"]
+        return F.transform(offsets, lambda o: F.struct(F.lit(name).alias("format"), o.alias("offset")))
 
-        offsets = F.aggregate(steps, start, walk)["hits"]
-        found.append(F.transform(offsets, lambda o, name=name: F.struct(F.lit(name).alias("format"), o.alias("offset"))))
+    found = [positions(magic, name) for magic, name, _ in SIGNATURES]
     size = F.octet_length(F.col(data))
     hits = df.select(*keys, size.alias("byte_length"), F.col(data).alias("__data"), F.explode(F.concat(*found)).alias("hit"))
     located = hits.select(*keys, "byte_length", "__data", "hit.format", "hit.offset")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packetloom.functions.text import bounded_preview, stable_id
-from packetloom.operators.ordered import group_first, last_value, next_value, scan
+from packetloom.operators.ordered import group_first, group_sum, last_value, next_value, scan
 from packetloom.operators.parameters import form_fields, query_parameters, target_key, uri_path
 
 # Patterns of the signals and their weights.
@@ -144,10 +144,17 @@ def injection_events(params: DataFrame, preview_bytes: int = 256) -> DataFrame:
 
 
 def mark_duplicates(events: DataFrame, frame: str = "request_frame", event: str = "event_id") -> DataFrame:
-    """Earliest earlier event with the same meaning; events in the same frame do not repeat each other."""
+    """Earliest earlier event with the same meaning, and how often the meaning occurs.
+
+    Events in the same frame do not repeat each other.
+    """
     first = scan(
         events, ["capture_id", "detector", "semantic_key"], frame,
-        {"__first": group_first(F.struct(F.col(frame).alias("frame"), F.col(event).alias("id")))}, ties=[event],
+        {
+            "__first": group_first(F.struct(F.col(frame).alias("frame"), F.col(event).alias("id"))),
+            "repeat_count": group_sum(F.lit(1).cast("long")),
+        },
+        ties=[event],
     )
     return first.withColumn("duplicate_of", F.when(F.col("__first.frame") < F.col(frame), F.col("__first.id"))).drop("__first")
 

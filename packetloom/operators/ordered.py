@@ -26,6 +26,7 @@ class Spec:
     value: Column
     inclusive: bool = True
     unwrap: bool = False
+    where: Column | None = None
 
 
 def running_sum(value: Column, inclusive: bool = True) -> Spec:
@@ -45,6 +46,11 @@ def running_max(value: Column, inclusive: bool = True) -> Spec:
     return Spec("max", value, inclusive)
 
 
+def running_peak(value: Column, where: Column | None = None, inclusive: bool = True) -> Spec:
+    """Highest running sum of ``value`` so far, taken at the rows where the condition holds."""
+    return Spec("peak", value, inclusive, where=F.lit(True) if where is None else where)
+
+
 def last_value(value: Column, inclusive: bool = False) -> Spec:
     """Last non-null value among the earlier rows (and this one, if inclusive)."""
     return Spec("last", value, inclusive)
@@ -98,6 +104,7 @@ def scan(
     at = F.struct(*order)
     base = df.withColumn("__span", span_of(position, span))
 
+    peaks = {name: spec for name, spec in specs.items() if spec.kind == "peak"}
     summary_aggs, carry_cols, local_cols, final = [], [], [], {}
     before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc("__span")).rowsBetween(Window.unboundedPreceding, -1)
@@ -105,6 +112,10 @@ def scan(
     inside = Window.partitionBy(*keys, "__span").orderBy(*order)
     backward = Window.partitionBy(*keys, "__span").orderBy(*[F.desc(name) for name in order])
 
+    for name, spec in peaks.items():
+        # Sums inside the span first; the carried sum is added to the span's own peak afterwards.
+        base = base.withColumn(f"__s_{name}", F.sum(spec.value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+
     for name, spec in specs.items():
         part, carry, local = f"__p_{name}", f"__c_{name}", f"__l_{name}"
         end = 0 if spec.inclusive else -1
@@ -120,6 +131,13 @@ def scan(
                 result = F.coalesce(F.col(local), F.lit(0)) + F.coalesce(F.col(carry), F.lit(0))
             else:
                 result = F.greatest(F.col(local), F.col(carry))
+        elif spec.kind == "peak":
+            at_rows = F.when(spec.where, F.col(f"__s_{name}"))
+            summary_aggs += [F.sum(spec.value).alias(f"{part}_sum"), F.max(at_rows).alias(part)]
+            carry_cols.append(F.coalesce(F.sum(f"{part}_sum").over(before), F.lit(0)).alias(f"{carry}_sum"))
+            carry_cols.append(F.col(part))
+            local_cols.append(F.max(at_rows).over(forward).alias(local))
+            result = F.greatest(F.col(local) + F.col(f"{carry}_sum"), F.col(carry))
         elif spec.kind == "last":
             summary_aggs.append(F.max_by(spec.value, present).alias(part))
             carry_cols.append(F.last(part, ignorenulls=True).over(before).alias(carry))
@@ -146,6 +164,9 @@ def scan(
     carries = (
         base.groupBy(*keys, "__span").agg(*summary_aggs).select(*keys, "__span", *carry_cols)
     )
+    for name in peaks:
+        reach = F.max(F.col(f"__p_{name}") + F.col(f"__c_{name}_sum")).over(before)
+        carries = carries.withColumn(f"__c_{name}", reach).drop(f"__p_{name}")
     joined = base.select("*", *local_cols).join(carries, [*keys, "__span"], "left")
     kept = [F.col(c) for c in df.columns if c not in final]
     return joined.select(*kept, *[column.alias(name) for name, column in final.items()])

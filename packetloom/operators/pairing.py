@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.operators.ordered import last_value, running_count, running_max, scan, spread_join
+from packetloom.operators.ordered import last_value, running_count, running_max, running_peak, scan, spread_join
 
 
 def pair_transactions(messages: DataFrame) -> DataFrame:
@@ -105,12 +105,17 @@ def fifo_pair(rows: DataFrame, keys: Sequence[str], position: str = "frame_numbe
     d at completions)``, so a completion's rank is its count less that number.
     """
     keys = list(keys)
-    counted = scan(
+    completes = F.col("completes")
+    deficit = completes.cast("int") - F.col("starts").cast("int")
+    lost = scan(
         rows, keys, position,
-        {"__s": running_count(F.col("starts")), "__c": running_count(F.col("completes"))},
+        {
+            "__s": running_count(F.col("starts")),
+            "__c": running_count(completes),
+            "__lost": running_peak(deficit, completes),
+            "__lost_before": running_peak(deficit, completes, inclusive=False),
+        },
     )
-    deficit = counted.withColumn("__d", F.when(F.col("completes"), F.col("__c") - F.col("__s")))
-    lost = scan(deficit, keys, position, {"__lost": running_max(F.col("__d")), "__lost_before": running_max(F.col("__d"), inclusive=False)})
     after = F.greatest(F.coalesce(F.col("__lost"), F.lit(0)), F.lit(0))
     before = F.greatest(F.coalesce(F.col("__lost_before"), F.lit(0)), F.lit(0))
     matched = lost.where("completes").select(

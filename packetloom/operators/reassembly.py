@@ -1,6 +1,6 @@
 """Byte streams rebuilt from overlapping segments: the first seen byte wins, everything else is listed.
 
-Each segment is cut at bucket borders (64 KiB of stream), so work is spread over (stream, bucket) and a
+Each segment is cut at bucket borders (8 KiB of stream), so work is spread over (stream, bucket) and a
 long stream is never gathered.  Inside a bucket the segment borders give elementary intervals; each
 interval belongs to the earliest frame covering it.  Exact copies of a segment are collapsed before that.
 """
@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.operators.ordered import group_first, running_max, running_sum, scan
+from packetloom.operators.ordered import group_first, running_max, running_sum, scan, span_of
+from packetloom.session import cut
 
 STREAM = ["capture_id", "stream_index", "direction"]
-BUCKET = 65_536
+BUCKET = 8_192
+CONTENT_BLOCK = 65_536
 # Span of stream positions that one step of an ordered scan covers.
 POSITIONS = 1 << 20
 
@@ -91,14 +93,20 @@ def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
     owners = covering.groupBy(*cell).agg(
         F.min("frame_number").alias("owner"), F.min_by("slice", "frame_number").alias("owner_slice")
     )
-    later = covering.join(owners, cell).where("frame_number <> owner")
-    same = later.where("slice = owner_slice")
-    differs = later.where("slice <> owner_slice")
+    differs = (F.col("frame_number") != F.col("owner")) & (F.col("slice") != F.col("owner_slice"))
+    # All ledgers read this table, so it is written once.
+    judged = cut(
+        covering.join(owners, cell).select(
+            *cell, "frame_number", "owner", "slice", differs.alias("differs"), F.when(differs, F.col("owner_slice")).alias("owner_slice")
+        )
+    )
+    later = ["frame_number", "owner"]
+    owned = judged.where("frame_number = owner")
 
     # Only unequal slices are looked at byte by byte.
     size = (F.col("high") - F.col("low")).cast("int")
-    bytewise = differs.select(
-        *STREAM, "frame_number", "owner",
+    bytewise = judged.where("differs").select(
+        *STREAM, *later,
         F.explode(
             F.transform(
                 F.sequence(F.lit(1), size),
@@ -109,26 +117,24 @@ def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
                 ),
             )
         ).alias("b"),
-    ).select(*STREAM, "frame_number", "owner", "b.low", "b.high", "b.equal")
-    equal_cells = same.select(*STREAM, "frame_number", "owner", "low", "high").unionByName(
-        bytewise.where("equal").drop("equal")
-    )
-    unequal_cells = bytewise.where("NOT equal").drop("equal")
-
-    spans = _with_output(_merge(owners.select(*STREAM, F.col("owner").alias("frame_number"), "low", "high"), ["frame_number"]))
-    duplicates = _merge(equal_cells, ["frame_number", "owner"])
-    conflicts = _merge(unequal_cells, ["frame_number", "owner"])
-    follow = _copy_ledger(hashed, leaders, owners, covering, duplicates, conflicts)
+    ).select(*STREAM, *later, "b.low", "b.high", "b.equal")
+    same = judged.where("frame_number <> owner AND NOT differs").select(*STREAM, *later, "low", "high")
+
+    owned_ranges = _merge(owned.select(*STREAM, "frame_number", "low", "high"), ["frame_number"])
+    duplicates = _merge(same.unionByName(bytewise.where("equal").drop("equal")), later)
+    conflicts = _merge(bytewise.where("NOT equal").drop("equal"), later)
+    spans = _with_output(owned_ranges)
+    copied = _copy_ledger(hashed, owned_ranges, duplicates, conflicts)
     return {
         "spans": spans,
-        "cells": owners.select(*STREAM, "low", "high", F.col("owner").alias("frame_number"), F.col("owner_slice").alias("data")),
-        "duplicates": duplicates.unionByName(follow["duplicates"]),
-        "conflicts": conflicts.unionByName(follow["conflicts"]),
+        "cells": owned.select(*STREAM, "low", "high", "frame_number", F.col("slice").alias("data")),
+        "duplicates": duplicates.unionByName(copied["duplicates"]),
+        "conflicts": conflicts.unionByName(copied["conflicts"]),
         "gaps": stream_gaps(spans),
     }
 
 
-def _copy_ledger(hashed, leaders, owners, covering, duplicates, conflicts) -> dict[str, DataFrame]:
+def _copy_ledger(hashed: DataFrame, owned: DataFrame, duplicates: DataFrame, conflicts: DataFrame) -> dict[str, DataFrame]:
     """Ledger rows of the copies: what their leader owns they duplicate, the rest is as for the leader.
 
     Copies learn their leader from a scan over frames, so a segment repeated very often stays spread;
@@ -136,21 +142,21 @@ def _copy_ledger(hashed, leaders, owners, covering, duplicates, conflicts) -> di
     """
     key = [*STREAM, "seq", "__size", "__hash", "payload"]
     led = scan(hashed, key, "frame_number", {"leader": group_first(F.col("frame_number"))}).where("frame_number <> leader").select(
-        *STREAM, "leader", "frame_number", F.expr("frame_number div 65536").alias("__slot")
+        *STREAM, "leader", "frame_number", span_of("frame_number").alias("__slot")
     )
     slots = led.select(*STREAM, "leader", "__slot").distinct()
-    owned = _merge(owners.select(*STREAM, F.col("owner").alias("leader"), "low", "high"), ["leader"]).withColumn("owner", F.col("leader"))
 
     def spread(ranges: DataFrame) -> DataFrame:
         routed = slots.join(ranges, [*STREAM, "leader"])
         return led.join(routed, [*STREAM, "leader", "__slot"]).select(*STREAM, "frame_number", "owner", "start", "end")
 
-    def renamed(ranges: DataFrame) -> DataFrame:
+    def led_by(ranges: DataFrame) -> DataFrame:
         return ranges.withColumnRenamed("frame_number", "leader").select(*STREAM, "leader", "owner", "start", "end")
 
+    own = owned.withColumn("owner", F.col("frame_number"))
     return {
-        "duplicates": spread(owned.select(*STREAM, "leader", "owner", "start", "end").unionByName(renamed(duplicates))),
-        "conflicts": spread(renamed(conflicts)),
+        "duplicates": spread(led_by(own.select(*duplicates.columns)).unionByName(led_by(duplicates))),
+        "conflicts": spread(led_by(conflicts)),
     }
 
 
@@ -179,7 +185,7 @@ def conflict_hashes(conflicts: DataFrame, segments: DataFrame) -> DataFrame:
     return own.join(first, [*STREAM, "owner"]).withColumn("first_hash", part()).drop("seq", "payload")
 
 
-def stream_content(ledgers: dict[str, DataFrame], block: int = BUCKET) -> DataFrame:
+def stream_content(ledgers: dict[str, DataFrame], block: int = CONTENT_BLOCK) -> DataFrame:
     """Rebuilt bytes without the gaps, as rows ``(stream, block_no, output_offset, data)`` of bounded size.
 
     A whole stream is never one value; readers join on the range they need.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.operators.ordered import group_first, lag, running_max, running_sum, scan, span_of
+from packetloom.operators.ordered import group_first, lag, running_peak, running_sum, scan, span_of
 from packetloom.session import cut
 
 MODULUS = 65_536
@@ -29,12 +29,14 @@ def unwrap_seq(df: DataFrame, keys: Sequence[str], position: str, seq: str = "se
     raw = F.col(seq).cast("long")
     folded = F.pmod(raw - F.col("__prev") + half, F.lit(modulus)) - half
     step = F.when(F.col("__prev").isNull(), raw).otherwise(folded)
-    summed = scan(stepped.withColumn("__step", step), keys, position, {"extended": running_sum(F.col("__step"))})
-    highest = scan(summed, keys, position, {"__high": running_max(F.col("extended"), inclusive=False)})
+    highest = scan(
+        stepped.withColumn("__step", step), keys, position,
+        {"extended": running_sum(F.col("__step")), "__high": running_peak(F.col("__step"), inclusive=False)},
+    )
     off = (F.col("__high").isNotNull()) & ~(F.col("extended") - F.col("__high")).between(-half, half - 1)
-    strays = highest.where(off).select(*keys).distinct()
-    settled = cut(highest.select(*df.columns, "extended"))
-    strays = cut(strays)
+    checked = cut(highest.select(*df.columns, "extended", F.coalesce(off, F.lit(False)).alias("__off")))
+    settled = checked.drop("__off")
+    strays = checked.where("__off").select(*keys).distinct()
     if strays.isEmpty():
         return settled
     plain = settled.join(strays, keys, "left_anti")

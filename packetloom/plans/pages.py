@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packetloom.functions.text import bounded_preview, octets
-from packetloom.operators.ordered import group_sum, running_sum, scan
+from packetloom.operators.ordered import running_sum, scan
 from packetloom.operators.parameters import form_fields, query_parameters
 from packetloom.plans.queue import visible
 
@@ -127,19 +127,13 @@ def findings_page(findings: DataFrame, offset: int = 0, limit: int = 100) -> Dat
     return page(findings, [severity_order(), F.desc("confidence"), "finding_id"], offset, limit)
 
 
-def with_repeats(events: DataFrame) -> DataFrame:
-    """How often each event's meaning occurs, counted before any event is filtered out."""
-    return scan(
-        events, ["capture_id", "detector", "semantic_key"], "request_frame", {"repeat_count": group_sum(F.lit(1).cast("long"))}
-    )
-
-
 def timeline_page(
     events: DataFrame, event_kind: str | None = None, status: str | None = None, frame_start: int | None = None,
     frame_end: int | None = None, include_duplicates: bool = False, offset: int = 0, limit: int = 100,
 ) -> DataFrame:
-    """Events in frame order.  ``events`` carry ``duplicate_of`` (see ``mark_duplicates``)."""
-    rows = with_repeats(events)
+    """Events in frame order.  ``events`` come from ``mark_duplicates``, which counts repeats before any event
+    is filtered out."""
+    rows = events
     if not include_duplicates:
         rows = rows.where("duplicate_of IS NULL")
     if event_kind is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.operators.ordered import running_sum, scan
+from packetloom.operators.budget import byte_budget
 
 
 def collection(df: DataFrame, name: str, order: Sequence[Column | str], limit: int) -> DataFrame:
@@ -108,35 +108,37 @@ def assessment(artifacts: DataFrame, findings: DataFrame, observations: DataFram
 
 
 def export_ranges(
-    ranges: DataFrame, content: DataFrame, max_item_bytes: int, max_total_bytes: int, order: str
+    ranges: DataFrame, content: DataFrame, max_item_bytes: int, max_total_bytes: int, order: str, mode: str = "greedy"
 ) -> tuple[DataFrame, DataFrame]:
     """Bytes of each evidence range with hash, and the ranges that cannot be exported with a reason.
 
     ``ranges(evidence_id, content_hash, offset, length)``; ``content(content_hash, content, complete)``.
-    Of the ranges that are sound, those up to the total limit in ``order`` are exported.
+    Sound ranges are charged to the total limit in ``order``; ``greedy`` passes over one that does not fit,
+    ``prefix`` stops at it.  Sizes are judged first, so bytes are only read for what is exported.
     """
-    stored = content.select("content_hash", F.col("content").cast("binary").alias("__data"), "complete")
+    stored = content.select("content_hash", F.octet_length(F.col("content").cast("binary")).alias("__size"), "complete")
     joined = ranges.join(stored, "content_hash", "left")
-    size = F.octet_length("__data")
-    start = F.coalesce("offset", F.lit(0))
-    length = F.coalesce("length", size - start)
+    start = F.coalesce("offset", F.lit(0).cast("long"))
+    length = F.coalesce(F.col("length"), F.col("__size") - start).cast("long")
     reason = (
         F.when(F.col("offset") < 0, "invalid-offset")
         .when(F.col("length") < 0, "invalid-length")
-        .when(F.col("__data").isNull(), "no-stored-bytes")
+        .when(F.col("__size").isNull(), "no-stored-bytes")
         .when(~F.col("complete"), "blob-incomplete")
-        .when(start + length > size, "range-out-of-bounds")
+        .when(start + length > F.col("__size"), "range-out-of-bounds")
         .when(length > max_item_bytes, "item-byte-limit")
     )
-    sound = joined.withColumn("reason", reason).withColumn("byte_length", length.cast("long"))
-    charged = F.when(F.col("reason").isNull(), F.col("byte_length")).otherwise(F.lit(0))
-    summed = scan(
-        sound.withColumn("__scope", F.lit(1)).withColumn("__charge", charged), ["__scope"], order, {"__used": running_sum(F.col("__charge"))}
+    columns = dict.fromkeys(["evidence_id", "content_hash", order])
+    judged = joined.select(
+        *columns, start.alias("__start"), length.alias("byte_length"), F.lit(1).alias("__scope"), reason.alias("__reason")
     )
-    judged = summed.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("__used") > max_total_bytes), "total-byte-limit").otherwise(F.col("reason")))
-    data = F.substring("__data", (start + 1).cast("int"), F.col("byte_length").cast("int"))
-    exported = judged.where("reason IS NULL").select("evidence_id", "byte_length", data.alias("data")).withColumn("sha256", F.sha2("data", 256))
-    return exported, judged.where("reason IS NOT NULL").select("evidence_id", "reason")
+    sound = judged.where("__reason IS NULL").drop("__reason")
+    kept, over = byte_budget(sound, ["__scope"], order, "byte_length", max_total_bytes, mode, "total-byte-limit")
+    data = content.select("content_hash", F.col("content").cast("binary").alias("__data"))
+    piece = F.substring("__data", (F.col("__start") + 1).cast("int"), F.col("byte_length").cast("int"))
+    exported = kept.join(data, "content_hash").select("evidence_id", "byte_length", piece.alias("data")).withColumn("sha256", F.sha2("data", 256))
+    skips = judged.where("__reason IS NOT NULL").select("evidence_id", F.col("__reason").alias("reason"))
+    return exported, skips.unionByName(over.select("evidence_id", "reason"))
 
 
 def pending(items: DataFrame, runs: DataFrame, policy: str, key: str) -> DataFrame:

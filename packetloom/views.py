@@ -79,6 +79,8 @@ SIMPLE: dict[str, tuple[str, dict[str, str], str | None]] = {
             "WHEN 1 THEN concat(' key:', substr(md5(CAST(doc_id AS STRING)), 1, 16), ' ') "
             "WHEN 2 THEN ' key{color:#0000FF} ' "
             "WHEN 3 THEN concat(' DDCTF{', substr(md5(CAST(doc_id AS STRING)), 1, 12), '} ') "
+            "WHEN 4 THEN concat(' Az_', md5(CAST(doc_id AS STRING)), '.Qx ') "
+            "WHEN 5 THEN concat(' https://host.test/Aa-', md5(CAST(doc_id AS STRING)), ' ') "
             "ELSE '' END)",
         },
         None,
