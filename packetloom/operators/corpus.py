@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,6 +191,21 @@ def signature_census(hits: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
 
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def base32_bytes(label: Column) -> Column:
+    """Bytes of a base32 label: five bits per character, whole bytes kept.  Spark has no builtin for it."""
+    bits = F.array_join(
+        F.transform(F.split(F.upper(label), ""), lambda c: F.lpad(F.bin(F.instr(F.lit(BASE32), c) - 1), 5, "0")), ""
+    )
+    digits = F.transform(
+        F.sequence(F.lit(0), (F.length(label) * 5 / 8).cast("int") - 1),
+        lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"),
+    )
+    return F.unhex(F.array_join(digits, ""))
+
+
 def _joined_bytes(pieces: Column) -> Column:
     return F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p)), ""))
 
@@ -235,7 +248,11 @@ def decode_query_names(df: DataFrame, name: str = "query_name") -> DataFrame:
 
     def decoded(label: Column) -> Column:
         padded = F.concat(F.translate(label, "-_", "+/"), F.repeat(F.lit("="), ((4 - F.length(label) % 4) % 4).cast("int")))
-        return F.when(F.col("__encoding") == "hex", F.try_to_binary(label, F.lit("hex"))).otherwise(F.try_to_binary(padded, F.lit("base64")))
+        return (
+            F.when(F.col("__encoding") == "hex", F.try_to_binary(label, F.lit("hex")))
+            .when(F.col("__encoding") == "base32", base32_bytes(label))
+            .otherwise(F.try_to_binary(padded, F.lit("base64")))
+        )
 
     common = [
         *df.columns,
@@ -243,24 +260,4 @@ def decode_query_names(df: DataFrame, name: str = "query_name") -> DataFrame:
         F.lower(F.array_join(F.slice(F.col("__labels"), F.col("__run") + 1, F.size("__labels")), ".")).alias("base_domain"),
         F.array_join(taken, ".").alias("encoded_name"),
     ]
-    builtin = marked.where("__encoding <> 'base32'").select(*common, _joined_bytes(F.transform(taken, decoded)).alias("chunk"))
-    # Whole groups of eight characters decode on their own, so labels are padded and decoded one by one.
-    rest = marked.where("__encoding = 'base32'").select(*common, taken.alias("__taken"))
-    parts = rest.mapInPandas(_decode_base32_rows, schema=_base32_schema(rest))
-    return builtin.unionByName(parts)
-
-
-def _base32_schema(df: DataFrame):
-    from pyspark.sql import types as T
-
-    fields = [f for f in df.schema.fields if f.name != "__taken"]
-    return T.StructType([*fields, T.StructField("chunk", T.BinaryType())])
-
-
-def _decode_base32_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        chunks = [
-            b"".join(base64.b32decode(label.upper() + "=" * (-len(label) % 8)) for label in labels)
-            for labels in batch["__taken"]
-        ]
-        yield batch.drop(columns="__taken").assign(chunk=chunks)
+    return marked.select(*common, _joined_bytes(F.transform(taken, decoded)).alias("chunk"))

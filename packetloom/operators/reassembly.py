@@ -45,20 +45,9 @@ def _covering(pieces: DataFrame) -> DataFrame:
     lists = borders.groupBy(*STREAM, "bucket").agg(F.array_sort(F.collect_list("at")).alias("borders"))
     placed = pieces.join(lists, [*STREAM, "bucket"])
     first = F.array_position("borders", F.col("start")).cast("int")
-    last = F.array_position("borders", F.col("end")).cast("int")
-    own = placed.select(
-        *STREAM, "bucket", "frame_number", "start", "data",
-        F.slice("borders", first, last - first + 1).alias("own"),
-    )
-    step = own.select(
-        "*",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("own") - 1),
-                lambda i: F.struct(F.element_at(F.col("own"), i).alias("low"), F.element_at(F.col("own"), i + 1).alias("high")),
-            )
-        ).alias("cell"),
-    )
+    count = (F.array_position("borders", F.col("end")) - first).cast("int")
+    cells = F.arrays_zip(F.slice("borders", first, count).alias("low"), F.slice("borders", first + 1, count).alias("high"))
+    step = placed.select(*STREAM, "bucket", "frame_number", "start", "data", F.explode(cells).alias("cell"))
     return step.select(
         *STREAM, "bucket", "frame_number", F.col("cell.low").alias("low"), F.col("cell.high").alias("high"),
         F.substring("data", (F.col("cell.low") - F.col("start") + 1).cast("int"), (F.col("cell.high") - F.col("cell.low")).cast("int")).alias("slice"),
