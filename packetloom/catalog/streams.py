@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.catalog.registry import query
-from packetloom.functions.text import find_all
+from packetloom.functions.text import explode_matches
 from packetloom.operators import corpus, pairing, reassembly, records, sequence
 from packetloom.plans import pages
 from packetloom.views import table, view
@@ -143,9 +143,11 @@ MATCH_SQL = """, folded AS (SELECT doc_id AS stream_index, regexp_replace(text,
 
 def _matches(spark, sf):
     text = F.regexp_replace("text", "[^\\x01-\\x7F]", "?")
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("stream_index"), F.explode(find_all(text, "[A-Za-z]{12,}")).alias("m"))
-    start = F.col("m.offset").cast("long")
-    return rows.select("stream_index", start.alias("start"), (start + F.length("m.value")).alias("end"), start.alias("match_id"))
+    folded = table(spark, sf, "documents").select(F.col("doc_id").alias("stream_index"), text.alias("t"))
+    start = F.col("hit.offset").cast("long")
+    return explode_matches(folded, "[A-Za-z]{12,}", "t").select(
+        "stream_index", start.alias("start"), (start + F.length("hit.value")).alias("end"), start.alias("match_id")
+    )
 
 
 @query(

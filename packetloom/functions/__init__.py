@@ -3,9 +3,10 @@
 from packetloom.functions.text import (  # noqa: F401
     bounded_preview,
     escaped_preview,
-    find_all,
+    explode_matches,
     form_decode,
     octets,
     printable,
     stable_id,
+    with_matches,
 )

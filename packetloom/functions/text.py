@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ID_SEPARATOR = "\x1f"
@@ -46,15 +48,12 @@ def printable(code: Column) -> Column:
     return code.between(32, 126)
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<offset, value>>`` with byte offsets.
+HITS = "array<struct<offset:int,value:string>>"
 
-    ``split`` gives the text between matches and ``regexp_extract_all`` the matches; walking both in
-    step gives each match's offset without leaving the JVM.
-    """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<offset:int,value:string>>")
+
+def _walk(between: Column, values: Column) -> Column:
+    """Offsets of matches from the pieces between them, walked in step."""
+    empty = F.array().cast(HITS)
     start = F.struct(F.lit(0).alias("cursor"), empty.alias("hits"))
 
     def step(state: Column, item: Column) -> Column:
@@ -65,8 +64,32 @@ def find_all(text: Column, pattern: str) -> Column:
             F.concat(state["hits"], F.array(hit)).alias("hits"),
         )
 
-    pairs = F.arrays_zip(
-        F.slice(between, F.lit(1), F.size(values)).alias("gap"), values.alias("value")
+    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(values)).alias("gap"), values.alias("value"))
+    return F.when(F.size(values) > 0, F.aggregate(pairs, start, step)["hits"]).otherwise(empty)
+
+
+def with_matches(df: DataFrame, patterns: Mapping[str, str], text: str) -> DataFrame:
+    """Add one array of ``struct<offset, value>`` per pattern, with byte offsets; rows without any match
+    are dropped.
+
+    Matches and the text between them are columns of their own, so each pattern runs twice over the texts
+    that hold a match and, as a test, once over the others.  All of it stays in the JVM.
+    """
+    some = F.lit(False)
+    for pattern in patterns.values():
+        some = some | F.rlike(F.col(text), F.lit(pattern))
+    found = df.where(some)
+    found = found.select(
+        "*",
+        *[F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias(f"__v_{name}") for name, pattern in patterns.items()],
+        *[F.split(text, pattern, -1).alias(f"__g_{name}") for name, pattern in patterns.items()],
+    )
+    return found.select(
+        *df.columns, *[_walk(F.col(f"__g_{name}"), F.col(f"__v_{name}")).alias(name) for name in patterns]
     )
-    walked = F.aggregate(pairs, start, step)["hits"]
-    return F.when(F.size(values) > 0, walked).otherwise(empty)
+
+
+def explode_matches(df: DataFrame, pattern: str, text: str) -> DataFrame:
+    """One row per match: the columns of ``df`` without the text, and ``hit``."""
+    keep = [c for c in df.columns if c != text]
+    return with_matches(df, {"__hits": pattern}, text).select(*keep, F.explode("__hits").alias("hit"))

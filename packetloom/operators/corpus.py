@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.text import find_all, octets
+from packetloom.functions.text import explode_matches, octets, with_matches
 from packetloom.operators.decode import HEX
 
 # Prefixes and patterns of known secret formats.
@@ -71,9 +71,8 @@ def chunk_rows(df: DataFrame, value: str, chunk: int = CHUNK, overlap: int = OVE
 
 
 def _hits(df: DataFrame, value: str, pattern: str, chunk: int) -> DataFrame:
-    pieces = chunk_rows(df, value, chunk)
     keys = [c for c in df.columns if c != value]
-    found = pieces.select(*keys, "piece_base", "own_from", "own_to", F.explode(find_all(F.col("piece"), pattern)).alias("hit"))
+    found = explode_matches(chunk_rows(df, value, chunk), pattern, "piece")
     return found.where("hit.offset >= own_from AND hit.offset < own_to").select(
         *keys, (F.col("piece_base") + F.col("hit.offset")).alias("offset"), F.col("hit.value").alias("value")
     )
@@ -100,16 +99,15 @@ def _count(text: Column, chars: str) -> Column:
 def scan_unknown(df: DataFrame, value: str, chunk: int = CHUNK) -> DataFrame:
     """Flag-like braces with an unknown word, and long mixed tokens."""
     keys = [c for c in df.columns if c != value]
-    pieces = chunk_rows(df, value, chunk)
+    found = with_matches(chunk_rows(df, value, chunk), {"brace": BRACE, "token": TOKEN}, "piece")
 
-    def found_as(kind: str, pattern: str) -> Column:
+    def labelled(kind: str, hits: str) -> Column:
         return F.transform(
-            find_all(F.col("piece"), pattern),
-            lambda hit: F.struct(F.lit(kind).alias("kind"), hit["offset"].alias("offset"), hit["value"].alias("value")),
+            hits, lambda hit: F.struct(F.lit(kind).alias("kind"), hit["offset"].alias("offset"), hit["value"].alias("value"))
         )
 
-    found = [found_as("unknown-brace", BRACE), found_as("unknown-token", TOKEN)]
-    hits = pieces.select(*keys, "piece_base", "own_from", "own_to", F.explode(F.concat(*found)).alias("hit"))
+    both = F.concat(labelled("unknown-brace", "brace"), labelled("unknown-token", "token"))
+    hits = found.select(*keys, "piece_base", "own_from", "own_to", F.explode(both).alias("hit"))
     owned = hits.where("hit.offset >= own_from AND hit.offset < own_to").select(
         *keys, F.col("hit.kind").alias("kind"), (F.col("piece_base") + F.col("hit.offset")).alias("offset"), F.col("hit.value").alias("value")
     )

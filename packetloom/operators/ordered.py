@@ -101,7 +101,8 @@ def scan(
     """Add one column per spec.  ``position`` is an integral column; keys and order columns are non-null."""
     keys = list(keys)
     order = [position, *ties]
-    at = F.struct(*order)
+    # A single long keeps the summary a hash aggregate.
+    at = F.struct(*order) if ties else F.col(position)
     base = df.withColumn("__span", span_of(position, span))
 
     peaks = {name: spec for name, spec in specs.items() if spec.kind == "peak"}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.operators.ordered import last_value, running_count, running_max, running_peak, scan, spread_join
+from packetloom.session import cut
 
 
 def pair_transactions(messages: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def pair_transactions(messages: DataFrame) -> DataFrame:
     by_request = requests.where("response_in_frame IS NOT NULL").select(
         "capture_id", "request_frame", "stream_index", F.col("response_in_frame").alias("response_frame")
     ).join(responses.select("capture_id", "response_frame"), ["capture_id", "response_frame"])
-    links = by_response.unionByName(by_request).dropDuplicates(["capture_id", "request_frame", "response_frame"])
+    # Three narrow columns that four branches read.
+    links = cut(by_response.unionByName(by_request).dropDuplicates(["capture_id", "request_frame", "response_frame"]))
 
     # Responses of one request in frame order.  A request that a third of all responses name would make
     # one window too large, so the order is counted with a scan over response frames.
@@ -92,11 +94,17 @@ def correlate_transfers(control: DataFrame, data: DataFrame) -> DataFrame:
     command = lookup.select(
         "capture_id", F.col("frame_number").alias("command_frame"), "command", "argument", F.lit(True).alias("has_command")
     )
-    joined = grouped.join(setup, ["capture_id", "setup_frame"], "left").join(command, ["capture_id", "command_frame"], "left")
+    joined = _lookup(_lookup(grouped, setup, "setup_frame"), command, "command_frame")
     status = F.when(F.col("has_setup").isNull() | F.col("has_command").isNull(), "unresolved").otherwise("indexed")
     return joined.select(*keys, "command", "argument", "data_rows", "first_frame", "last_frame", status.alias("status"))
 
 
+def _lookup(df: DataFrame, small: DataFrame, frame: str) -> DataFrame:
+    """Left join on a frame reference.  Rows without a reference stay out of the shuffle."""
+    named = df.where(F.col(frame).isNotNull()).join(small, ["capture_id", frame], "left")
+    return named.unionByName(df.where(F.col(frame).isNull()), allowMissingColumns=True)
+
+
 def fifo_pair(rows: DataFrame, keys: Sequence[str], position: str = "frame_number") -> DataFrame:
     """k-th start of a key with its k-th completion; a completion with nothing open is unmatched.
 
@@ -181,16 +189,20 @@ def echo_flags(records: DataFrame, depth: int = ECHO_DEPTH) -> DataFrame:
     that is repeated many times gives no pairs.
     """
     client = F.col("side") == "client"
-    numbered = scan(records, ["capture_id", "dialogue_id"], "record_id", {"__clients": running_count(client)})
-    hashed = numbered.withColumn("__body", F.sha2(F.encode(F.coalesce("body", F.lit("")), "UTF-8"), 256))
+    narrow = records.select(
+        "capture_id", "dialogue_id", "record_id", "side", "label",
+        F.sha2(F.encode(F.coalesce("body", F.lit("")), "UTF-8"), 256).alias("__body"),
+    )
+    numbered = scan(narrow, ["capture_id", "dialogue_id"], "record_id", {"__clients": running_count(client)})
     found = scan(
-        hashed, ["capture_id", "dialogue_id", "__body"], "record_id",
+        numbered, ["capture_id", "dialogue_id", "__body"], "record_id",
         {"__echo": last_value(F.when(client, F.struct(F.col("record_id").alias("id"), F.col("__clients").alias("n"))))},
     )
     tested = (F.col("side") == "server") & ~F.startswith(F.col("label"), F.lit("prompt"))
     recent = tested & F.col("__echo").isNotNull() & (F.col("__clients") - F.col("__echo.n") < depth)
     return found.select(
-        *records.columns, F.coalesce(recent, F.lit(False)).alias("is_echo"), F.when(recent, F.col("__echo.id")).alias("echo_of")
+        "capture_id", "dialogue_id", "record_id", "side", "label",
+        F.coalesce(recent, F.lit(False)).alias("is_echo"), F.when(recent, F.col("__echo.id")).alias("echo_of"),
     )
 
 

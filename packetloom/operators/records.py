@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.text import find_all, octets
+from packetloom.functions.text import octets, with_matches
 from packetloom.operators.ordered import lag, running_count, running_sum, scan
 from packetloom.operators.pairing import overlap_join
 
@@ -40,7 +40,9 @@ def segment_records(streams: DataFrame, text: str, role: str, max_chars: int = 4
     byte, ``prompt`` is the rest of a server text ending in a colon, ``text`` is any other rest.
     """
     keys = [c for c in streams.columns if c != text]
-    rows = streams.select(*keys, octets(F.col(text)).alias("__size"), F.posexplode(find_all(F.col(text), record_pattern(max_chars))).alias("ordinal", "hit"))
+    sized = streams.withColumn("__size", octets(F.col(text)))
+    found = with_matches(sized, {"__hits": record_pattern(max_chars)}, text)
+    rows = found.select(*keys, "__size", F.posexplode("__hits").alias("ordinal", "hit"))
     value = F.col("hit.value")
     at_end = F.col("hit.offset") + octets(value) == F.col("__size")
     full = F.length(value) >= max_chars
@@ -81,25 +83,26 @@ def extract_data_blocks(chunks: DataFrame, keys: Sequence[str], order: str, text
     """
     keys = list(keys)
     placed = with_base(chunks, keys, order, text).withColumn("__tail", F.coalesce("__tail", F.lit("")))
-    window = F.concat("__tail", F.col(text))
     start = F.col("base") - octets(F.col("__tail"))
     first = F.col("__tail") == ""
+    windows = placed.select(*keys, start.alias("__at"), first.alias("__first"), F.concat("__tail", F.col(text)).alias("__window"))
+    found = with_matches(windows, {"__opens": DATA_LINE, "__ends": DATA_END}, "__window")
     opens = F.transform(
-        find_all(window, DATA_LINE),
+        "__opens",
         lambda m: F.struct(
-            F.lit("data").alias("marker"), (start + m["offset"]).alias("at"), (start + m["offset"] + octets(m["value"])).alias("after"),
-            # A match of the anchor inside a stream is not a line start.
-            (first | (m["offset"] > 0) | F.startswith(m["value"], F.lit("\r\n"))).alias("sound"),
+            F.lit("data").alias("marker"), (F.col("__at") + m["offset"]).alias("at"), (F.col("__at") + m["offset"] + octets(m["value"])).alias("after"),
+            # The anchor also matches at the start of a later window, which is not a line start.
+            (F.col("__first") | (m["offset"] > 0) | F.startswith(m["value"], F.lit("\r\n"))).alias("sound"),
         ),
     )
     ends = F.transform(
-        find_all(window, DATA_END),
+        "__ends",
         lambda m: F.struct(
-            F.lit("end").alias("marker"), (start + m["offset"]).alias("at"), (start + m["offset"] + 3).alias("after"), F.lit(True).alias("sound")
+            F.lit("end").alias("marker"), (F.col("__at") + m["offset"]).alias("at"), (F.col("__at") + m["offset"] + 3).alias("after"), F.lit(True).alias("sound")
         ),
     )
     markers = (
-        placed.select(*keys, F.explode(F.concat(opens, ends)).alias("m"))
+        found.select(*keys, F.explode(F.concat(opens, ends)).alias("m"))
         .select(*keys, "m.*")
         .where("sound")
         .select(*keys, "marker", "at", "after")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.functions.text import find_all
+from packetloom.functions.text import explode_matches
 from packetloom.operators.ordered import lag, row_number, running_sum, scan
 
 GROUP = ["capture_id", "source", "destination", "base_domain", "encoding"]
@@ -148,7 +148,7 @@ def pointer_flags(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
     usable = df.where("pointer > 0")
     shown = F.when(F.col("pointer").between(32, 126), F.char(F.col("pointer"))).otherwise("?")
     text = ordered_text(usable, POINTER_KEY, "frame_number", shown, block, overlap=256)
-    hits = text.select(*POINTER_KEY, "block_start", F.explode(find_all(F.col("text"), POINTER_FLAG)).alias("hit"))
+    hits = explode_matches(text, POINTER_FLAG, "text")
     return hits.where(F.col("hit.offset") < block).select(
         *POINTER_KEY, (F.col("block_start") + F.col("hit.offset")).alias("offset"), F.col("hit.value").alias("value")
     )
