@@ -109,18 +109,46 @@ def _(spark, sf):
 SPELL = "flag{hidden-in-urgent-pointers} and then some more text "
 
 
-@query(
-    "pointer_flags",
-    f""", r AS (SELECT stream_index, source, destination, row_number() OVER (PARTITION BY stream_index ORDER BY frame_number) - 1 AS k FROM urgent),
+FLAGS_SQL = f""", r AS (SELECT stream_index, source, destination, row_number() OVER (PARTITION BY stream_index ORDER BY frame_number) - 1 AS k FROM urgent),
     n AS (SELECT stream_index, source, destination, count(*) AS len FROM r GROUP BY 1, 2, 3),
-    s AS (SELECT *, unnest(range(0, 1000)) AS j FROM n)
-    SELECT stream_index, source, destination, CAST(j * {len(SPELL)} AS BIGINT) AS "offset", 'flag{{hidden-in-urgent-pointers}}' AS value FROM s WHERE j * {len(SPELL)} + 31 <= len""",
+    s AS (SELECT *, unnest(range(0, 1 + (len - 31) // {len(SPELL)})) AS j FROM n WHERE len >= 31),
+    flags AS (SELECT stream_index, source, destination, CAST(j * {len(SPELL)} AS BIGINT) AS "offset", 'flag{{hidden-in-urgent-pointers}}' AS value FROM s) """
+
+
+def spelled(spark, sf):
+    ranked = scan(view(spark, sf, "urgent"), ["stream_index"], "frame_number", {"k": row_number()})
+    at = ((F.col("k") - 1) % len(SPELL) + 1).cast("int")
+    return ranked.withColumn("pointer", F.ascii(F.substring(F.lit(SPELL), at, F.lit(1))))
+
+
+@query("pointer_flags", FLAGS_SQL + "SELECT * FROM flags", "urgent")
+def _(spark, sf):
+    return sidechannel.pointer_flags(spelled(spark, sf), block=64).drop("capture_id")
+
+
+@query(
+    "pointer_candidates",
+    FLAGS_SQL
+    + """SELECT sha256(concat_ws(chr(31), 'candidate', 'tcp-urgent-flag', value)) AS candidate_id, 'tcp-urgent-flag' AS kind, value, 98.0::DOUBLE AS score, 0.98::DOUBLE AS confidence,
+      concat_ws(':', stream_index, source, destination, "offset") AS evidence_id, 'tcp-urgent-pointer' AS role FROM flags""",
     "urgent",
 )
 def _(spark, sf):
-    ranked = scan(view(spark, sf, "urgent"), ["stream_index"], "frame_number", {"k": row_number()})
-    spelled = ranked.withColumn("pointer", F.ascii(F.substring(F.lit(SPELL), ((F.col("k") - 1) % len(SPELL) + 1).cast("int"), F.lit(1))))
-    return sidechannel.pointer_flags(spelled, block=64).drop("capture_id")
+    return sidechannel.pointer_candidates(sidechannel.pointer_flags(spelled(spark, sf)))
+
+
+# Every stream is legible here; every third carries no flag.
+@query(
+    "pointer_findings",
+    FLAGS_SQL
+    + """SELECT n.stream_index, CAST(n.len AS BIGINT) AS pointers, 'tcp-urgent-pointer' AS detector, CASE WHEN n.stream_index % 3 <> 0 AND n.len >= 31 THEN 'high' ELSE 'medium' END AS severity,
+      CASE WHEN n.stream_index % 3 <> 0 AND n.len >= 31 THEN 0.98::DOUBLE ELSE 0.82::DOUBLE END AS confidence FROM n WHERE n.len >= 4""",
+    "urgent",
+)
+def _(spark, sf):
+    plain = F.when(F.col("stream_index") % 3 == 0, F.lit(ord("x"))).otherwise(F.col("pointer"))
+    rows = spelled(spark, sf).withColumn("pointer", plain)
+    return sidechannel.pointer_findings(sidechannel.pointer_text(rows), sidechannel.pointer_flags(rows)).drop("capture_id")
 
 
 EDGES_SQL = """, r AS (SELECT *, lag(code_a) OVER w AS pa, lag(code_b) OVER w AS pb FROM hid_reports WINDOW w AS (PARTITION BY device ORDER BY frame_number)),
@@ -195,3 +223,24 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return sidechannel.hid_correlated(sidechannel.hid_classify(devices(spark, sf))).drop("capture_id")
+
+
+@query(
+    "icmp_findings",
+    """, r AS (SELECT source, destination, count(*) AS n, count(*) FILTER (ttl BETWEEN 32 AND 126) AS p, count(DISTINCT ttl) AS d, count(reply_frame) AS a FROM probes GROUP BY 1, 2)
+    SELECT source, destination, 'icmp-ttl-oracle' AS detector, 'high' AS severity, 0.92::DOUBLE AS confidence FROM r WHERE n >= 8 AND p / n >= 0.9 AND d >= 4 AND a >= 2 AND n - a >= 2""",
+    "probes",
+)
+def _(spark, sf):
+    return sidechannel.icmp_findings(sidechannel.icmp_oracle(view(spark, sf, "probes"))).drop("capture_id")
+
+
+@query(
+    "hid_findings",
+    DEVICES_SQL
+    + """SELECT device, 'usb-hid-triage' AS detector, 'medium' AS severity, CASE classification WHEN 'boot-keyboard-like' THEN 0.88::DOUBLE ELSE 0.80::DOUBLE END AS confidence
+    FROM c WHERE classification <> 'unclassified'""",
+    "hid_reports",
+)
+def _(spark, sf):
+    return sidechannel.hid_findings(sidechannel.hid_classify(devices(spark, sf))).drop("capture_id")

@@ -373,7 +373,9 @@ def _(spark, sf):
       AND c.record_id < r.record_id AND c.body = r.body AND r.cn - c.cn < 16 WHERE r.side = 'server' AND r.label NOT LIKE 'prompt%' GROUP BY 1),
     ids AS (SELECT DISTINCT dialogue_id FROM records ORDER BY dialogue_id LIMIT 30 OFFSET 10),
     shown AS (SELECT *, CAST(row_number() OVER (PARTITION BY dialogue_id ORDER BY record_id) AS INT) AS ordinal FROM records WHERE dialogue_id IN (SELECT dialogue_id FROM ids))
-    SELECT s.dialogue_id, s.record_id, s.ordinal, s.side, s.label, strlen(s.body) > 100000 AS preview_truncated, CASE WHEN e.record_id IS NOT NULL THEN concat('echo-of:', e.related_id) END AS relations
+    SELECT s.dialogue_id, s.record_id, s.ordinal, s.side, s.label, strlen(s.body) > 60 AS preview_truncated, CASE WHEN e.record_id IS NOT NULL THEN concat('echo-of:', e.related_id) END AS relations,
+      array_to_string(list_transform(regexp_extract_all(substr(hex(s.body), 1, 120), '..'), lambda h: CASE h WHEN '09' THEN '\\t' WHEN '0A' THEN '\\n' WHEN '0D' THEN '\\r' WHEN '5C' THEN '\\\\'
+        ELSE CASE WHEN h BETWEEN '20' AND '7E' THEN chr(CAST('0x' || h AS INT)) ELSE concat('\\x', lower(h)) END END), '') AS preview
     FROM shown s LEFT JOIN echo e USING (record_id) WHERE ordinal <= 4""",
     "records",
 )
@@ -381,5 +383,5 @@ def _(spark, sf):
     rows = view(spark, sf, "records")
     relations = pairing.echo_links(rows)
     links = spark.createDataFrame([], "record_id long, candidate_id string, score double")
-    found = pages.dialogue_page(rows, relations, links, 10, 30, record_limit=4, preview_bytes=100_000)
-    return found.select("dialogue_id", "record_id", "ordinal", "side", "label", "preview_truncated", "relations")
+    found = pages.dialogue_page(rows, relations, links, 10, 30, record_limit=4, preview_bytes=60)
+    return found.select("dialogue_id", "record_id", "ordinal", "side", "label", "preview_truncated", "relations", "preview")

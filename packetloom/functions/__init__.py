@@ -2,6 +2,7 @@
 
 from packetloom.functions.text import (  # noqa: F401
     bounded_preview,
+    each,
     escaped_preview,
     explode_matches,
     form_decode,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +36,19 @@ def bounded_preview(text: Column, max_bytes: int) -> Column:
 
 
 def escaped_preview(data: Column) -> Column:
-    """Text with backslash, tab, line feed and return written as escapes."""
-    named = {"\\": "\\\\", "\t": "\\t", "\n": "\\n", "\r": "\\r"}
-    result = data
-    for raw, shown in named.items():
-        result = F.replace(result, F.lit(raw), F.lit(shown))
-    return result
+    """Bytes as visible text: printable ASCII as it is, tab, line feed, return and backslash as escapes,
+    every other byte as ``\\xNN``."""
+    # Bytes with an escape of their own.
+    named = {9: "\\t", 10: "\\n", 13: "\\r", 92: "\\\\"}
+
+    def shown(pair: Column) -> Column:
+        code = F.conv(pair, 16, 10).cast("int")
+        text = F.when(code.between(32, 126), F.char(code)).otherwise(F.concat(F.lit("\\x"), F.lower(pair)))
+        for value, escape in named.items():
+            text = F.when(code == value, escape).otherwise(text)
+        return text
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), shown), "")
 
 
 def printable(code: Column) -> Column:
@@ -89,7 +96,16 @@ def with_matches(df: DataFrame, patterns: Mapping[str, str], text: str) -> DataF
     )
 
 
+def each(df: DataFrame, keep: Sequence[str], items: Column, name: str) -> DataFrame:
+    """One row per item of a costly array.
+
+    The outer form is used because a plain ``explode`` adds a filter on the array's size below itself, which
+    computes the array a second time.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def explode_matches(df: DataFrame, pattern: str, text: str) -> DataFrame:
     """One row per match: the columns of ``df`` without the text, and ``hit``."""
     keep = [c for c in df.columns if c != text]
-    return with_matches(df, {"__hits": pattern}, text).select(*keep, F.explode("__hits").alias("hit"))
+    return each(with_matches(df, {"__hits": pattern}, text), keep, F.col("__hits"), "hit")

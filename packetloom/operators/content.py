@@ -52,7 +52,7 @@ def explode_parts(df: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit(None).cast("string").alias("disposition"), F.lit(None).cast("string").alias("media_type")))
     )
     rest = [c for c in df.columns if c not in ("dispositions", "media_types")]
-    rows = df.select(*rest, F.posexplode(filled).alias("ordinal", "part"))
+    rows = df.select(*rest, F.posexplode_outer(filled).alias("ordinal", "part"))
     disposition = F.col("part.disposition")
     return rows.select(
         *rest,

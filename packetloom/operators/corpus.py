@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.text import explode_matches, octets, with_matches
+from packetloom.functions.text import each, explode_matches, octets, with_matches
 from packetloom.operators.decode import HEX
 
 # Prefixes and patterns of known secret formats.
@@ -39,8 +39,10 @@ SIGNATURES = [
 
 def known_pattern(prefixes: Sequence[str] = tuple(KNOWN_PREFIXES)) -> str:
     words = "|".join(prefixes)
+    # The look-ahead tells most positions apart by one character.
+    initials = "".join(sorted({letter for word in prefixes for letter in (word[0].lower(), word[0].upper())}))
     return (
-        f"(?i:(?<![A-Za-z0-9_])(?:{words})\\{{[^{{}}\\r\\n]{{1,256}}\\}}"
+        f"(?=[{{{initials}])(?i:(?<![A-Za-z0-9_])(?:{words})\\{{[^{{}}\\r\\n]{{1,256}}\\}}"
         f"|\\{{(?:{words})[:=][^{{}}\\r\\n]{{1,256}}\\}}"
         f"|(?<![A-Za-z0-9_])(?:{words})[:=][A-Za-z0-9][A-Za-z0-9_.+/-]{{7,255}}(?![A-Za-z0-9_.+/-]))"
     )
@@ -107,7 +109,7 @@ def scan_unknown(df: DataFrame, value: str, chunk: int = CHUNK) -> DataFrame:
         )
 
     both = F.concat(labelled("unknown-brace", "brace"), labelled("unknown-token", "token"))
-    hits = found.select(*keys, "piece_base", "own_from", "own_to", F.explode(both).alias("hit"))
+    hits = each(found, [*keys, "piece_base", "own_from", "own_to"], both, "hit")
     owned = hits.where("hit.offset >= own_from AND hit.offset < own_to").select(
         *keys, F.col("hit.kind").alias("kind"), (F.col("piece_base") + F.col("hit.offset")).alias("offset"), F.col("hit.value").alias("value")
     )
@@ -163,7 +165,8 @@ def signature_hits(df: DataFrame, data: str) -> DataFrame:
 
     found = [positions(magic, name) for magic, name, _ in SIGNATURES]
     size = F.octet_length(F.col(data))
-    hits = df.select(*keys, size.alias("byte_length"), F.col(data).alias("__data"), F.explode(F.concat(*found)).alias("hit"))
+    sized = df.withColumn("byte_length", size)
+    hits = each(sized, [*keys, "byte_length", data], F.concat(*found), "hit").withColumnRenamed(data, "__data")
     located = hits.select(*keys, "byte_length", "__data", "hit.format", "hit.offset")
 
     def little(position: Column) -> Column:

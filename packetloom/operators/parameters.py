@@ -35,7 +35,7 @@ def _pairs(text: Column, base: Column) -> Column:
 
 
 def _explode(df: DataFrame, pairs: Column) -> DataFrame:
-    rows = df.select("*", F.posexplode(pairs).alias("ordinal", "pair"))
+    rows = df.select("*", F.posexplode_outer(pairs).alias("ordinal", "pair"))
     return rows.select(
         *df.columns,
         "ordinal",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from packetloom.functions.text import each
 from packetloom.operators.ordered import group_first, running_max, running_sum, scan, span_of
 from packetloom.session import cut
 
@@ -47,7 +48,7 @@ def _covering(pieces: DataFrame) -> DataFrame:
     first = F.array_position("borders", F.col("start")).cast("int")
     count = (F.array_position("borders", F.col("end")) - first).cast("int")
     cells = F.arrays_zip(F.slice("borders", first, count).alias("low"), F.slice("borders", first + 1, count).alias("high"))
-    step = placed.select(*STREAM, "bucket", "frame_number", "start", "data", F.explode(cells).alias("cell"))
+    step = each(placed, [*STREAM, "bucket", "frame_number", "start", "data"], cells, "cell")
     return step.select(
         *STREAM, "bucket", "frame_number", F.col("cell.low").alias("low"), F.col("cell.high").alias("high"),
         F.substring("data", (F.col("cell.low") - F.col("start") + 1).cast("int"), (F.col("cell.high") - F.col("cell.low")).cast("int")).alias("slice"),
@@ -72,10 +73,8 @@ def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
     ``segments``: capture_id, stream_index, direction, frame_number, seq, payload (binary).
     """
     usable = segments.where("payload IS NOT NULL AND octet_length(payload) > 0")
-    hashed = usable.withColumn("__hash", F.xxhash64("payload")).withColumn("__size", F.octet_length("payload"))
-    # Copies of one segment share start, size and bytes; the earliest stands for all of them.
-    copies = [*STREAM, "seq", "__size", "__hash", "payload"]
-    leaders = hashed.groupBy(*copies).agg(F.min("frame_number").alias("frame_number"))
+    # Copies of one segment share start and bytes; the earliest stands for all of them.
+    leaders = usable.groupBy(*STREAM, "seq", "payload").agg(F.min("frame_number").alias("frame_number"))
 
     covering = _covering(_pieces(leaders))
     cell = [*STREAM, "low", "high"]
@@ -96,7 +95,7 @@ def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
     size = (F.col("high") - F.col("low")).cast("int")
     bytewise = judged.where("differs").select(
         *STREAM, *later,
-        F.explode(
+        F.explode_outer(
             F.transform(
                 F.sequence(F.lit(1), size),
                 lambda i: F.struct(
@@ -113,7 +112,7 @@ def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
     duplicates = _merge(same.unionByName(bytewise.where("equal").drop("equal")), later)
     conflicts = _merge(bytewise.where("NOT equal").drop("equal"), later)
     spans = _with_output(owned_ranges)
-    copied = _copy_ledger(hashed, owned_ranges, duplicates, conflicts)
+    copied = _copy_ledger(usable, owned_ranges, duplicates, conflicts)
     return {
         "spans": spans,
         "cells": owned.select(*STREAM, "low", "high", "frame_number", F.col("slice").alias("data")),
@@ -123,15 +122,17 @@ def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _copy_ledger(hashed: DataFrame, owned: DataFrame, duplicates: DataFrame, conflicts: DataFrame) -> dict[str, DataFrame]:
+def _copy_ledger(segments: DataFrame, owned: DataFrame, duplicates: DataFrame, conflicts: DataFrame) -> dict[str, DataFrame]:
     """Ledger rows of the copies: what their leader owns they duplicate, the rest is as for the leader.
 
     Copies learn their leader from a scan over frames, so a segment repeated very often stays spread;
     the leader's few ranges then reach them by (leader, span of frames).
     """
-    key = [*STREAM, "seq", "__size", "__hash", "payload"]
-    led = scan(hashed, key, "frame_number", {"leader": group_first(F.col("frame_number"))}).where("frame_number <> leader").select(
-        *STREAM, "leader", "frame_number", span_of("frame_number").alias("__slot")
+    digests = segments.select(*STREAM, "frame_number", "seq", F.sha2("payload", 256).alias("__digest"))
+    seen = scan(digests, [*STREAM, "seq", "__digest"], "frame_number", {"leader": group_first(F.col("frame_number"))})
+    # Only the copies go on: four numbers each, read by several branches.
+    led = cut(
+        seen.where("frame_number <> leader").select(*STREAM, "leader", "frame_number", span_of("frame_number").alias("__slot"))
     )
     slots = led.select(*STREAM, "leader", "__slot").distinct()
 

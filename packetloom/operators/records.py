@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.text import octets, with_matches
+from packetloom.functions.text import each, octets, with_matches
 from packetloom.operators.ordered import lag, running_count, running_sum, scan
 from packetloom.operators.pairing import overlap_join
 
@@ -42,7 +42,7 @@ def segment_records(streams: DataFrame, text: str, role: str, max_chars: int = 4
     keys = [c for c in streams.columns if c != text]
     sized = streams.withColumn("__size", octets(F.col(text)))
     found = with_matches(sized, {"__hits": record_pattern(max_chars)}, text)
-    rows = found.select(*keys, "__size", F.posexplode("__hits").alias("ordinal", "hit"))
+    rows = found.select(*keys, "__size", F.posexplode_outer("__hits").alias("ordinal", "hit")).where("hit IS NOT NULL")
     value = F.col("hit.value")
     at_end = F.col("hit.offset") + octets(value) == F.col("__size")
     full = F.length(value) >= max_chars
@@ -102,7 +102,7 @@ def extract_data_blocks(chunks: DataFrame, keys: Sequence[str], order: str, text
         ),
     )
     markers = (
-        found.select(*keys, F.explode(F.concat(opens, ends)).alias("m"))
+        each(found, keys, F.concat(opens, ends), "m")
         .select(*keys, "m.*")
         .where("sound")
         .select(*keys, "marker", "at", "after")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.functions.text import explode_matches
+from packetloom.functions.text import each, explode_matches, stable_id
 from packetloom.operators.ordered import lag, row_number, running_sum, scan
 
 GROUP = ["capture_id", "source", "destination", "base_domain", "encoding"]
@@ -154,6 +154,44 @@ def pointer_flags(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
     )
 
 
+def pointer_candidates(flags: DataFrame) -> DataFrame:
+    """Flags of urgent pointers as candidates."""
+    kind = F.lit("tcp-urgent-flag")
+    return flags.select(
+        stable_id("candidate", kind, F.trim("value")).alias("candidate_id"), kind.alias("kind"), F.trim("value").alias("value"),
+        F.lit(98.0).alias("score"), F.lit(0.98).alias("confidence"),
+        F.concat_ws(":", F.col("stream_index").cast("string"), "source", "destination", F.col("offset").cast("string")).alias("evidence_id"),
+        F.lit("tcp-urgent-pointer").alias("role"),
+    )
+
+
+def pointer_findings(text: DataFrame, flags: DataFrame) -> DataFrame:
+    """Streams whose urgent pointers read as text; ``text`` from ``pointer_text``, ``flags`` from
+    ``pointer_flags``."""
+    key = ["capture_id", "stream_index"]
+    sides = text.groupBy(*POINTER_KEY).agg(F.sum("printable").cast("long").alias("printable"), F.sum(F.length("text")).cast("long").alias("pointers"))
+    legible = sides.where("printable >= 4 AND printable / pointers >= 0.8").groupBy(*key).agg(F.sum("pointers").alias("pointers"))
+    flagged = flags.select(*key, F.lit(True).alias("flagged")).distinct()
+    found = F.coalesce("flagged", F.lit(False))
+    return legible.join(flagged, key, "left").select(
+        *key, "pointers", F.lit("tcp-urgent-pointer").alias("detector"),
+        F.when(found, "high").otherwise("medium").alias("severity"), F.when(found, 0.98).otherwise(0.82).alias("confidence"),
+    )
+
+
+def icmp_findings(routes: DataFrame) -> DataFrame:
+    return routes.where("score > 0").select(
+        *ROUTE, F.lit("icmp-ttl-oracle").alias("detector"), F.lit("high").alias("severity"), F.lit(0.92).alias("confidence")
+    )
+
+
+def hid_findings(classified: DataFrame) -> DataFrame:
+    keyboard = F.col("classification") == "boot-keyboard-like"
+    return classified.where("classification <> 'unclassified'").select(
+        *DEVICE, F.lit("usb-hid-triage").alias("detector"), F.lit("medium").alias("severity"), F.when(keyboard, 0.88).otherwise(0.80).alias("confidence")
+    )
+
+
 # Names of keyboard usage codes that are not letters or digits.
 NAMED_KEYS = {
     40: "enter", 41: "esc", 42: "backspace", 43: "tab", 44: "space", 45: "-", 46: "=", 47: "[", 48: "]",
@@ -195,7 +233,7 @@ def key_edges(reports: DataFrame) -> DataFrame:
     """Keys newly pressed in each report of a device: its pressed set less that of the report before."""
     previous = scan(reports, DEVICE, "frame_number", {"__before": lag(F.col("pressed"))})
     fresh = F.array_except("pressed", F.coalesce("__before", F.array().cast("array<int>")))
-    rows = previous.select(*DEVICE, "frame_number", F.explode(F.array_sort(fresh)).alias("code"))
+    rows = each(previous, [*DEVICE, "frame_number"], F.array_sort(fresh), "code")
     return rows.withColumn("key", key_name(F.col("code")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.functions.text import bounded_preview, octets
+from packetloom.functions.text import bounded_preview, escaped_preview, octets
 from packetloom.operators.ordered import running_sum, scan
 from packetloom.operators.parameters import form_fields, query_parameters
 from packetloom.plans.queue import visible
@@ -190,7 +190,8 @@ def dialogue_page(
     inside = records.join(F.broadcast(chosen.select(*key)), key, "left_semi")
     order = Window.partitionBy(*key).orderBy("record_id")
     shown = inside.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= record_limit).select(
-        *key, "record_id", "ordinal", "side", "label", bounded_preview(F.col("body"), preview_bytes).alias("preview"),
+        *key, "record_id", "ordinal", "side", "label",
+        escaped_preview(F.substring(F.encode("body", "UTF-8"), 1, preview_bytes)).alias("preview"),
         (octets(F.col("body")) > preview_bytes).alias("preview_truncated"),
     )
     related = _first(relations.select("record_id", F.concat_ws(":", "relation", F.col("related_id").cast("string")).alias("item")), relation_limit, ["item"])
