@@ -1,7 +1,7 @@
 """Byte streams rebuilt from overlapping segments: the first seen byte wins, everything else is listed.
 
-Each segment is cut at bucket borders (8 KiB of stream), so work is spread over (stream, bucket) and a
-long stream is never gathered.  Inside a bucket the segment borders give elementary intervals; each
+Segments that overlap no other are accepted as they are.  The others are cut at bucket borders (2 KiB of
+stream), so work is spread over (stream, bucket) and a long stream is never gathered.  Inside a bucket the segment borders give elementary intervals; each
 interval belongs to the earliest frame covering it.  Exact copies of a segment are collapsed before that.
 """
 
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packetloom.functions.text import each
-from packetloom.operators.ordered import group_first, running_max, running_sum, scan, span_of
+from packetloom.operators.ordered import group_first, next_value, running_max, running_sum, scan, span_of
 from packetloom.session import cut
 
 STREAM = ["capture_id", "stream_index", "direction"]
-BUCKET = 8_192
+BUCKET = 2_048
 CONTENT_BLOCK = 65_536
 # Span of stream positions that one step of an ordered scan covers.
 POSITIONS = 1 << 20
@@ -76,18 +76,30 @@ def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
     # Copies of one segment share start and bytes; the earliest stands for all of them.
     leaders = usable.groupBy(*STREAM, "seq", "payload").agg(F.min("frame_number").alias("frame_number"))
 
-    covering = _covering(_pieces(leaders))
+    # A segment stands alone if all earlier starts end before it and the next one starts after it.
+    end = F.col("seq") + F.octet_length("payload")
+    placed = scan(
+        leaders, STREAM, "seq",
+        {"__reach": running_max(end, inclusive=False), "__next": next_value(F.col("seq"))},
+        ties=["frame_number"], span=POSITIONS,
+    )
+    alone = (F.coalesce("__reach", F.col("seq")) <= F.col("seq")) & (F.coalesce("__next", end) >= end)
+    split = cut(placed.select(*STREAM, "frame_number", "seq", "payload", alone.alias("alone")))
+    covering = _covering(_pieces(split.where("NOT alone")))
     cell = [*STREAM, "low", "high"]
     owners = covering.groupBy(*cell).agg(
         F.min("frame_number").alias("owner"), F.min_by("slice", "frame_number").alias("owner_slice")
     )
     differs = (F.col("frame_number") != F.col("owner")) & (F.col("slice") != F.col("owner_slice"))
     # All ledgers read this table, so it is written once.
-    judged = cut(
-        covering.join(owners, cell).select(
-            *cell, "frame_number", "owner", "slice", differs.alias("differs"), F.when(differs, F.col("owner_slice")).alias("owner_slice")
-        )
+    contested = covering.join(owners, cell).select(
+        *cell, "frame_number", "owner", "slice", differs.alias("differs"), F.when(differs, F.col("owner_slice")).alias("owner_slice")
+    )
+    single = split.where("alone").select(
+        *STREAM, F.col("seq").alias("low"), end.alias("high"), "frame_number", F.col("frame_number").alias("owner"),
+        F.col("payload").alias("slice"), F.lit(False).alias("differs"), F.lit(None).cast("binary").alias("owner_slice"),
     )
+    judged = cut(contested.unionByName(single))
     later = ["frame_number", "owner"]
     owned = judged.where("frame_number = owner")
 
