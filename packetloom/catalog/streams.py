@@ -31,8 +31,8 @@ BYTES_SQL = """, bytes AS (SELECT stream_index, frame_number, seq + i AS pos, su
 KEY = ["capture_id", "direction"]
 
 
-def ledgers(spark, sf):
-    return reassembly.reassemble(view(spark, sf, "segments"))
+def ledgers(spark, sf, *want):
+    return reassembly.reassemble(view(spark, sf, "segments"), want)
 
 
 @query(
@@ -41,12 +41,12 @@ def ledgers(spark, sf):
     "segments",
 )
 def _(spark, sf):
-    return ledgers(spark, sf)["spans"].drop(*KEY)
+    return ledgers(spark, sf, "spans")["spans"].drop(*KEY)
 
 
 @query("reassembled_duplicates", BYTES_SQL + 'SELECT stream_index, frame_number, owner, start, "end" FROM runs WHERE same', "segments")
 def _(spark, sf):
-    return ledgers(spark, sf)["duplicates"].drop(*KEY)
+    return ledgers(spark, sf, "duplicates")["duplicates"].drop(*KEY)
 
 
 @query(
@@ -60,12 +60,12 @@ def _(spark, sf):
     "segments",
 )
 def _(spark, sf):
-    return reassembly.conflict_hashes(ledgers(spark, sf)["conflicts"], view(spark, sf, "segments")).drop(*KEY)
+    return reassembly.conflict_hashes(ledgers(spark, sf, "conflicts")["conflicts"], view(spark, sf, "segments")).drop(*KEY)
 
 
 @query("stream_gaps", BYTES_SQL + 'SELECT stream_index, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM gaps', "segments")
 def _(spark, sf):
-    return ledgers(spark, sf)["gaps"].drop(*KEY)
+    return ledgers(spark, sf, "gaps")["gaps"].drop(*KEY)
 
 
 def statuses(spark, sf):
@@ -87,7 +87,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Streams of this table fit one block, so the block's hash is the stream's.
-    rows = reassembly.stream_content(ledgers(spark, sf), block=1 << 20)
+    rows = reassembly.stream_content(ledgers(spark, sf, "cells"), block=1 << 20)
     return rows.select("stream_index", F.sha2("data", 256).alias("content_hash"), F.octet_length("data").cast("long").alias("output_bytes"))
 
 
@@ -130,7 +130,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     totals = table(spark, sf, "documents").select(F.col("doc_id").alias("stream_index"), F.length("text").cast("long").alias("total"))
-    spans = ledgers(spark, sf)["spans"]
+    spans = ledgers(spark, sf, "spans")["spans"]
     return pairing.covers_stream(spans, totals, ["stream_index"])
 
 
@@ -156,7 +156,7 @@ def _matches(spark, sf):
     "segments",
 )
 def _(spark, sf):
-    spans = ledgers(spark, sf)["spans"].select("stream_index", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "frame_number")
+    spans = ledgers(spark, sf, "spans")["spans"].select("stream_index", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "frame_number")
     return pairing.contributing_frames(_matches(spark, sf), spans, ["stream_index"], "match_id")
 
 

@@ -7,6 +7,8 @@ interval belongs to the earliest frame covering it.  Exact copies of a segment a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,14 +65,18 @@ def _merge(cells: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*STREAM, *keys, "__island").agg(F.min("low").alias("start"), F.max("high").alias("end")).drop("__island")
 
 
-def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
+LEDGERS = ("spans", "cells", "duplicates", "conflicts", "gaps")
+
+
+def reassemble(segments: DataFrame, want: Sequence[str] = LEDGERS) -> dict[str, DataFrame]:
     """Ledgers of every stream direction.
 
     ``spans``: accepted ranges with their frame and place in the output.  ``cells``: the accepted bytes,
     cut at bucket borders.  ``duplicates`` and ``conflicts``: ranges of later frames that repeat or
     contradict accepted bytes.  ``gaps``: ranges no frame covers.
 
-    ``segments``: capture_id, stream_index, direction, frame_number, seq, payload (binary).
+    ``segments``: capture_id, stream_index, direction, frame_number, seq, payload (binary).  ``want`` names
+    the ledgers to build; without duplicates and conflicts the copies need no work of their own.
     """
     usable = segments.where("payload IS NOT NULL AND octet_length(payload) > 0")
     # Copies of one segment share start and bytes; the earliest stands for all of them.
@@ -124,14 +130,16 @@ def reassemble(segments: DataFrame) -> dict[str, DataFrame]:
     duplicates = _merge(same.unionByName(bytewise.where("equal").drop("equal")), later)
     conflicts = _merge(bytewise.where("NOT equal").drop("equal"), later)
     spans = _with_output(owned_ranges)
-    copied = _copy_ledger(usable, owned_ranges, duplicates, conflicts)
-    return {
+    ledgers = {
         "spans": spans,
         "cells": owned.select(*STREAM, "low", "high", "frame_number", F.col("slice").alias("data")),
-        "duplicates": duplicates.unionByName(copied["duplicates"]),
-        "conflicts": conflicts.unionByName(copied["conflicts"]),
         "gaps": stream_gaps(spans),
     }
+    if "duplicates" in want or "conflicts" in want:
+        copied = _copy_ledger(usable, owned_ranges, duplicates, conflicts)
+        ledgers["duplicates"] = duplicates.unionByName(copied["duplicates"])
+        ledgers["conflicts"] = conflicts.unionByName(copied["conflicts"])
+    return {name: ledgers[name] for name in want}
 
 
 def _copy_ledger(segments: DataFrame, owned: DataFrame, duplicates: DataFrame, conflicts: DataFrame) -> dict[str, DataFrame]:
