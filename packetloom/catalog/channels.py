@@ -105,14 +105,16 @@ def _(spark, sf):
     return sidechannel.pointer_text(view(spark, sf, "urgent")).drop("capture_id", "block_start")
 
 
-# Every stream spells flag{...} over and over, so matches cross the borders of the 64-character blocks.
-SPELL = "flag{hidden-in-urgent-pointers} and then some more text "
+# Every stream spells a flag after 20 other characters, so it crosses a border of the 32-character blocks, and
+# again every 600 characters.
+FLAG_AT, FLAG = 20, "flag{hidden-in-urgent-pointers}"
+SPELL = ("." * FLAG_AT + FLAG).ljust(600, ".")
 
 
 FLAGS_SQL = f""", r AS (SELECT stream_index, source, destination, row_number() OVER (PARTITION BY stream_index ORDER BY frame_number) - 1 AS k FROM urgent),
     n AS (SELECT stream_index, source, destination, count(*) AS len FROM r GROUP BY 1, 2, 3),
-    s AS (SELECT *, unnest(range(0, 1 + (len - 31) // {len(SPELL)})) AS j FROM n WHERE len >= 31),
-    flags AS (SELECT stream_index, source, destination, CAST(j * {len(SPELL)} AS BIGINT) AS "offset", 'flag{{hidden-in-urgent-pointers}}' AS value FROM s) """
+    s AS (SELECT *, unnest(range(0, 1 + (len - {FLAG_AT + len(FLAG)}) // {len(SPELL)})) AS j FROM n WHERE len >= {FLAG_AT + len(FLAG)}),
+    flags AS (SELECT stream_index, source, destination, CAST(j * {len(SPELL)} + {FLAG_AT} AS BIGINT) AS "offset", 'flag{{hidden-in-urgent-pointers}}' AS value FROM s) """
 
 
 def spelled(spark, sf):
@@ -123,7 +125,7 @@ def spelled(spark, sf):
 
 @query("pointer_flags", FLAGS_SQL + "SELECT * FROM flags", "urgent")
 def _(spark, sf):
-    return sidechannel.pointer_flags(spelled(spark, sf), block=64).drop("capture_id")
+    return sidechannel.pointer_flags(spelled(spark, sf), block=32).drop("capture_id")
 
 
 @query(
@@ -141,8 +143,8 @@ def _(spark, sf):
 @query(
     "pointer_findings",
     FLAGS_SQL
-    + """SELECT n.stream_index, CAST(n.len AS BIGINT) AS pointers, 'tcp-urgent-pointer' AS detector, CASE WHEN n.stream_index % 3 <> 0 AND n.len >= 31 THEN 'high' ELSE 'medium' END AS severity,
-      CASE WHEN n.stream_index % 3 <> 0 AND n.len >= 31 THEN 0.98::DOUBLE ELSE 0.82::DOUBLE END AS confidence FROM n WHERE n.len >= 4""",
+    + """SELECT n.stream_index, CAST(n.len AS BIGINT) AS pointers, 'tcp-urgent-pointer' AS detector, CASE WHEN n.stream_index % 3 <> 0 AND n.len >= 51 THEN 'high' ELSE 'medium' END AS severity,
+      CASE WHEN n.stream_index % 3 <> 0 AND n.len >= 51 THEN 0.98::DOUBLE ELSE 0.82::DOUBLE END AS confidence FROM n WHERE n.len >= 4""",
     "urgent",
 )
 def _(spark, sf):

@@ -144,7 +144,11 @@ def pointer_text(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
 
 
 def pointer_flags(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
-    """Flag-like text in the pointer characters, each found in the block that owns its first character."""
+    """Flag-like text in the pointer characters, each found in the block that owns its first character.
+
+    A block sees enough of the next one for the longest match.  Where a match runs over a border, the block
+    after it is read from the border on, so text inside that match may be reported once more.
+    """
     usable = df.where("pointer > 0")
     shown = F.when(F.col("pointer").between(32, 126), F.char(F.col("pointer"))).otherwise("?")
     text = ordered_text(usable, POINTER_KEY, "frame_number", shown, block, overlap=256)
