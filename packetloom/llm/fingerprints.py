@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.text import Rolling, slices
+from packetloom.llm.text import Rolling, slices, small_batches
 
 MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 32, 64, 512
 HARD, EASY = 7, 4
@@ -142,6 +142,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     another empty text (1) and unlike any other (0).  One document alone is its own next.  No rows: no rows.  Other
     columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.text import MARKS, Words, slices, utf8, word_hash
+from packetloom.llm.text import MARKS, Words, slices, small_batches, utf8, word_hash
 
 #: The phrases of the base labels.
 BASE = {
@@ -208,6 +208,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, list
     words, no labels (empty strings) and no places (null).  Repeated rows are scanned alike; other columns are ignored.
     A text of any length is read as a whole.  No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     chosen = TEMPLATES if templates is None else templates
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]

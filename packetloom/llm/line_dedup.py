@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.text import grouped, mix
+from packetloom.llm.text import grouped, mix, small_batches
 from packetloom.session import cut
 
 MIN_CHARS = 40
@@ -178,6 +178,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
     becomes empty).  Each row counts as a document; rows of the largest doc_id all keep the line.  A null doc_id is below
     all others.  Columns named like the two new ones are replaced; other columns pass through.  No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     lost = build_and_probe(cut(_line_hashes(docs, text, min_chars)), min_docs).groupBy("doc_id").agg(
         F.collect_set(F.struct("h1", "h2")).alias("lost"))
     lost = lost.select(F.col("doc_id").alias("__lost_id"), F.col("lost").alias("__lost"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm.quality import form
-from packetloom.llm.text import SPACES, Words, slices, utf8
+from packetloom.llm.text import SPACES, Words, slices, small_batches, utf8
 from packetloom.session import cut
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -113,6 +113,7 @@ def mix(
     A null source or language is a value of its own.  A null or empty text has no tokens, no weight, and stays (probability
     one).  Repeated rows and equal doc_ids share one draw; a null doc_id draws as a value of its own.  No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("tokens", "topic", "token_weight", "probability", "sampled")]
     whole = docs.select(*own, measured(F.col(text).cast("string")).alias("__m"))
     cells = cut(whole.groupBy("source", "lang", F.col("__m.topic").alias("topic")).agg(F.sum("__m.tokens").alias("tokens"), F.count("*").alias("documents")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.components import components
-from packetloom.llm.text import SPACES, Words, binaries, grouped, mix, slices, utf8
+from packetloom.llm.text import SPACES, Words, binaries, grouped, mix, slices, small_batches, utf8
 from packetloom.session import cut
 
 WORDS = 5
@@ -354,6 +354,7 @@ def jaccard_components(
     doc_id, unless no other document is in the component.  No input rows: no rows.  ``key`` columns ride along.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     classes = cut(shingle_classes(docs, text, words, key))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

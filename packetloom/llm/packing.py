@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.text import small_batches
 from packetloom.session import cut
 
 CAPACITY = 2048
@@ -211,6 +212,7 @@ def pack(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, vocabula
     and equal doc_ids are documents of their own; a null doc_id stays null.  Other columns are ignored, whatever their
     names.  No input rows: no rows.  Results are the same in every run over the same rows.
     """
+    small_batches(docs.sparkSession)
     pieces = cut(token_pieces(docs, text, capacity, vocabulary, ranks))
     blocks = max(1, ceil(pieces.count() / BLOCK))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))

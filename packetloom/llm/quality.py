@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.labelled import SAMPLE_ROWS, fit_logistic, labelled_sample
-from packetloom.llm.text import SPACES, Words, slices, utf8
+from packetloom.llm.text import SPACES, Words, slices, small_batches, utf8
 from packetloom.session import cut
 
 FEATURES = ["words", "mean_word", "symbols", "digits", "capitals", "bars", "line_words", "repeats"]
@@ -125,6 +125,7 @@ def classify_quality(
     site of its own.  A null or empty text has the evidence of an empty form.  Labels are (doc_id, quality); null or other
     values teach nothing, and one class only leaves its base rate.  Repeated rows are rows of their own.  No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     weights = fit(labelled_sample(docs, labels, "quality", text, rows))
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path

@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of whole texts that one Arrow batch holds at most.
+BATCH_ROWS = 500
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -25,6 +27,13 @@ MARKS = np.zeros(256, dtype=bool)
 MARKS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
+def small_batches(spark) -> None:
+    """Keep Arrow batches of whole texts small in this session; a smaller setting of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (an invertible finaliser)."""
     x = x ^ (x >> _U(30))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.labelled import SAMPLE_ROWS, fit_logistic, held_out, labelled_sample, sigmoid
-from packetloom.llm.text import MARKS, Words, slices, utf8, word_hash
+from packetloom.llm.text import MARKS, Words, slices, small_batches, utf8, word_hash
 from packetloom.session import cut
 
 CANDIDATES = 5_000
@@ -244,6 +244,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
     class only leave the prior lexicon.  A null or empty text has no clause and gets the score of a clean one.  Repeated
     rows score alike.  No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     model = learn(labelled_sample(docs, labels, "toxic", text, rows))
     weights = np.array(model.weights)
 
