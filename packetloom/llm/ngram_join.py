@@ -307,15 +307,16 @@ def _leftover_pairs(tiles: DataFrame, labels: DataFrame, profiles: DataFrame, pe
     # Tiles with the same members are one.
     once = mixed.groupBy("mark", "members").agg(F.min(F.struct("tile", "band")).alias("t")).select(
         "t.tile", "t.band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    members = labelled.join(once, ["tile", "band"]).select(F.xxhash64("tile", "band").alias("uid"), "class_id", "root", "blocks")
+    # The tiles of a class, at most two per prefix hash: a pair is met in the first tile that both have, and only there.
+    own = members.groupBy("class_id").agg(F.collect_list("uid").alias("uids"))
     rows = (
-        labelled.join(once, ["tile", "band"])
-        .withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("blocks")).cast("int"))
+        members.withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("tile", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "block", "class_id", "root")
+        .select("uid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "root")
     )
-    full = rows.join(profiles.select("class_id", "n", F.size("shared").alias("m"), "bits"), "class_id")
-    keys = ["tile", "band", "i", "j"]
+    full = rows.join(profiles.select("class_id", "n", F.size("shared").alias("m"), "bits").join(own, "class_id"), "class_id")
+    keys = ["uid", "i", "j"]
 
     def run(batches):
         for table in grouped(batches, keys):
@@ -323,23 +324,23 @@ def _leftover_pairs(tiles: DataFrame, labels: DataFrame, profiles: DataFrame, pe
             ids, root = table["class_id"].to_numpy(), table["root"].to_numpy()
             n, m = table["n"].to_numpy().astype(np.int64), table["m"].to_numpy().astype(np.int64)
             bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+            uid, i, j = (table[k][0].as_py() for k in keys)
+            before = [frozenset(u for u in uids if u < uid) for uids in table["uids"].to_pylist()]
             left = np.flatnonzero(block == i)
             right = left if i == j else np.flatnonzero(block == j)
-            a_out, b_out = [], []
+            pairs: list[tuple[int, int]] = []
             for x in left.tolist():
                 other = right[ids[right] > ids[x]] if i == j else right
                 total = n[x] + n[other]
                 apart = np.bitwise_count(bits[other] ^ bits[x]).sum(axis=1, dtype=np.int64)
                 ok = (root[other] != root[x]) & ((100 + percent) * np.minimum(n[x], n[other]) >= percent * total)
                 ok &= (100 + percent) * ((m[x] + m[other] - apart) // 2) >= percent * total
-                hit = ids[other[ok]]
-                a_out.append(np.minimum(hit, ids[x]))
-                b_out.append(np.maximum(hit, ids[x]))
-            if a_out and sum(map(len, a_out)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+                pairs += [(x, y) for y in other[ok].tolist() if before[x].isdisjoint(before[y])]
+            if pairs:
+                a, b = ids[[x for x, _ in pairs]], ids[[y for _, y in pairs]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    spread = full.select(*keys, "block", "class_id", "root", "n", "m", "bits").repartition(*keys).sortWithinPartitions(*keys)
+    spread = full.select(*keys, "block", "class_id", "root", "n", "m", "bits", "uids").repartition(*keys).sortWithinPartitions(*keys)
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
