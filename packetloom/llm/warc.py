@@ -23,6 +23,8 @@ from packetloom.session import scratch_path
 
 MIN_BYTES = 100
 RECORDS_PER_FILE = 20_000
+#: Level of gzip: half the time of the default for a few hundredths more bytes.
+LEVEL = "THREE"
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -57,7 +59,7 @@ def record(kind: Column, record_id: Column, page_id: Column, target: Column, dig
 
 def write(records: DataFrame, path: str) -> None:
     """Write a table of one column, whole records, as archives."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", LEVEL).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def _parsed(content: bytes):
@@ -142,8 +144,8 @@ def write_pages(pages: DataFrame, path: str) -> None:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     archive = F.lit(uuid.uuid4().hex[:12])
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
-                        F.concat_ws("-", archive, F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")).alias("record_id"))
-    write(rows.select(record(F.lit("response"), F.col("record_id"), F.col("page_id"), F.col("url"), F.sha2("payload", 256),
+                        F.sha2(payload, 256).alias("digest"), F.concat_ws("-", archive, F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")).alias("record_id"))
+    write(rows.select(record(F.lit("response"), F.col("record_id"), F.col("page_id"), F.col("url"), F.col("digest"),
                              F.lit(None).cast("string"), F.col("payload")).alias("value")), path)
 
 
