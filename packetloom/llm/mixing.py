@@ -58,29 +58,31 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUN
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
-    goals = {}
-    for name, wanted in targets.items():
-        sums = state.groupBy(name).agg(F.sum("weight").alias("present"))
-        known = wanted.select(F.col("value"), F.col("target").cast("double").alias("target"))
-        joined = sums.join(known, sums[name].eqNullSafe(known["value"]), "left").select(F.col(name), F.coalesce("target", "present").alias("target"))
-        scale = joined.agg(F.sum("target")).first()[0] or 1.0
-        goals[name] = cut(joined.select(F.col(name).alias("__value"), (F.col("target") / F.lit(scale)).alias("__target")))
+    names = list(targets)
+    for k, (name, wanted) in enumerate(targets.items()):
+        # Targets ride along with their cells, scaled to one over the values that have tokens.
+        sums = state.groupBy(F.col(name).alias("__own")).agg(F.sum("weight").alias("__present"))
+        known = wanted.select(F.col("value").alias("__value"), F.col("target").cast("double").alias("__target"))
+        goal = sums.join(known, F.col("__own").eqNullSafe(F.col("__value")), "left").select("__own", F.coalesce("__target", "__present").alias("__goal"))
+        scale = goal.agg(F.sum("__goal")).first()[0] or 1.0
+        goal = goal.select("__own", (F.col("__goal") / F.lit(scale)).alias(f"__goal{k}"))
+        state = state.join(goal, F.col(name).eqNullSafe(F.col("__own"))).drop("__own")
     state = cut(state)
     for _ in range(rounds):
-        far = []
-        for name, goal in goals.items():
-            sums = state.groupBy(F.col(name).alias("__own")).agg(F.sum("weight").alias("__sum"))
-            factor = sums.join(goal, F.col("__own").eqNullSafe(F.col("__value"))).select(
-                "__own", (F.col("__target") / F.col("__sum")).alias("__factor"))
-            state = state.join(factor, F.col(name).eqNullSafe(F.col("__own"))).withColumn("weight", F.col("weight") * F.col("__factor"))
-            far.append(f"__far_{name}")
-            state = state.withColumn(far[-1], F.abs(F.col("__factor") - 1)).drop("__own", "__factor")
+        far = F.lit(0.0)
+        for k, name in enumerate(names):
+            # Sums are joined by sort and merge: nothing is gathered on the driver, and a value of very many cells is split.
+            sums = state.groupBy(F.col(name).alias("__own")).agg(F.sum("weight").alias("__sum")).hint("merge")
+            factor = F.col(f"__goal{k}") / F.col("__sum")
+            state = state.join(sums, F.col(name).eqNullSafe(F.col("__own"))).withColumn(f"__far{k}", F.abs(factor - 1)).withColumn(
+                "weight", F.col("weight") * factor).drop("__own", "__sum")
+            far = F.greatest(far, F.col(f"__far{k}"))
         state = cut(state)
-        moved = state.agg(F.max(F.greatest(*far, F.lit(0.0)))).first()[0] or 0.0
-        state = state.drop(*far)
+        moved = state.agg(F.max(far)).first()[0] or 0.0
+        state = state.drop(*(f"__far{k}" for k in range(len(names))))
         if moved <= tolerance:
             break
-    return state
+    return state.drop(*(f"__goal{k}" for k in range(len(names))))
 
 
 def probabilities(cells: DataFrame, share: float) -> DataFrame:

@@ -27,7 +27,7 @@ from packetloom.session import cut
 
 CAPACITY = 2048
 END_ID = 0
-BLOCK = 2048
+BLOCK = 8192
 ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 4

@@ -179,7 +179,8 @@ def learn(sample: DataFrame, least_rows: int = LEAST_ROWS) -> Model:
 
     toxic = rows.where("y = 1").select("text").mapInPandas(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     # Words that toxic rows share with most others are out by their counts; the list that is broadcast is bounded.
-    frequent = {r["entry"]: r["n"] for r in toxic.where(F.col("n") >= least_rows).orderBy(F.desc("n"), "entry").limit(40 * CANDIDATES).collect()}
+    often = toxic.where(F.col("n") >= least_rows).orderBy(F.desc("n"), "entry").limit(40 * CANDIDATES).toArrow()
+    frequent = dict(zip(often["entry"].to_pylist(), often["n"].to_pylist(), strict=True))
 
     def against(frames):
         for frame in frames:
@@ -188,7 +189,8 @@ def learn(sample: DataFrame, least_rows: int = LEAST_ROWS) -> Model:
                 found.update(e for e in _entries(text) if e in frequent)
             yield pd.DataFrame({"entry": list(found), "n": list(found.values())})
 
-    clean = {r["entry"]: r["n"] for r in rows.where("y = 0").select("text").mapInPandas(against, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    met = rows.where("y = 0").select("text").mapInPandas(against, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+    clean = dict(zip(met["entry"].to_pylist(), met["n"].to_pylist(), strict=True))
     share = size[0] / size[1]
     # Kept: at least fifty times as frequent in toxic rows, and more than chance explains.
     odds = {e: (n + 0.0) / ((clean.get(e, 0) + 0.5) / share + 0.5 / share) for e, n in frequent.items() if clean.get(e, 0) <= 0.002 * share * n}
