@@ -45,9 +45,9 @@ def measured(column: pa.Array) -> pa.Array:
 def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """value and target share: the present share to a power, made to sum to one.  Power 1 keeps shares, 0 makes them equal."""
     sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("n")).where("n > 0")
-    scaled = sums.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
-    total = scaled.agg(F.sum("w").alias("all"))
-    return scaled.join(F.broadcast(total)).select("value", (F.col("w") / F.col("all")).alias("target"))
+    scaled = sums.select("value", F.pow(F.col("n").cast("double"), F.lit(power)).alias("w"))
+    total = scaled.agg(F.sum("w")).first()[0] or 1.0
+    return scaled.select("value", (F.col("w") / F.lit(float(total))).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -66,18 +66,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUN
         goal = sums.join(known, F.col("__own").eqNullSafe(F.col("__value")), "left").select("__own", F.coalesce("__target", "__present").alias("__goal"))
         scale = goal.agg(F.sum("__goal")).first()[0] or 1.0
         goal = goal.select("__own", (F.col("__goal") / F.lit(scale)).alias(f"__goal{k}"))
-        state = state.join(goal, F.col(name).eqNullSafe(F.col("__own"))).drop("__own")
-    state = cut(state)
+        state = cut(state.join(goal, F.col(name).eqNullSafe(F.col("__own"))).drop("__own"))
     for _ in range(rounds):
         far = F.lit(0.0)
         for k, name in enumerate(names):
             # Sums are joined by sort and merge: nothing is gathered on the driver, and a value of very many cells is split.
             sums = state.groupBy(F.col(name).alias("__own")).agg(F.sum("weight").alias("__sum")).hint("merge")
             factor = F.col(f"__goal{k}") / F.col("__sum")
-            state = state.join(sums, F.col(name).eqNullSafe(F.col("__own"))).withColumn(f"__far{k}", F.abs(factor - 1)).withColumn(
-                "weight", F.col("weight") * factor).drop("__own", "__sum")
+            # Written after each step: the next one reads its input twice, and plans would double.
+            state = cut(state.join(sums, F.col(name).eqNullSafe(F.col("__own"))).withColumn(f"__far{k}", F.abs(factor - 1)).withColumn(
+                "weight", F.col("weight") * factor).drop("__own", "__sum"))
             far = F.greatest(far, F.col(f"__far{k}"))
-        state = cut(state)
         moved = state.agg(F.max(far)).first()[0] or 0.0
         state = state.drop(*(f"__far{k}" for k in range(len(names))))
         if moved <= tolerance:
