@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm.quality import form
-from packetloom.llm.text import SPACES, Words, slices, small_batches, utf8
+from packetloom.llm.text import small_batches
 from packetloom.session import cut
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -30,12 +30,8 @@ TEMPER = {"source": 0.9, "lang": 0.95, "topic": 0.95}
 @F.arrow_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())]))
 def measured(column: pa.Array) -> pa.Array:
     """Words of the whole text, and its kind by form: empty, tabular, symbolic, numeric, shouted, short, article or long."""
-    data, offsets = utf8(column)
-    tokens = np.zeros(len(column), np.int64)
-    for begin, end in slices(offsets):
-        base = offsets[begin]
-        tokens[begin:end] = np.diff(Words(data[base : offsets[end]], offsets[begin : end + 1] - base, SPACES).first)
     x = form(column)
+    tokens = np.rint(np.expm1(x[:, 0])).astype(np.int64)
     topic = np.select(
         [tokens == 0, x[:, 5] > 0.2, x[:, 2] > 0.1, x[:, 3] > 0.1, x[:, 4] > 0.3, tokens < 100, tokens < 1000],
         ["empty", "tabular", "symbolic", "numeric", "shouted", "short", "article"], "long")
