@@ -207,7 +207,7 @@ EVENTS_SQL = (
   events_ AS (SELECT *, CASE WHEN complete THEN 'complete' ELSE 'partial' END AS status,
       CASE WHEN complete THEN least(0.99::DOUBLE, base_confidence + CASE WHEN code_changed OR length_changed THEN 0.08::DOUBLE ELSE 0 END)
         ELSE least(0.7::DOUBLE, least(0.99::DOUBLE, base_confidence + CASE WHEN code_changed OR length_changed THEN 0.08::DOUBLE ELSE 0 END)) END AS confidence,
-      concat_ws('|', target, substr(trim(regexp_replace(lower(value), '\\s+', ' ', 'g')), 1, 512), signals) AS meaning FROM compared)"""
+      concat_ws('|', target, trim(regexp_replace(lower(value), '\\s+', ' ', 'g')), signals) AS meaning FROM compared)"""
 )
 
 

@@ -21,9 +21,9 @@ def octets(text: Column) -> Column:
 
 
 def form_decode(text: Column) -> Column:
-    """Percent-decode with ``+`` as a blank; text that is not valid percent coding is kept as it is."""
-    blanks = F.translate(text, "+", " ")
-    return F.coalesce(F.try_url_decode(text), blanks)
+    """Percent-decode with ``+`` as a blank: every valid escape is decoded, a percent sign without two hex digits stays."""
+    stray = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(stray), F.translate(text, "+", " "))
 
 
 def bounded_preview(text: Column, max_bytes: int) -> Column:

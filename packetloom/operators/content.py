@@ -12,7 +12,8 @@ PARAMETER = '([A-Za-z0-9_-]+)\\s*=\\s*(?:"([^"]*)"|([^;\\s]+))'
 def content_table(df: DataFrame, value: str, owner: str) -> DataFrame:
     """One row per distinct value with how often it occurs and its first owner.
 
-    Copies collapse before the shuffle; which owner holds which hash stays in ``content_links``.
+    Copies collapse before the shuffle; which owner holds which hash stays in ``content_links``.  Readers that drop
+    ``content`` move no text: the length is aggregated on its own.
     """
     return (
         df.where(F.col(value).isNotNull())
@@ -22,8 +23,8 @@ def content_table(df: DataFrame, value: str, owner: str) -> DataFrame:
             F.first("content").alias("content"),
             F.count(F.lit(1)).alias("copies"),
             F.min("owner").alias("first_owner"),
+            F.max(F.octet_length("content")).cast("long").alias("byte_length"),
         )
-        .withColumn("byte_length", F.octet_length("content").cast("long"))
     )
 
 

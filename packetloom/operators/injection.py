@@ -113,8 +113,8 @@ def _usable(frame: Column, status: Column) -> Column:
 
 
 def normalize_probe(value: Column) -> Column:
-    """Lower case, single blanks, first 512 characters."""
-    return F.left(F.trim(F.regexp_replace(F.lower(value), "\\s+", " ")), F.lit(512))
+    """Lower case and single blanks, of the whole value."""
+    return F.trim(F.regexp_replace(F.lower(value), "\\s+", " "))
 
 
 def injection_events(params: DataFrame, preview_bytes: int = 256) -> DataFrame:

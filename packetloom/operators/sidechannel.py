@@ -52,7 +52,7 @@ def dns_samples(decoded: DataFrame, samples: int = 3) -> DataFrame:
     """First encoded names of every group; the rank filter is applied before the shuffle too."""
     order = Window.partitionBy(*GROUP).orderBy("frame_number")
     return decoded.withColumn("sample", F.row_number().over(order)).where(F.col("sample") <= samples).select(
-        *GROUP, "sample", F.substring("encoded_name", 1, 256).alias("encoded_name")
+        *GROUP, "sample", "encoded_name"
     )
 
 

@@ -66,7 +66,8 @@ SIMPLE: dict[str, tuple[str, dict[str, str], str | None]] = {
             "method": "CASE WHEN page_id % 4 = 0 THEN 'POST' ELSE 'GET' END",
             "path": "concat('/item/', page_id % 7)",
             "uri": "concat('/item/', page_id % 7, '?id=', page_id, '&q=', "
-            "CASE page_id % 5 WHEN 0 THEN '1%27+OR+1%3D1--' "
+            "CASE page_id % 5 WHEN 0 THEN concat('1%27+OR+1%3D1--', "
+            "CASE page_id % 4 WHEN 0 THEN '+%' WHEN 1 THEN '+%zz%2' WHEN 2 THEN '+%2541' ELSE '' END) "
             "WHEN 1 THEN '1+UNION+SELECT+name+FROM+information_schema.tables' "
             "ELSE concat('item', page_id) END)",
             "response_code": "CASE WHEN page_id % 6 = 3 THEN 500 ELSE 200 END",

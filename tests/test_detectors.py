@@ -153,3 +153,25 @@ def test_plain_pings_are_no_oracle(spark):
     assert found == {"a": 0, "c": 100}
     text = sidechannel.ttl_text(spark.createDataFrame(rows, "capture_id int, frame_number long, source string, destination string, ttl int, reply_frame long"), block=6).where("source = 'c'").orderBy("block_no").collect()
     assert "".join(r.attempt_text for r in text) == "ABCDEFGHIJ" and "".join(r.accepted_text for r in text) == "BDFHJ"
+
+
+def test_form_decode_keeps_stray_percent_signs(spark):
+    from pyspark.sql import functions as F
+
+    from packetloom.functions.text import form_decode
+
+    cases = {
+        "1%27+OR+1%3D1--+%": "1' OR 1=1-- %", "%zz%41": "%zzA", "100%": "100%", "a%2": "a%2", "%2541": "%41", "": "", "a+b": "a b", "%%27": "%'",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", form_decode(F.col("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in rows} == cases
+    assert spark.createDataFrame([(None,)], "t string").select(form_decode(F.col("t")).alias("d")).first()["d"] is None
+
+
+def test_probe_key_sees_the_whole_value(spark):
+    from pyspark.sql import functions as F
+
+    from packetloom.operators.injection import normalize_probe
+
+    rows = spark.createDataFrame([("x" * 600 + "A",), ("x" * 600 + "b",)], "t string").select(normalize_probe(F.col("t")).alias("k")).collect()
+    assert rows[0]["k"] != rows[1]["k"] and rows[0]["k"].endswith("xa")
