@@ -105,10 +105,10 @@ def _(spark, sf):
     return sidechannel.pointer_text(view(spark, sf, "urgent")).drop("capture_id", "block_start")
 
 
-# Every stream spells a flag after 20 other characters, so it crosses a border of the 32-character blocks, and
-# again every 600 characters.
+# Every stream spells a flag after 20 other characters, again and again without a pause, so flags cross the borders of
+# the 32-character blocks.
 FLAG_AT, FLAG = 20, "flag{hidden-in-urgent-pointers}"
-SPELL = ("." * FLAG_AT + FLAG).ljust(600, ".")
+SPELL = "." * FLAG_AT + FLAG
 
 
 FLAGS_SQL = f""", r AS (SELECT stream_index, source, destination, row_number() OVER (PARTITION BY stream_index ORDER BY frame_number) - 1 AS k FROM urgent),

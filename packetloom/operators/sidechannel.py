@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packetloom.functions.text import each, explode_matches, stable_id
-from packetloom.operators.ordered import lag, row_number, running_sum, scan
+from packetloom.operators.ordered import lag, row_number, running_max, running_sum, scan
 
 GROUP = ["capture_id", "source", "destination", "base_domain", "encoding"]
 ROUTE = ["capture_id", "source", "destination"]
@@ -21,14 +21,15 @@ def ordered_text(
 ) -> DataFrame:
     """One-character pieces in order, joined into text blocks of at most ``block`` pieces.
 
-    ``block_start`` is the rank of a block's first piece.  With ``overlap`` a block also carries the pieces
-    after it, so a match over a border can be found in the block that owns its start.
+    ``block_start`` is the rank of a block's first piece.  With ``overlap`` a block also carries that many pieces
+    after it, from as many blocks as they span, so the block that owns a match's start holds all of it.
     """
     ranked = scan(df.withColumn("__piece", piece), keys, position, {"__rank": row_number()}).withColumn("__rank", F.col("__rank") - 1)
     number = F.expr(f"__rank div {block}")
     homes = F.array(number)
     if overlap:
-        homes = F.when((F.col("__rank") % block < overlap) & (number > 0), F.array(number, number - 1)).otherwise(homes)
+        lowest = F.greatest(F.lit(0), F.floor((F.col("__rank") - overlap) / block)).cast("long")
+        homes = F.sequence(lowest, number.cast("long"))
     placed = ranked.select(*keys, "__rank", "__piece", F.explode(homes).alias("block_no"))
     return placed.groupBy(*keys, "block_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "__piece"))), lambda p: p["__piece"]), "").alias("text")
@@ -133,6 +134,8 @@ def ttl_text(paired: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
 
 POINTER_KEY = ["capture_id", "stream_index", "source", "destination"]
 POINTER_FLAG = "(?i)(?:flag|ctf)\\{[^\\r\\n\\x00]{1,240}\\}"
+POINTER_START = "(?i)(?:flag|ctf)\\{"
+POINTER_LONGEST = 246
 
 
 def pointer_text(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
@@ -144,17 +147,31 @@ def pointer_text(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
 
 
 def pointer_flags(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
-    """Flag-like text in the pointer characters, each found in the block that owns its first character.
+    """Flag-like text in the pointer characters, leftmost first and without overlaps over the whole direction.
 
-    A block sees enough of the next one for the longest match.  Where a match runs over a border, the block
-    after it is read from the border on, so text inside that match may be reported once more.
+    Every place where a flag may begin is tried in the block that owns it, which holds all of the longest match.
+    Of matches that overlap, those are kept that a walk from the left keeps; only such clusters are walked, and the block
+    size never changes the result.
     """
     usable = df.where("pointer > 0")
     shown = F.when(F.col("pointer").between(32, 126), F.char(F.col("pointer"))).otherwise("?")
-    text = ordered_text(usable, POINTER_KEY, "frame_number", shown, block, overlap=256)
-    hits = explode_matches(text, POINTER_FLAG, "text")
-    return hits.where(F.col("hit.offset") < block).select(
-        *POINTER_KEY, (F.col("block_start") + F.col("hit.offset")).alias("offset"), F.col("hit.value").alias("value")
+    text = ordered_text(usable, POINTER_KEY, "frame_number", shown, block, overlap=POINTER_LONGEST)
+    starts = explode_matches(text.withColumn("__whole", F.col("text")), POINTER_START, "text").where(F.col("hit.offset") < block)
+    value = F.regexp_extract(F.substr("__whole", F.col("hit.offset") + 1, F.lit(POINTER_LONGEST)), f"^{POINTER_FLAG}", 0)
+    hits = starts.select(*POINTER_KEY, (F.col("block_start") + F.col("hit.offset")).alias("offset"), value.alias("value")).where("value <> ''")
+    reach = scan(hits.withColumn("__end", F.col("offset") + F.length("value")), POINTER_KEY, "offset", {
+        "__reach": running_max(F.col("__end"), inclusive=False)})
+    fresh = F.when(F.col("offset") < F.col("__reach"), 0).otherwise(1)
+    clusters = scan(reach.withColumn("__fresh", fresh), POINTER_KEY, "offset", {"__cluster": running_sum(F.col("__fresh"))})
+    row = F.struct("offset", "value", "__end")
+    walked = F.expr(
+        "aggregate(array_sort(rows), named_struct('kept', slice(rows, 1, 0), 'end', CAST(-1 AS BIGINT)), (s, r) -> "
+        "IF(r.offset >= s.end, named_struct('kept', concat(s.kept, array(r)), 'end', CAST(r.__end AS BIGINT)), s)).kept"
+    )
+    return (
+        clusters.groupBy(*POINTER_KEY, "__cluster").agg(F.collect_list(row).alias("rows"))
+        .select(*POINTER_KEY, F.explode(walked).alias("hit"))
+        .select(*POINTER_KEY, "hit.offset", "hit.value")
     )
 
 

@@ -175,3 +175,16 @@ def test_probe_key_sees_the_whole_value(spark):
 
     rows = spark.createDataFrame([("x" * 600 + "A",), ("x" * 600 + "b",)], "t string").select(normalize_probe(F.col("t")).alias("k")).collect()
     assert rows[0]["k"] != rows[1]["k"] and rows[0]["k"].endswith("xa")
+
+
+def test_pointer_flags_do_not_depend_on_the_block(spark):
+    import re
+
+    from packetloom.operators.sidechannel import pointer_flags
+
+    text = "flag{aaa} and ctf{bbb}" + "x" * 40 + "FLAG{" + "y" * 100 + "}" + "ctf{flag{z}..}" + "flag{" + "w" * 300 + "} flag{q}"
+    rows = [(1, 7, "a", "b", k + 1, ord(c)) for k, c in enumerate(text)]
+    df = spark.createDataFrame(rows, "capture_id int, stream_index long, source string, destination string, frame_number long, pointer int")
+    expected = [(m.start(), m.group(0)) for m in re.finditer(r"(?i)(?:flag|ctf)\{[^\r\n\x00]{1,240}\}", text)]
+    for block in (8, 32, 4096):
+        assert sorted((r["offset"], r["value"]) for r in pointer_flags(df, block).collect()) == expected
