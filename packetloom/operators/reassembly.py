@@ -1,8 +1,10 @@
 """Byte streams rebuilt from overlapping segments: the first seen byte wins, everything else is listed.
 
-Segments that overlap no other are accepted as they are.  The others are cut at bucket borders (2 KiB of
-stream), so work is spread over (stream, bucket) and a long stream is never gathered.  Inside a bucket the segment borders give elementary intervals; each
-interval belongs to the earliest frame covering it.  Exact copies of a segment are collapsed before that.
+Who owns a byte depends on sequence number, length and frame alone, so ownership is settled on narrow rows.  Of segments
+with equal place and length the earliest leads.  Leaders are cut at bucket borders (2 KiB of stream), so work is spread
+over (stream, bucket) and a long stream is never gathered.  Inside a bucket the segment borders give elementary intervals;
+each interval belongs to the earliest frame covering it.  Payload is joined back by frame, where bytes must be compared or
+returned.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packetloom.functions.text import each
-from packetloom.operators.ordered import group_first, next_value, running_max, running_sum, scan, span_of
+from packetloom.operators.ordered import running_max, running_sum, scan, span_of, spread_join
 from packetloom.session import cut
 
 STREAM = ["capture_id", "stream_index", "direction"]
@@ -24,37 +26,27 @@ CONTENT_BLOCK = 65_536
 POSITIONS = 1 << 20
 
 
-def _pieces(segments: DataFrame) -> DataFrame:
-    """Segments clipped to buckets, one piece per bucket they touch."""
-    sized = segments.withColumn("__end", F.col("seq") + F.octet_length("payload"))
-    cut = sized.select(
-        "*", F.explode(F.sequence(F.expr(f"seq div {BUCKET}"), F.expr(f"(__end - 1) div {BUCKET}"))).alias("bucket")
-    )
-    low = F.greatest(F.col("seq"), F.col("bucket") * BUCKET)
-    high = F.least(F.col("__end"), (F.col("bucket") + 1) * BUCKET)
-    return cut.select(
-        *STREAM, "bucket", "frame_number", low.alias("start"), high.alias("end"),
-        F.substring("payload", (low - F.col("seq") + 1).cast("int"), (high - low).cast("int")).alias("data"),
-    )
-
-
-def _covering(pieces: DataFrame) -> DataFrame:
-    """Every piece split at the borders that fall inside it.
+def _covering(leaders: DataFrame) -> DataFrame:
+    """Leaders clipped to buckets and split at the borders that fall inside them: bucket, frame_number, low, high.
 
-    A bucket has at most one border per byte, so the sorted border list of a bucket is bounded; each piece
-    slices out its own part of the list.
+    A bucket has at most one start and one end per byte, so its two border sets are bounded.
     """
-    borders = pieces.select(*STREAM, "bucket", F.explode(F.array("start", "end")).alias("at")).distinct()
-    lists = borders.groupBy(*STREAM, "bucket").agg(F.array_sort(F.collect_list("at")).alias("borders"))
-    placed = pieces.join(lists, [*STREAM, "bucket"])
-    first = F.array_position("borders", F.col("start")).cast("int")
-    count = (F.array_position("borders", F.col("end")) - first).cast("int")
-    cells = F.arrays_zip(F.slice("borders", first, count).alias("low"), F.slice("borders", first + 1, count).alias("high"))
-    step = each(placed, [*STREAM, "bucket", "frame_number", "start", "data"], cells, "cell")
-    return step.select(
-        *STREAM, "bucket", "frame_number", F.col("cell.low").alias("low"), F.col("cell.high").alias("high"),
-        F.substring("data", (F.col("cell.low") - F.col("start") + 1).cast("int"), (F.col("cell.high") - F.col("cell.low")).cast("int")).alias("slice"),
+    end = F.col("seq") + F.col("length")
+    touched = leaders.select("*", F.explode(F.sequence(F.expr(f"seq div {BUCKET}"), F.expr(f"(seq + length - 1) div {BUCKET}"))).alias("bucket"))
+    pieces = touched.select(
+        *STREAM, "bucket", "frame_number",
+        F.greatest(F.col("seq"), F.col("bucket") * BUCKET).alias("start"), F.least(end, (F.col("bucket") + 1) * BUCKET).alias("end"),
     )
+    bucket = Window.partitionBy(*STREAM, "bucket")
+    placed = pieces.select("*", F.collect_set("start").over(bucket).alias("starts"), F.collect_set("end").over(bucket).alias("ends"))
+    inner = F.filter(F.concat("starts", "ends"), lambda at: (at > F.col("start")) & (at < F.col("end")))
+    borders = F.array_sort(F.array_distinct(F.concat(F.array("start", "end"), inner)))
+    listed = placed.select(*STREAM, "bucket", "frame_number", borders.alias("borders"))
+    cells = F.arrays_zip(
+        F.slice("borders", F.lit(1), F.size("borders") - 1).alias("low"), F.slice("borders", F.lit(2), F.size("borders") - 1).alias("high")
+    )
+    step = each(listed, [*STREAM, "bucket", "frame_number"], cells, "cell")
+    return step.select(*STREAM, "bucket", "frame_number", F.col("cell.low").alias("low"), F.col("cell.high").alias("high"))
 
 
 def _merge(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,54 +57,89 @@ def _merge(cells: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*STREAM, *keys, "__island").agg(F.min("low").alias("start"), F.max("high").alias("end")).drop("__island")
 
 
-LEDGERS = ("spans", "cells", "duplicates", "conflicts", "gaps")
+LEDGERS = ("ranges", "spans", "cells", "duplicates", "conflicts", "gaps")
 
 
 def reassemble(segments: DataFrame, want: Sequence[str] = LEDGERS) -> dict[str, DataFrame]:
     """Ledgers of every stream direction.
 
-    ``spans``: accepted ranges with their frame and place in the output.  ``cells``: the accepted bytes,
-    cut at bucket borders.  ``duplicates`` and ``conflicts``: ranges of later frames that repeat or
-    contradict accepted bytes.  ``gaps``: ranges no frame covers.
+    ``ranges``: accepted ranges with their frame.  ``spans``: those with their place in the output.  ``cells``: those with
+    their bytes.  ``duplicates`` and ``conflicts``: ranges of later frames that repeat or contradict accepted bytes.
+    ``gaps``: ranges no frame covers.
 
     ``segments``: capture_id, stream_index, direction, frame_number, seq, payload (binary).  ``want`` names
-    the ledgers to build; without duplicates and conflicts the copies need no work of their own.
+    the ledgers to build: spans and gaps need no payload, cells join it once, duplicates and conflicts compare it.
     """
     usable = segments.where("payload IS NOT NULL AND octet_length(payload) > 0")
-    # Copies of one segment share start and bytes; the earliest stands for all of them.
-    leaders = usable.groupBy(*STREAM, "seq", "payload").agg(F.min("frame_number").alias("frame_number"))
+    narrow = usable.select(*STREAM, "frame_number", "seq", F.octet_length("payload").alias("length"))
+    compared = "duplicates" in want or "conflicts" in want
+    if compared:
+        # Read by several branches: a few numbers for each segment.
+        narrow = cut(narrow)
+    leaders = narrow.groupBy(*STREAM, "seq", "length").agg(F.min("frame_number").alias("frame_number"), F.count("*").alias("copies"))
+    covering = _covering(leaders)
+    if compared:
+        # The rows of a cell stay where their bucket is; the earliest frame comes first.
+        earliest = Window.partitionBy(*STREAM, "bucket", "low", "high").orderBy("frame_number")
+        covering = cut(covering.withColumn("owner", F.first("frame_number").over(earliest)))
+        owned = covering.where("frame_number = owner").select(*STREAM, "frame_number", "low", "high")
+    else:
+        owned = covering.groupBy(*STREAM, "bucket", "low", "high").agg(F.min("frame_number").alias("frame_number")).drop("bucket")
+    ranges = _merge(owned, ["frame_number"])
+    if compared:
+        ranges = cut(ranges)
+    ledgers = {"ranges": ranges, "spans": _with_output(ranges), "gaps": stream_gaps(ranges)}
+    if "cells" in want:
+        part = F.substring("payload", (F.col("start") - F.col("seq") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+        ledgers["cells"] = ranges.join(usable.select(*STREAM, "frame_number", "seq", "payload"), [*STREAM, "frame_number"]).select(
+            *STREAM, F.col("start").alias("low"), F.col("end").alias("high"), "frame_number", part.alias("data")
+        )
+    if compared:
+        later = covering.where("frame_number <> owner").select(*STREAM, "frame_number", "owner", "low", "high")
+        copied = _copies(narrow, leaders, ranges, later)
+        equal, unequal = _compare(usable, later.unionByName(copied))
+        names = ["frame_number", "owner"]
+        ledgers["duplicates"] = _merge(equal, names)
+        ledgers["conflicts"] = _merge(unequal, names)
+    return {name: ledgers[name] for name in want}
 
-    # A segment stands alone if all earlier starts end before it and the next one starts after it.
-    end = F.col("seq") + F.octet_length("payload")
-    placed = scan(
-        leaders, STREAM, "seq",
-        {"__reach": running_max(end, inclusive=False), "__next": next_value(F.col("seq"))},
-        ties=["frame_number"], span=POSITIONS,
-    )
-    alone = (F.coalesce("__reach", F.col("seq")) <= F.col("seq")) & (F.coalesce("__next", end) >= end)
-    split = cut(placed.select(*STREAM, "frame_number", "seq", "payload", alone.alias("alone")))
-    covering = _covering(_pieces(split.where("NOT alone")))
-    cell = [*STREAM, "low", "high"]
-    owners = covering.groupBy(*cell).agg(
-        F.min("frame_number").alias("owner"), F.min_by("slice", "frame_number").alias("owner_slice")
-    )
-    differs = (F.col("frame_number") != F.col("owner")) & (F.col("slice") != F.col("owner_slice"))
-    # All ledgers read this table, so it is written once.
-    contested = covering.join(owners, cell).select(
-        *cell, "frame_number", "owner", "slice", differs.alias("differs"), F.when(differs, F.col("owner_slice")).alias("owner_slice")
-    )
-    single = split.where("alone").select(
-        *STREAM, F.col("seq").alias("low"), end.alias("high"), "frame_number", F.col("frame_number").alias("owner"),
-        F.col("payload").alias("slice"), F.lit(False).alias("differs"), F.lit(None).cast("binary").alias("owner_slice"),
-    )
-    judged = cut(contested.unionByName(single))
-    later = ["frame_number", "owner"]
-    owned = judged.where("frame_number = owner")
 
+def _copies(narrow: DataFrame, leaders: DataFrame, owned: DataFrame, later: DataFrame) -> DataFrame:
+    """Later ranges of the segments that lie where their leader lies: what it owns, and what it finds owned.
+
+    Both joins go by span of frames beside their keys, so a segment repeated very often stays spread.
+    """
+    place = [*STREAM, "seq", "length"]
+    first = leaders.where("copies > 1").select(*place, F.col("frame_number").alias("leader"))
+    led = spread_join(narrow, first, place, "frame_number", "inner").where("frame_number <> leader").select(*STREAM, "leader", "frame_number")
+    led = cut(led.withColumn("__slot", span_of("frame_number")))
+    slots = led.select(*STREAM, "leader", "__slot").distinct()
+    known = owned.select(*STREAM, F.col("frame_number").alias("leader"), F.col("frame_number").alias("owner"), F.col("start").alias("low"), F.col("end").alias("high"))
+    ranges = known.unionByName(later.withColumnRenamed("frame_number", "leader"))
+    return led.join(slots.join(ranges, [*STREAM, "leader"]), [*STREAM, "leader", "__slot"]).select(*STREAM, "frame_number", "owner", "low", "high")
+
+
+def _compare(segments: DataFrame, later: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ranges of later frames that repeat their owner's bytes and those that contradict them.
+
+    Both slices of a range are asked for in one join, so payload is shuffled once.  Of a segment that very many
+    contradict only the narrow asking side is long, which the skew join splits.
+    """
+    asked = later.select("*", F.explode(F.array("frame_number", "owner")).alias("segment"))
+    keyed = segments.select(*STREAM, F.col("frame_number").alias("segment"), "seq", "payload")
+    part = F.substring("payload", (F.col("low") - F.col("seq") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int"))
+    given = asked.join(keyed, [*STREAM, "segment"]).select(*later.columns, "segment", part.alias("part"))
+    met = given.groupBy(*later.columns).agg(
+        F.max(F.when(F.col("segment") == F.col("frame_number"), F.col("part"))).alias("slice"),
+        F.max(F.when(F.col("segment") == F.col("owner"), F.col("part"))).alias("owner_slice"),
+    )
+    # Both ledgers read this table, so it is written once; bytes of equal slices are left out.
+    judged = cut(met.select(*later.columns, *(F.when(F.col("slice") != F.col("owner_slice"), F.col(c)).alias(c) for c in ("slice", "owner_slice"))))
+    same = judged.where("slice IS NULL").select(*later.columns)
     # Only unequal slices are looked at byte by byte.
     size = (F.col("high") - F.col("low")).cast("int")
-    bytewise = judged.where("differs").select(
-        *STREAM, *later,
+    bytewise = judged.where("slice IS NOT NULL").select(
+        *STREAM, "frame_number", "owner",
         F.explode_outer(
             F.transform(
                 F.sequence(F.lit(1), size),
@@ -123,51 +150,8 @@ def reassemble(segments: DataFrame, want: Sequence[str] = LEDGERS) -> dict[str,
                 ),
             )
         ).alias("b"),
-    ).select(*STREAM, *later, "b.low", "b.high", "b.equal")
-    same = judged.where("frame_number <> owner AND NOT differs").select(*STREAM, *later, "low", "high")
-
-    owned_ranges = _merge(owned.select(*STREAM, "frame_number", "low", "high"), ["frame_number"])
-    duplicates = _merge(same.unionByName(bytewise.where("equal").drop("equal")), later)
-    conflicts = _merge(bytewise.where("NOT equal").drop("equal"), later)
-    spans = _with_output(owned_ranges)
-    ledgers = {
-        "spans": spans,
-        "cells": owned.select(*STREAM, "low", "high", "frame_number", F.col("slice").alias("data")),
-        "gaps": stream_gaps(spans),
-    }
-    if "duplicates" in want or "conflicts" in want:
-        copied = _copy_ledger(usable, owned_ranges, duplicates, conflicts)
-        ledgers["duplicates"] = duplicates.unionByName(copied["duplicates"])
-        ledgers["conflicts"] = conflicts.unionByName(copied["conflicts"])
-    return {name: ledgers[name] for name in want}
-
-
-def _copy_ledger(segments: DataFrame, owned: DataFrame, duplicates: DataFrame, conflicts: DataFrame) -> dict[str, DataFrame]:
-    """Ledger rows of the copies: what their leader owns they duplicate, the rest is as for the leader.
-
-    Copies learn their leader from a scan over frames, so a segment repeated very often stays spread;
-    the leader's few ranges then reach them by (leader, span of frames).
-    """
-    digests = segments.select(*STREAM, "frame_number", "seq", F.sha2("payload", 256).alias("__digest"))
-    seen = scan(digests, [*STREAM, "seq", "__digest"], "frame_number", {"leader": group_first(F.col("frame_number"))})
-    # Only the copies go on: four numbers each, read by several branches.
-    led = cut(
-        seen.where("frame_number <> leader").select(*STREAM, "leader", "frame_number", span_of("frame_number").alias("__slot"))
-    )
-    slots = led.select(*STREAM, "leader", "__slot").distinct()
-
-    def spread(ranges: DataFrame) -> DataFrame:
-        routed = slots.join(ranges, [*STREAM, "leader"])
-        return led.join(routed, [*STREAM, "leader", "__slot"]).select(*STREAM, "frame_number", "owner", "start", "end")
-
-    def led_by(ranges: DataFrame) -> DataFrame:
-        return ranges.withColumnRenamed("frame_number", "leader").select(*STREAM, "leader", "owner", "start", "end")
-
-    own = owned.withColumn("owner", F.col("frame_number"))
-    return {
-        "duplicates": spread(led_by(own.select(*duplicates.columns)).unionByName(led_by(duplicates))),
-        "conflicts": spread(led_by(conflicts)),
-    }
+    ).select(*STREAM, "frame_number", "owner", "b.low", "b.high", "b.equal")
+    return same.unionByName(bytewise.where("equal").drop("equal")), bytewise.where("NOT equal").drop("equal")
 
 
 def _with_output(spans: DataFrame) -> DataFrame:
@@ -227,7 +211,7 @@ def stream_status(segments: DataFrame, ledgers: dict[str, DataFrame], max_output
 
     joined = heads
     for name, count, total in (
-        ("spans", "span_count", "unique_bytes"),
+        ("ranges", "span_count", "unique_bytes"),
         ("duplicates", "duplicate_count", "duplicate_bytes"),
         ("conflicts", "conflict_count", "conflict_bytes"),
         ("gaps", "gap_count", "gap_bytes"),
