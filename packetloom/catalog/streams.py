@@ -305,38 +305,55 @@ def _(spark, sf):
 
 
 # Mail streams: user turns are messages, other turns are server lines; message lines that start with a dot are doubled.
-MAIL_SQL = """WITH chunks AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN concat('DATA' || chr(13) || chr(10), '..', replace(text, chr(10), chr(13) || chr(10) || '..'), chr(13) || chr(10) || '.' || chr(13) || chr(10))
-   ELSE concat('250 accepted for delivery', chr(13) || chr(10)) END AS body, role, text FROM conversations),
- placed AS (SELECT *, COALESCE(sum(strlen(body)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM chunks) """
+# Each turn is sent in chunks of seven characters.  The last user turn of every fifth conversation lacks its dot line, and
+# what follows it belongs to it.
+MAIL_CHUNK = 7
+MAIL_WINDOW = 1_024
+MAIL_SQL = """WITH ended AS (SELECT *, conv_id % 5 = 0 AND turn = max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS cut FROM conversations),
+ chunks AS (SELECT conv_id, turn, role, text, cut, CASE role WHEN 'user' THEN concat('DATA' || chr(13) || chr(10), '..', replace(text, chr(10), chr(13) || chr(10) || '..'), chr(13) || chr(10), CASE WHEN cut THEN '' ELSE '.' || chr(13) || chr(10) END)
+   ELSE concat('250 accepted for delivery', chr(13) || chr(10)) END AS body FROM ended),
+ placed AS (SELECT *, COALESCE(sum(strlen(body)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+   sum(strlen(body)) OVER (PARTITION BY conv_id) AS size, string_agg(body, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rest FROM chunks) """
 
 
 def mail_chunks(spark, sf):
-    message = F.concat(F.lit("DATA\r\n.."), F.replace("text", F.lit("\n"), F.lit("\r\n..")), F.lit("\r\n.\r\n"))
-    return table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.when(F.col("role") == "user", message).otherwise("250 accepted for delivery\r\n").alias("body")
-    )
+    turns = table(spark, sf, "conversations")
+    last = turns.where("role = 'user' AND conv_id % 5 = 0").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    cut = F.coalesce(F.col("turn") == F.col("last"), F.lit(False))
+    message = F.concat(F.lit("DATA\r\n.."), F.replace("text", F.lit("\n"), F.lit("\r\n..")), F.lit("\r\n"), F.when(cut, "").otherwise(".\r\n"))
+    bodies = turns.join(last, "conv_id", "left").select(
+        "conv_id", "turn", F.when(F.col("role") == "user", message).otherwise("250 accepted for delivery\r\n").alias("body"))
+    parts = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{MAIL_CHUNK}}}"), F.lit(0))
+    cuts = bodies.select("conv_id", "turn", F.posexplode(parts).alias("i", "body"))
+    return cuts.select("conv_id", (F.col("turn").cast("long") * (1 << 32) + F.col("i")).alias("sent"), "body")
 
 
 @query(
     "extract_data_blocks",
     MAIL_SQL
     + """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS ordinal, CAST(base + 6 AS BIGINT) AS start,
-      CAST(base + strlen(body) - 3 AS BIGINT) AS "end" FROM placed WHERE role = 'user'""",
+      CAST(CASE WHEN cut THEN size ELSE base + strlen(body) - 3 END AS BIGINT) AS "end", CASE WHEN cut THEN 'incomplete' ELSE 'complete' END AS status
+      FROM placed WHERE role = 'user'""",
 )
 def _(spark, sf):
-    return records.extract_data_blocks(mail_chunks(spark, sf), ["conv_id"], "turn", "body")
+    return records.extract_data_blocks(mail_chunks(spark, sf), ["conv_id"], "sent", "body", MAIL_WINDOW)
 
 
 @query(
     "data_block_text",
     MAIL_SQL
-    + """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS ordinal, CAST(base + 6 AS BIGINT) AS piece_start,
-      sha256(concat('.', replace(text, chr(10), chr(13) || chr(10) || '.'), chr(13) || chr(10))) AS piece_hash FROM placed WHERE role = 'user'""",
+    + """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS ordinal, CAST(base + 6 AS BIGINT) AS start,
+      sha256(concat('.', replace(text, chr(10), chr(13) || chr(10) || '.'), chr(13) || chr(10), CASE WHEN cut THEN COALESCE(rest, '') ELSE '' END)) AS text_hash
+      FROM placed WHERE role = 'user'""",
 )
 def _(spark, sf):
     chunks = mail_chunks(spark, sf)
-    rows = records.block_text(records.extract_data_blocks(chunks, ["conv_id"], "turn", "body"), chunks, ["conv_id"], "turn", "body")
-    return rows.select("conv_id", "ordinal", "piece_start", F.sha2(F.encode("piece", "UTF-8"), 256).alias("piece_hash"))
+    rows = records.block_text(records.extract_data_blocks(chunks, ["conv_id"], "sent", "body", MAIL_WINDOW), chunks, ["conv_id"], "sent", "body", MAIL_WINDOW)
+    # A message is a turn here; its pieces are put together for the comparison only.
+    whole = rows.groupBy("conv_id", "ordinal").agg(
+        F.min("piece_start").alias("start"), F.array_sort(F.collect_list(F.struct("piece_start", F.hex("piece").alias("digits")))).alias("parts"))
+    return whole.select(
+        "conv_id", "ordinal", "start", F.sha2(F.unhex(F.array_join(F.transform("parts", lambda x: x["digits"]), "")), 256).alias("text_hash"))
 
 
 # Records of a dialogue as ranges of its text, and secrets found in that text.

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.text import each, octets, with_matches
-from packetloom.operators.ordered import lag, running_count, running_sum, scan
-from packetloom.operators.pairing import overlap_join
+from packetloom.operators.ordered import last_value, lead, running_count, running_sum, scan
+from packetloom.session import cut
 
+# Longest marker, rounded up: so much of a stream is seen again by the next window.
 TAIL = 16
+WINDOW = 65_536
+POSITIONS = 1 << 20
 
 
 def record_pattern(max_chars: int) -> str:
@@ -65,78 +68,78 @@ DATA_LINE = "(?i)(?:^|\\r\\n)DATA\\r\\n"
 DATA_END = "\\r\\n\\.(?=\\r\\n)"
 
 
-def with_base(chunks: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
-    """Byte position of every chunk in its stream."""
-    return scan(
-        chunks.withColumn("__octets", octets(F.col(text)).cast("long")), keys, order,
-        {"base": running_sum(F.col("__octets"), inclusive=False), "__tail": lag(F.substring(F.col(text), -TAIL, TAIL))},
-    ).drop("__octets")
+def stream_windows(chunks: DataFrame, keys: Sequence[str], order: str, text: str, window: int, before: int, after: int) -> DataFrame:
+    """Streams cut anew by byte position, whatever their chunks: keys, ``__window``, its position ``__at`` and ``__raw``.
+
+    A window holds ``window`` bytes and as many beside it as asked for.  One character of ``__raw`` is one byte.
+    """
+    data = F.encode(F.col(text), "UTF-8")
+    placed = scan(
+        chunks.select(*keys, order, data.alias("__data"), F.octet_length(data).cast("long").alias("__octets")), keys, order,
+        {"__base": running_sum(F.col("__octets"), inclusive=False)},
+    ).where("__octets > 0")
+    first = F.greatest(F.lit(0), F.expr(f"(__base - {after}) div {window}"))
+    dealt = placed.select("*", F.explode(F.sequence(first, F.expr(f"(__base + __octets - 1 + {before}) div {window}"))).alias("__window"))
+    low = F.greatest("__base", F.col("__window") * window - before)
+    high = F.least(F.col("__base") + F.col("__octets"), (F.col("__window") + 1) * window + after)
+    part = F.substring("__data", (low - F.col("__base") + 1).cast("int"), (high - low).cast("int"))
+    pieces = dealt.where(low < high).select(*keys, "__window", F.struct(low.alias("at"), F.decode(part, "ISO-8859-1").alias("raw")).alias("__piece"))
+    return pieces.groupBy(*keys, "__window").agg(F.array_sort(F.collect_list("__piece")).alias("__pieces")).select(
+        *keys, "__window", F.col("__pieces")[0]["at"].alias("__at"), F.array_join(F.transform("__pieces", lambda x: x["raw"]), "").alias("__raw")
+    )
 
 
-def extract_data_blocks(chunks: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
-    """Ranges between a DATA line and the dot line that ends it, in stream positions.
+def extract_data_blocks(chunks: DataFrame, keys: Sequence[str], order: str, text: str, window: int = WINDOW) -> DataFrame:
+    """Ranges between a DATA line and the dot line that ends it, in stream positions: start, end, status and ordinal.
 
-    Chunks are searched with the tail of the chunk before, so a marker over a border is found; chunks other
-    than the last of a stream hold at least ``TAIL`` characters.  A DATA line opens a block exactly when
-    the marker before it is a dot line or none, and a dot line closes one when the marker before it is a
-    DATA line, so one scan over the markers pairs them.
+    A block that no dot line ends is ``incomplete`` and reaches to the end of its stream; the others are ``complete``.
+    Neither chunks nor ``window`` change the result.  A DATA line sets a stream open and a dot line closed.  Where a dot
+    follows a DATA line at once, both share a line end: it opens a closed stream and closes an open one.  So the state at
+    a marker is that of the last plain marker, turned by each shared one since.
     """
     keys = list(keys)
-    placed = with_base(chunks, keys, order, text).withColumn("__tail", F.coalesce("__tail", F.lit("")))
-    start = F.col("base") - octets(F.col("__tail"))
-    first = F.col("__tail") == ""
-    windows = placed.select(*keys, start.alias("__at"), first.alias("__first"), F.concat("__tail", F.col(text)).alias("__window"))
-    found = with_matches(windows, {"__opens": DATA_LINE, "__ends": DATA_END}, "__window")
-    opens = F.transform(
-        "__opens",
-        lambda m: F.struct(
-            F.lit("data").alias("marker"), (F.col("__at") + m["offset"]).alias("at"), (F.col("__at") + m["offset"] + octets(m["value"])).alias("after"),
-            # The anchor also matches at the start of a later window, which is not a line start.
-            (F.col("__first") | (m["offset"] > 0) | F.startswith(m["value"], F.lit("\r\n"))).alias("sound"),
-        ),
-    )
-    ends = F.transform(
-        "__ends",
-        lambda m: F.struct(
-            F.lit("end").alias("marker"), (F.col("__at") + m["offset"]).alias("at"), (F.col("__at") + m["offset"] + 3).alias("after"), F.lit(True).alias("sound")
-        ),
-    )
-    markers = (
-        each(found, keys, F.concat(opens, ends), "m")
-        .select(*keys, "m.*")
-        .where("sound")
-        .select(*keys, "marker", "at", "after")
-        .distinct()
+    windows = stream_windows(chunks, keys, order, text, window, TAIL, 0).select(
+        *keys, "__window", "__at", F.regexp_replace("__raw", "[^\\x00-\\x7f]", "?").alias("__text"))
+    found = with_matches(windows, {"__opens": DATA_LINE, "__ends": DATA_END}, "__text")
+    # The anchor also matches where a later window starts, which is no line start.
+    real = F.filter("__opens", lambda m: (F.col("__at") == 0) | (m["offset"] > 0) | F.startswith(m["value"], F.lit("\r\n")))
+    opens = F.transform(real, lambda m: F.struct((F.col("__at") + m["offset"] + octets(m["value"]) - 2).alias("at"), F.lit(True).alias("data")))
+    ends = F.transform("__ends", lambda m: F.struct((F.col("__at") + m["offset"]).alias("at"), F.lit(False).alias("data")))
+    marks = each(found, keys, F.concat(opens, ends), "m").groupBy(*keys, F.col("m.at").alias("at")).agg(
+        F.bool_or("m.data").alias("data"), F.bool_or(~F.col("m.data")).alias("dot"))
+    # Few and narrow; each scan reads its input twice.
+    marks = cut(marks)
+    shared = F.col("data") & F.col("dot")
+    counted = scan(marks, keys, "at", {"__turns": running_count(shared, inclusive=False)}, span=POSITIONS)
+    plain = F.when(~shared, F.struct(F.col("data").alias("open"), F.col("__turns").alias("turns")))
+    known = scan(counted, keys, "at", {"__set": last_value(plain)}, span=POSITIONS)
+    turned = (F.col("__turns") - F.coalesce("__set.turns", F.lit(0))) % 2 == 1
+    is_open = F.coalesce("__set.open", F.lit(False)) != turned
+    events = known.select(*keys, "at", (F.col("data") & ~is_open).alias("opens"), (F.col("dot") & is_open).alias("closes")).where("opens OR closes")
+    paired = scan(events, keys, "at", {"__close": lead(F.col("at")), "ordinal": running_count(F.col("opens"), inclusive=False)}, span=POSITIONS)
+    sizes = chunks.groupBy(*keys).agg(F.sum(octets(F.col(text)).cast("long")).alias("__size"))
+    return paired.where("opens").join(sizes, keys).select(
+        *keys, (F.col("at") + 2).alias("start"), F.coalesce(F.col("__close") + 2, F.col("__size")).alias("end"),
+        F.when(F.col("__close").isNull(), "incomplete").otherwise("complete").alias("status"), "ordinal",
     )
-    paired = scan(
-        markers, keys, "at",
-        {"__prev": lag(F.struct("marker", "after"))}, ties=["marker"],
-    )
-    # A dot line that starts inside a DATA line belongs to no block unless one is open already.
-    sound = paired.where("NOT (marker = 'end' AND __prev.marker = 'data' AND at < __prev.after)").select(*keys, "marker", "at", "after")
-    lined = scan(sound, keys, "at", {"__prev": lag(F.struct("marker", "after"))}, ties=["marker"])
-    opener = (F.col("marker") == "data") & (F.col("__prev").isNull() | (F.col("__prev.marker") == "end"))
-    role = lined.select(*keys, "marker", "at", "after", F.coalesce(opener, F.lit(False)).alias("opens")).where("opens OR marker = 'end'")
-    turned = scan(role, keys, "at", {"__open": lag(F.struct("opens", "after"))}, ties=["marker"])
-    closed = turned.where("marker = 'end' AND __open.opens").select(
-        *keys, F.col("__open.after").alias("start"), (F.col("at") + 2).alias("end")
-    )
-    return scan(closed, keys, "start", {"ordinal": running_count(inclusive=False)})
 
 
-def block_text(blocks: DataFrame, chunks: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
-    """Pieces of each block cut from the chunks it runs over, with doubled leading dots undone.
+def block_text(blocks: DataFrame, chunks: DataFrame, keys: Sequence[str], order: str, text: str, window: int = WINDOW) -> DataFrame:
+    """Bytes of each block with doubled dots at line starts undone, one row (``piece_start``, ``piece``) per window it reaches.
 
-    One row per (block, chunk): a block over many chunks is never joined into one value.
+    A line starts with the block and after a line end, by stream position; one byte on either side of a window tells.
+    A block is never joined into one value.
     """
     keys = list(keys)
-    placed = with_base(chunks, keys, order, text).select(
-        *keys, F.col("base").alias("span_start"), (F.col("base") + octets(F.col(text))).alias("span_end"), F.encode(text, "UTF-8").alias("__data")
-    )
-    pieces = overlap_join(blocks, placed, keys)
-    low = F.greatest("start", "span_start")
-    high = F.least("end", "span_end")
-    raw = F.substring("__data", (low - F.col("span_start") + 1).cast("int"), (high - low).cast("int")).cast("string")
-    return pieces.select(
-        *keys, "ordinal", low.alias("piece_start"), F.regexp_replace(raw, "(?m)^\\.\\.", ".").alias("piece")
-    )
+    windows = stream_windows(chunks, keys, order, text, window, 1, 1)
+    reached = blocks.where("start < end").select(
+        *keys, "ordinal", "start", "end", F.explode(F.sequence(F.expr(f"start div {window}"), F.expr(f"(end - 1) div {window}"))).alias("__window"))
+    low, high = F.greatest("start", F.col("__window") * window), F.least("end", (F.col("__window") + 1) * window)
+    placed = reached.join(windows, [*keys, "__window"]).select(*keys, "ordinal", "start", "end", "__at", "__raw", low.alias("low"), high.alias("high"))
+    left = F.when(F.col("low") > F.col("start"), 1).otherwise(0)
+    right = F.when(F.col("high") < F.col("end"), 1).otherwise(0)
+    seen = F.substring("__raw", (F.col("low") - left - F.col("__at") + 1).cast("int"), (F.col("high") - F.col("low") + left + right).cast("int"))
+    plain = F.regexp_replace(seen, "(?<=[\\r\\n])\\.(?=\\.)", "")
+    undone = F.when(left == 0, F.regexp_replace(plain, "\\A\\.(?=\\.)", "")).otherwise(plain)
+    own = F.substring(undone, (left + 1).cast("int"), (F.length(undone) - left - right).cast("int"))
+    return placed.select(*keys, "ordinal", F.col("low").alias("piece_start"), F.encode(own, "ISO-8859-1").alias("piece"))

@@ -1,3 +1,5 @@
+import pytest
+
 from packetloom.operators import pairing, records
 
 MESSAGE = "capture_id int, stream_index long, frame_number long, kind string, request_in_frame long, response_in_frame long"
@@ -72,17 +74,34 @@ def test_records_cover_the_text(spark):
     assert {(r.id, r.label, r.prompt) for r in whole} == {(1, "prompt", "name"), (2, "text", None)}
 
 
-def _blocks(spark, chunks):
+def _blocks(spark, chunks, window=records.WINDOW):
     df = spark.createDataFrame([(1, i, c) for i, c in enumerate(chunks)], "s int, o long, t string")
-    rows = records.extract_data_blocks(df, ["s"], "o", "t").orderBy("start").collect()
-    text = "".join(chunks)
-    return [text[r.start : r.end] for r in rows]
+    rows = records.extract_data_blocks(df, ["s"], "o", "t", window).orderBy("start").collect()
+    data = "".join(chunks).encode()
+    assert [r.ordinal for r in rows] == list(range(len(rows)))
+    return [(data[r.start : r.end].decode(), r.status) for r in rows]
 
 
 def test_data_blocks(spark):
-    assert _blocks(spark, ["DATA\r\nhello\r\nDATA\r\nmore\r\n.\r\nQUIT\r\n", "QUIT QUIT QUIT\r\nDATA\r\nlast one here\r\n.\r\n"]) == ["hello\r\nDATA\r\nmore\r\n", "last one here\r\n"]
-    assert _blocks(spark, ["EHLO host one\r\nDA", "TA\r\nsplit marker body\r", "\n.\r\nQUIT and goodbye\r\n"]) == ["split marker body\r\n"]
-    assert _blocks(spark, ["no data here\r\n.\r\nDATA\r\nnever closed"]) == []
+    done, left = "complete", "incomplete"
+    assert _blocks(spark, ["DATA\r\nhello\r\nDATA\r\nmore\r\n.\r\nQUIT\r\n", "\r\nDATA\r\nlast\r\n.\r\n"]) == [("hello\r\nDATA\r\nmore\r\n", done), ("last\r\n", done)]
+    assert _blocks(spark, ["DATA\r\n", "hello there you", "\r\n", ".", "\r\n"]) == [("hello there you\r\n", done)]
+    assert _blocks(spark, ["no data\r\n.\r\nDATA\r\nnever closed"]) == [("never closed", left)]
+    # A dot right after a DATA line ends no block that this line opens, but one that is open.
+    assert _blocks(spark, ["DATA\r\n.\r\nDATA\r\n.\r\nDATA\r\nx\r\n.\r\n"]) == [(".\r\nDATA\r\n", done), ("x\r\n", done)]
+
+
+MAIL = "EHLO ü\r\nDATA\r\n..één\r\n..\r\nmore|.. and\r\n.x\r\n.\r\nDATA\r\n...two\n..three\r\n.\r\n250 ok\r\ndata\r\n..open"
+
+
+@pytest.mark.parametrize(("size", "window"), [(1, 16), (3, 8), (1000, 32), (2, 4096)])
+def test_blocks_depend_on_neither_chunks_nor_windows(spark, size, window):
+    chunks = [MAIL[i : i + size] for i in range(0, len(MAIL), size)]
+    assert [s for _, s in _blocks(spark, chunks, window)] == ["complete", "complete", "incomplete"]
+    df = spark.createDataFrame([(1, i, c) for i, c in enumerate(chunks)], "s int, o long, t string")
+    pieces = records.block_text(records.extract_data_blocks(df, ["s"], "o", "t", window), df, ["s"], "o", "t", window).collect()
+    whole = {n: b"".join(bytes(r.piece) for r in sorted(pieces, key=lambda r: r.piece_start) if r.ordinal == n).decode() for n in range(3)}
+    assert whole == {0: ".één\r\n.\r\nmore|.. and\r\n.x\r\n", 1: "..two\n.three\r\n", 2: ".open"}
 
 
 def test_transfer_sessions(spark):
