@@ -188,20 +188,26 @@ def _(spark, sf):
     return rows.select("doc_id", "transform", F.octet_length("output").alias("output_length"), F.sha2("output", 256).alias("output_hash"))
 
 
-@query(
-    "decode_chain",
+CHAIN_SQL = (
     RECOGNIZED_SQL
     + """, one AS (SELECT doc_id AS owner, 1 AS depth, sha256(v) AS parent_hash, transform, unhex(v) AS output, decode(unhex(v)) AS text FROM kinds WHERE transform = 'hex'),
      two AS (SELECT owner, 2 AS depth, sha256(text) AS parent_hash, 'hex' AS transform, unhex(text) AS output FROM one
        WHERE length(text) >= 8 AND length(text) % 2 = 0 AND regexp_matches(text, '^[0-9A-Fa-f]+$'))
-    SELECT owner, depth, parent_hash, transform, sha256(output) AS output_hash, CAST(octet_length(output) AS INT) AS output_length FROM one
-    UNION ALL SELECT owner, depth, parent_hash, transform, sha256(output), CAST(octet_length(output) AS INT) FROM two""",
-    "encoded_values",
+    SELECT owner, depth, parent_hash, transform, sha256(output) AS output_hash, CAST(octet_length(output) AS INT) AS output_length, 'decoded' AS status FROM one
+    UNION ALL SELECT owner, depth, parent_hash, transform, """
 )
+
+
+@query("decode_chain", CHAIN_SQL + "sha256(output), CAST(octet_length(output) AS INT), 'decoded' FROM two", "encoded_values")
 def _(spark, sf):
     return decode.decode_chain(view(spark, sf, "encoded_values"), "doc_id", "value").drop("output")
 
 
+@query("decode_chain_limit", CHAIN_SQL + "NULL, NULL, 'depth-limit' FROM two", "encoded_values")
+def _(spark, sf):
+    return decode.decode_chain(view(spark, sf, "encoded_values"), "doc_id", "value", max_depth=1).drop("output")
+
+
 def _candidate_sql(kind: str, score: str, cap: str, evidence: str, role: str, source: str) -> str:
     return (
         f"SELECT sha256(concat_ws(chr(31), 'candidate', {kind}, trim(value))) AS candidate_id, {kind} AS kind, trim(value) AS value, "

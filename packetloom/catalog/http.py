@@ -332,11 +332,12 @@ def _(spark, sf):
     "transaction_detail",
     QUERY_PARTS_SQL
     + FORM_PARTS_SQL
-    + """ SELECT tx_id, source, ordinal, name, value, FALSE AS truncated FROM (SELECT * FROM query_params UNION ALL SELECT * FROM form_params) WHERE tx_id = 40""",
+    + """ SELECT tx_id, source, ordinal, name, value, FALSE AS truncated, total, total > 2 AS list_truncated
+      FROM (SELECT *, CAST(count(*) OVER (PARTITION BY source) AS BIGINT) AS total FROM (SELECT * FROM query_params UNION ALL SELECT * FROM form_params) WHERE tx_id = 40) WHERE ordinal < 2""",
     "http_tx",
 )
 def _(spark, sf):
-    return pages.transaction_detail(view(spark, sf, "http_tx"), 40)
+    return pages.transaction_detail(view(spark, sf, "http_tx"), 40, max_parameters=2)
 
 
 @query(

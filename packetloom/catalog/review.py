@@ -189,7 +189,8 @@ def _(spark, sf):
     + """, seen AS (SELECT label, count(*) AS n FROM (SELECT unnest(string_split(protocols, ':')) AS label FROM frames) GROUP BY 1)
     SELECT * FROM (SELECT 'protocol' AS section, label AS item, CAST(n AS BIGINT) AS amount FROM seen ORDER BY n DESC, label LIMIT 5)
     UNION ALL SELECT * FROM (SELECT 'conversation', concat(transport, ':', stream_index), frame_count FROM profiles ORDER BY frame_count DESC, transport, stream_index LIMIT 5)
-    UNION ALL SELECT 'coverage', status, CAST(count(*) AS BIGINT) FROM coverage GROUP BY status""",
+    UNION ALL SELECT 'coverage', status, CAST(count(*) AS BIGINT) FROM coverage GROUP BY status
+    UNION ALL SELECT 'total', 'protocol', CAST(count(*) AS BIGINT) FROM seen UNION ALL SELECT 'total', 'conversation', CAST(count(*) AS BIGINT) FROM profiles""",
     "frames",
 )
 def _(spark, sf):

@@ -367,7 +367,7 @@ def linked_records(spark, sf):
         F.concat(F.lit(" flag{"), F.substring(F.md5((F.col("conv_id") * 1000 + F.col("turn")).cast("string")), 1, 10), F.lit("} ")),
     ).otherwise(" ")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", secret).alias("body"))
-    placed = records.with_base(rows, ["conv_id"], "turn", "body").drop("__tail")
+    placed = records.with_base(rows, ["conv_id"], "turn", "body")
     hits = corpus.scan_known(placed.select("conv_id", "turn", "base", "body"), "body")
     found = hits.select("conv_id", (F.col("base") + F.col("offset")).alias("start"), (F.col("base") + F.col("offset") + F.octet_length("value")).alias("end"), "value")
     ranges = placed.select("conv_id", "turn", F.col("base").alias("span_start"), (F.col("base") + F.octet_length("body")).alias("span_end"))
@@ -389,8 +389,12 @@ def _(spark, sf):
     echo AS (SELECT r.record_id, max(c.record_id) AS related_id FROM numbered r JOIN numbered c ON c.dialogue_id = r.dialogue_id AND c.side = 'client'
       AND c.record_id < r.record_id AND c.body = r.body AND r.cn - c.cn < 16 WHERE r.side = 'server' AND r.label NOT LIKE 'prompt%' GROUP BY 1),
     ids AS (SELECT DISTINCT dialogue_id FROM records ORDER BY dialogue_id LIMIT 30 OFFSET 10),
-    shown AS (SELECT *, CAST(row_number() OVER (PARTITION BY dialogue_id ORDER BY record_id) AS INT) AS ordinal FROM records WHERE dialogue_id IN (SELECT dialogue_id FROM ids))
-    SELECT s.dialogue_id, s.record_id, s.ordinal, s.side, s.label, strlen(s.body) > 60 AS preview_truncated, CASE WHEN e.record_id IS NOT NULL THEN concat('echo-of:', e.related_id) END AS relations,
+    shown AS (SELECT *, CAST(row_number() OVER (PARTITION BY dialogue_id ORDER BY record_id) AS INT) AS ordinal, CAST(count(*) OVER (PARTITION BY dialogue_id) AS BIGINT) AS records_total
+      FROM records WHERE dialogue_id IN (SELECT dialogue_id FROM ids))
+    SELECT s.dialogue_id, s.record_id, s.ordinal, s.side, s.label, s.records_total, s.records_total > 4 AS records_truncated, strlen(s.body) > 60 AS preview_truncated,
+      CASE WHEN e.record_id IS NOT NULL THEN concat('echo-of:', e.related_id) END AS relations, CAST(CASE WHEN e.record_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS relations_total, FALSE AS relations_truncated,
+      CASE WHEN s.side = 'server' THEN concat('c', s.record_id % 7, ',d', s.record_id % 5) END AS candidates, CAST(CASE WHEN s.side = 'server' THEN 3 ELSE 0 END AS BIGINT) AS candidates_total,
+      s.side = 'server' AS candidates_truncated,
       array_to_string(list_transform(regexp_extract_all(substr(hex(s.body), 1, 120), '..'), lambda h: CASE h WHEN '09' THEN '\\t' WHEN '0A' THEN '\\n' WHEN '0D' THEN '\\r' WHEN '5C' THEN '\\\\'
         ELSE CASE WHEN h BETWEEN '20' AND '7E' THEN chr(CAST('0x' || h AS INT)) ELSE concat('\\x', lower(h)) END END), '') AS preview
     FROM shown s LEFT JOIN echo e USING (record_id) WHERE ordinal <= 4""",
@@ -399,6 +403,13 @@ def _(spark, sf):
 def _(spark, sf):
     rows = view(spark, sf, "records")
     relations = pairing.echo_links(rows)
-    links = spark.createDataFrame([], "record_id long, candidate_id string, score double")
-    found = pages.dialogue_page(rows, relations, links, 10, 30, record_limit=4, preview_bytes=60)
-    return found.select("dialogue_id", "record_id", "ordinal", "side", "label", "preview_truncated", "relations", "preview")
+    # Three candidates for each server record, of which the list holds the two best.
+    number = F.col("record_id")
+    named = F.array(
+        F.struct(F.concat(F.lit("c"), (number % 7).cast("string")).alias("candidate_id"), F.lit(90.0).alias("score")),
+        F.struct(F.concat(F.lit("d"), (number % 5).cast("string")).alias("candidate_id"), F.lit(80.0).alias("score")),
+        F.struct(F.lit("e").alias("candidate_id"), F.lit(10.0).alias("score")),
+    )
+    links = rows.where("side = 'server'").select("record_id", F.inline(named))
+    found = pages.dialogue_page(rows, relations, links, 10, 30, record_limit=4, preview_bytes=60, candidate_limit=2)
+    return found.drop("capture_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.session import cut
+from packetloom.functions.text import each
 
 BASE64 = "^[A-Za-z0-9+/]*={0,2}$"
 BASE64URL = "^[A-Za-z0-9_-]*={0,2}$"
@@ -44,28 +44,21 @@ def decode_recognized(df: DataFrame, value: str = "value") -> DataFrame:
 def decode_chain(df: DataFrame, owner: str, value: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Edges of repeated decoding: parent hash, transform, output and depth, one row per hop.
 
-    A hop decodes the outputs of the hop before it, row by row and without a shuffle; the walk stops at
-    the first empty hop, at most ``max_depth`` hops down.
+    All hops of a value are columns of its row, in one stage without a shuffle.  Where an output at ``max_depth`` could be
+    decoded again, a row one deeper has no output and the status ``depth-limit``; all others are ``decoded``.
     """
-    frontier = df.select(F.col(owner).alias("owner"), F.col(value).alias("text"))
-    edges: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
-        hop = frontier.select(
-            "owner",
-            F.lit(depth).alias("depth"),
-            F.sha2(F.encode("text", "UTF-8"), 256).alias("parent_hash"),
-            recognized(F.col("text")).alias("d"),
-        ).where("d.transform IS NOT NULL").select(
-            "owner", "depth", "parent_hash", F.col("d.transform").alias("transform"),
-            F.col("d.output").alias("output"), F.sha2("d.output", 256).alias("output_hash"),
-            F.octet_length("d.output").cast("int").alias("output_length"),
-        )
-        hop = cut(hop)
-        if hop.isEmpty():
-            break
-        edges = hop if edges is None else edges.unionByName(hop)
+    rows = df.select(F.col(owner).alias("owner"), F.col(value).alias("__t1"))
+    hops = []
+    for depth in range(1, max_depth + 2):
+        text, hop = F.col(f"__t{depth}"), f"__d{depth}"
+        over = depth > max_depth
+        rows = rows.withColumn(hop, recognized(text))
+        output = F.lit(None).cast("binary") if over else F.col(f"{hop}.output")
+        hops.append(F.when(F.col(f"{hop}.transform").isNotNull(), F.struct(
+            F.lit(depth).alias("depth"), F.sha2(F.encode(text, "UTF-8"), 256).alias("parent_hash"), F.col(f"{hop}.transform").alias("transform"),
+            output.alias("output"), F.sha2(output, 256).alias("output_hash"), F.octet_length(output).cast("int").alias("output_length"),
+            F.lit("depth-limit" if over else "decoded").alias("status"),
+        )))
         # Only text can carry a further encoding.
-        frontier = hop.select("owner", F.try_validate_utf8(F.col("output").cast("string")).alias("text")).where("text IS NOT NULL")
-    if edges is None:
-        return hop
-    return edges
+        rows = rows.withColumn(f"__t{depth + 1}", F.try_validate_utf8(F.col(f"{hop}.output").cast("string")))
+    return each(rows, ["owner"], F.array(*hops), "__hop").select("owner", "__hop.*")

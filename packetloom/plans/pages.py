@@ -101,7 +101,10 @@ def streams_page(statuses: DataFrame, spans: DataFrame, offset: int = 0, limit:
 
 
 def summary_page(observations: DataFrame, profiles: DataFrame, coverage: DataFrame, limit: int = 100) -> DataFrame:
-    """Most frequent labels, busiest conversations and coverage counts, as one table of sections."""
+    """Most frequent labels, busiest conversations and coverage counts, as one table of sections.
+
+    The rows of the two limited sections are counted in a section of totals.
+    """
     labels = page(observations, [F.desc("frame_count"), "label"], 0, limit).select(
         F.lit("protocol").alias("section"), F.col("label").alias("item"), F.col("frame_count").alias("amount")
     )
@@ -111,7 +114,11 @@ def summary_page(observations: DataFrame, profiles: DataFrame, coverage: DataFra
     counts = coverage.groupBy("status").agg(F.count(F.lit(1)).alias("amount")).select(
         F.lit("coverage").alias("section"), F.col("status").alias("item"), "amount"
     )
-    return labels.unionByName(busiest).unionByName(counts)
+    totals = [
+        rows.agg(F.count(F.lit(1)).alias("amount")).select(F.lit("total").alias("section"), F.lit(name).alias("item"), "amount")
+        for name, rows in (("protocol", observations), ("conversation", profiles))
+    ]
+    return labels.unionByName(busiest).unionByName(counts).unionByName(totals[0]).unionByName(totals[1])
 
 
 def severity_order() -> Column:
@@ -148,15 +155,20 @@ def timeline_page(
 
 
 def transaction_detail(tx: DataFrame, tx_id: int, max_value_bytes: int = 256, max_parameters: int = 256) -> DataFrame:
-    """Parameters of one transaction as bounded previews; the filter on the id reaches the scan."""
+    """Parameters of one transaction as bounded previews; the filter on the id reaches the scan.
+
+    ``total`` counts the parameters of the source, and ``list_truncated`` tells whether some of them are not shown.
+    """
     chosen = tx.where(F.col("tx_id") == tx_id)
     parts = []
     for source, rows in (("query", query_parameters(chosen, "uri")), ("form", form_fields(chosen, "request_body"))):
-        parts.append(rows.where(F.col("ordinal") < max_parameters).select(
+        counted = rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("tx_id")))
+        parts.append(counted.where(F.col("ordinal") < max_parameters).select(
             "tx_id", F.lit(source).alias("source"), "ordinal",
             bounded_preview(F.col("name"), max_value_bytes).alias("name"),
             bounded_preview(F.col("value"), max_value_bytes).alias("value"),
             (octets(F.col("value")) > max_value_bytes).alias("truncated"),
+            "total", (F.col("total") > max_parameters).alias("list_truncated"),
         ))
     return parts[0].unionByName(parts[1])
 
@@ -183,29 +195,35 @@ def dialogue_page(
 ) -> DataFrame:
     """First records of a page of dialogues with previews, relations and linked candidates.
 
-    ``relations(record_id, related_id, relation)``; ``links(record_id, candidate_id, score)``.
+    ``relations(record_id, related_id, relation)``; ``links(record_id, candidate_id, score)``.  Each of the three lists
+    comes with its total and a flag that tells whether it is cut.
     """
     key = ["capture_id", "dialogue_id"]
     chosen = page(records.groupBy(*key).agg(F.min("record_id").alias("first_record")), [*key], dialogue_offset, dialogue_limit)
     inside = records.join(F.broadcast(chosen.select(*key)), key, "left_semi")
     order = Window.partitionBy(*key).orderBy("record_id")
+    counts = inside.groupBy(*key).agg(F.count(F.lit(1)).alias("records_total"))
     shown = inside.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= record_limit).select(
         *key, "record_id", "ordinal", "side", "label",
         escaped_preview(F.substring(F.encode("body", "UTF-8"), 1, preview_bytes)).alias("preview"),
         (octets(F.col("body")) > preview_bytes).alias("preview_truncated"),
+    ).join(counts, key).withColumn("records_truncated", F.col("records_total") > record_limit)
+    named = relations.select("record_id", F.concat_ws(":", "relation", F.col("related_id").cast("string")).alias("item"))
+    related = _first(shown, named, "relations", relation_limit, ["item"])
+    linked = _first(shown, links.select("record_id", F.col("candidate_id").alias("item"), "score"), "candidates", candidate_limit, [F.desc("score"), "item"])
+    return shown.join(related, "record_id", "left").join(linked, "record_id", "left").fillna(0, ["relations_total", "candidates_total"]).fillna(
+        False, ["relations_truncated", "candidates_truncated"])
+
+
+def _first(shown: DataFrame, children: DataFrame, name: str, limit: int, order: Sequence[Column | str]) -> DataFrame:
+    """The first children of the records shown as one text, with their total and whether the list is cut."""
+    wanted = children.join(shown.select("record_id").distinct(), "record_id", "left_semi")
+    counts = wanted.groupBy("record_id").agg(F.count(F.lit(1)).alias(f"{name}_total"))
+    ranked = wanted.withColumn("__rank", F.row_number().over(Window.partitionBy("record_id").orderBy(*order))).where(F.col("__rank") <= limit)
+    items = ranked.groupBy("record_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "item"))), lambda p: p["item"]), ",").alias(name)
     )
-    related = _first(relations.select("record_id", F.concat_ws(":", "relation", F.col("related_id").cast("string")).alias("item")), relation_limit, ["item"])
-    linked = _first(links.select("record_id", F.col("candidate_id").alias("item"), "score"), candidate_limit, [F.desc("score"), "item"])
-    return shown.join(related.withColumnRenamed("items", "relations"), "record_id", "left").join(
-        linked.withColumnRenamed("items", "candidates"), "record_id", "left"
-    )
-
-
-def _first(children: DataFrame, limit: int, order: Sequence[Column | str]) -> DataFrame:
-    ranked = children.withColumn("__rank", F.row_number().over(Window.partitionBy("record_id").orderBy(*order))).where(F.col("__rank") <= limit)
-    return ranked.groupBy("record_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "item"))), lambda p: p["item"]), ",").alias("items")
-    )
+    return items.join(counts, "record_id").withColumn(f"{name}_truncated", F.col(f"{name}_total") > limit)
 
 
 def preview_budget(rows: DataFrame, keys: Sequence[str], position: str, size: Column, budget: int) -> DataFrame:

@@ -66,7 +66,10 @@ def test_chain_stops_at_depth(spark):
     rows = decode.decode_chain(df, "id", "v").orderBy("depth").collect()
     assert [r.depth for r in rows] == [1, 2, 3] and bytes(rows[-1].output) == b"hello world"
     assert rows[0].output_hash == rows[1].parent_hash
-    assert decode.decode_chain(df, "id", "v", max_depth=2).count() == 2
+    limited = decode.decode_chain(df, "id", "v", max_depth=2).orderBy("depth").collect()
+    assert [(r.depth, r.status) for r in limited] == [(1, "decoded"), (2, "decoded"), (3, "depth-limit")]
+    assert limited[2].output is None and limited[2].parent_hash == limited[1].output_hash
+    assert {r.status for r in rows} == {"decoded"}
 
 
 def test_suppress_known_and_content(spark):
