@@ -44,6 +44,16 @@ def _(spark, sf):
     return signals(spark, sf).select("subject_kind", "subject_id", "task_kind", "rule", "priority")
 
 
+@query(
+    "unsupported_skips",
+    SIGNAL_SQL + "SELECT label, CAST(n AS BIGINT) AS frame_count, 'unsupported-label-limit' AS reason FROM lacking WHERE rk > 1",
+    "frames http_tx messages",
+)
+def _(spark, sf):
+    seen = profile.protocol_observations(frame_queries.frames(spark, sf))
+    return queue.unsupported_skips(frame_queries.coverage(spark, sf), seen, 1).drop("capture_id")
+
+
 # Signals of the remaining sources: candidates, artifacts, streams, trailing data, encoded names, transfers, mail parts.
 @query(
     "queue_signal_sources",

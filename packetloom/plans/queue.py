@@ -128,13 +128,23 @@ def coverage_signals(coverage: DataFrame) -> DataFrame:
     return _signal(weak, F.col("subject_kind"), F.col("subject_id"), "protocol-review", F.concat(F.lit("analysis-"), F.col("status")), level)
 
 
-def unsupported_signals(coverage: DataFrame, observations: DataFrame, limit: int = MAX_UNSUPPORTED) -> DataFrame:
-    """Most frequent labels without an analyzer.  A capture has at most one row per label here, and the
-    rank filter is applied before the shuffle as well."""
+def _unsupported(coverage: DataFrame, observations: DataFrame) -> DataFrame:
+    """Labels without an analyzer, ranked by frames.  A capture has at most one row per label here."""
     lacking = coverage.where("subject_kind = 'protocol' AND status = 'unavailable'").select("capture_id", F.col("subject_id").alias("label"))
     rows = observations.join(lacking, ["capture_id", "label"]).where(~F.col("label").isin(QUIET_LABELS))
     order = Window.partitionBy("capture_id").orderBy(F.desc("frame_count"), "label")
-    top = rows.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= limit)
+    return rows.withColumn("__rank", F.row_number().over(order))
+
+
+def unsupported_skips(coverage: DataFrame, observations: DataFrame, limit: int = MAX_UNSUPPORTED) -> DataFrame:
+    """The labels that ``unsupported_signals`` leaves out, one skip row each."""
+    return _unsupported(coverage, observations).where(F.col("__rank") > limit).select(
+        "capture_id", "label", "frame_count", F.lit("unsupported-label-limit").alias("reason"))
+
+
+def unsupported_signals(coverage: DataFrame, observations: DataFrame, limit: int = MAX_UNSUPPORTED) -> DataFrame:
+    """Most frequent labels without an analyzer; ``unsupported_skips`` lists the others."""
+    top = _unsupported(coverage, observations).where(F.col("__rank") <= limit)
     rule, level = F.lit("unsupported-protocol"), F.least(F.lit(60), F.when(F.col("frame_count") > 10, 40).otherwise(30))
     for label, (name, points) in UNSUPPORTED_RULES.items():
         rule = F.when(F.col("label") == label, name).otherwise(rule)
