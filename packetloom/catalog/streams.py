@@ -82,13 +82,12 @@ def _(spark, sf):
     "stream_content",
     BYTES_SQL
     + """, placed AS (SELECT stream_index, ob, pos, row_number() OVER (PARTITION BY stream_index ORDER BY pos) - 1 AS o FROM owner)
-    SELECT stream_index, sha256(string_agg(ob, '' ORDER BY o)) AS content_hash, CAST(count(*) AS BIGINT) AS output_bytes FROM placed GROUP BY stream_index""",
+    SELECT stream_index, CAST(o // 65536 AS BIGINT) AS block_no, sha256(string_agg(ob, '' ORDER BY o)) AS content_hash, CAST(count(*) AS BIGINT) AS output_bytes FROM placed GROUP BY 1, 2""",
     "segments",
 )
 def _(spark, sf):
-    # Streams of this table fit one block, so the block's hash is the stream's.
-    rows = reassembly.stream_content(ledgers(spark, sf, "cells"), block=1 << 20)
-    return rows.select("stream_index", F.sha2("data", 256).alias("content_hash"), F.octet_length("data").cast("long").alias("output_bytes"))
+    rows = reassembly.stream_content(ledgers(spark, sf, "cells"))
+    return rows.select("stream_index", "block_no", F.sha2("data", 256).alias("content_hash"), F.octet_length("data").cast("long").alias("output_bytes"))
 
 
 @query(

@@ -7,7 +7,6 @@ from packetloom.functions.text import (  # noqa: F401
     explode_matches,
     form_decode,
     octets,
-    printable,
     stable_id,
     with_matches,
 )

@@ -51,10 +51,6 @@ def escaped_preview(data: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), shown), "")
 
 
-def printable(code: Column) -> Column:
-    return code.between(32, 126)
-
-
 HITS = "array<struct<offset:int,value:string>>"
 
 

@@ -180,17 +180,19 @@ def conflict_hashes(conflicts: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def stream_content(ledgers: dict[str, DataFrame], block: int = CONTENT_BLOCK) -> DataFrame:
-    """Rebuilt bytes without the gaps, as rows ``(stream, block_no, output_offset, data)`` of bounded size.
+    """Rebuilt bytes without the gaps, as rows ``(stream, block_no, output_offset, data)`` of ``block`` bytes each, the last shorter.
 
     A whole stream is never one value; readers join on the range they need.
     """
-    placed = scan(
-        ledgers["cells"], STREAM, "low",
-        {"output_offset": running_sum(F.col("high") - F.col("low"), inclusive=False)}, span=POSITIONS,
-    )
-    grouped = placed.groupBy(*STREAM, F.expr(f"output_offset div {block}").alias("block_no")).agg(
-        F.min("output_offset").alias("output_offset"),
-        F.array_sort(F.collect_list(F.struct("output_offset", F.hex("data").alias("digits")))).alias("parts"),
+    size = F.col("high") - F.col("low")
+    placed = scan(ledgers["cells"], STREAM, "low", {"__out": running_sum(size, inclusive=False)}, span=POSITIONS)
+    dealt = placed.select("*", F.explode(F.sequence(F.expr(f"__out div {block}"), F.expr(f"(__out + high - low - 1) div {block}"))).alias("block_no"))
+    first = F.greatest("__out", F.col("block_no") * block)
+    last = F.least(F.col("__out") + size, (F.col("block_no") + 1) * block)
+    part = F.substring("data", (first - F.col("__out") + 1).cast("int"), (last - first).cast("int"))
+    grouped = dealt.groupBy(*STREAM, "block_no").agg(
+        F.min(first).alias("output_offset"),
+        F.array_sort(F.collect_list(F.struct(first.alias("at"), F.hex(part).alias("digits")))).alias("parts"),
     )
     return grouped.select(
         *STREAM, "block_no", "output_offset", F.unhex(F.array_join(F.transform("parts", lambda p: p["digits"]), "")).alias("data")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packetloom.functions.text import bounded_preview, escaped_preview, octets
-from packetloom.operators.ordered import running_sum, scan
 from packetloom.operators.parameters import form_fields, query_parameters
 from packetloom.plans.queue import visible
 
@@ -224,9 +223,3 @@ def _first(shown: DataFrame, children: DataFrame, name: str, limit: int, order:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "item"))), lambda p: p["item"]), ",").alias(name)
     )
     return items.join(counts, "record_id").withColumn(f"{name}_truncated", F.col(f"{name}_total") > limit)
-
-
-def preview_budget(rows: DataFrame, keys: Sequence[str], position: str, size: Column, budget: int) -> DataFrame:
-    """Rows whose previews fit a shared byte budget, in order."""
-    summed = scan(rows.withColumn("__size", size.cast("long")), keys, position, {"__used": running_sum(F.col("__size"))})
-    return summed.withColumn("preview_kept", F.col("__used") <= budget).drop("__size", "__used")

@@ -71,6 +71,7 @@ def test_random_streams_equal_byte_by_byte_rebuild(spark):
     assert ledger("conflicts") == _runs([(f, o, p) for f, p, o, same in later if not same])
     content = reassembly.stream_content(parts, block=64).orderBy("block_no").collect()
     assert b"".join(bytes(r.data) for r in content) == bytes(owner[p][1] for p in sorted(owner))
+    assert {len(r.data) for r in content[:-1]} == {64} and [r.output_offset for r in content] == [64 * r.block_no for r in content]
     gaps = [(r.start, r.end) for r in parts["gaps"].orderBy("start").collect()]
     points = sorted(owner)
     assert gaps == [(a + 1, b) for a, b in zip(points, points[1:]) if b > a + 1]
