@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from packetloom.functions.text import each, explode_matches, stable_id
-from packetloom.operators.ordered import lag, row_number, running_max, running_sum, scan
+from packetloom.operators.ordered import SPAN, lag, next_value, row_number, running_max, running_sum, scan, span_of
+from packetloom.operators.sequence import FAN_IN
+from packetloom.session import cut
 
 GROUP = ["capture_id", "source", "destination", "base_domain", "encoding"]
 ROUTE = ["capture_id", "source", "destination"]
@@ -146,12 +151,12 @@ def pointer_text(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
     return text.withColumn("printable", F.length(F.translate("text", "?", "")))
 
 
-def pointer_flags(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
+def pointer_flags(df: DataFrame, block: int = TEXT_BLOCK, span: int = SPAN) -> DataFrame:
     """Flag-like text in the pointer characters, leftmost first and without overlaps over the whole direction.
 
     Every place where a flag may begin is tried in the block that owns it, which holds all of the longest match.
-    Of matches that overlap, those are kept that a walk from the left keeps; only such clusters are walked, and the block
-    size never changes the result.
+    Of matches that overlap, those are kept that a walk from the left keeps.  The walk runs over spans of the offset, so
+    no task or value holds a whole direction, and neither the block nor the span size changes the result.
     """
     usable = df.where("pointer > 0")
     shown = F.when(F.col("pointer").between(32, 126), F.char(F.col("pointer"))).otherwise("?")
@@ -159,20 +164,89 @@ def pointer_flags(df: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
     starts = explode_matches(text.withColumn("__whole", F.col("text")), POINTER_START, "text").where(F.col("hit.offset") < block)
     value = F.regexp_extract(F.substr("__whole", F.col("hit.offset") + 1, F.lit(POINTER_LONGEST)), f"^{POINTER_FLAG}", 0)
     hits = starts.select(*POINTER_KEY, (F.col("block_start") + F.col("hit.offset")).alias("offset"), value.alias("value")).where("value <> ''")
-    reach = scan(hits.withColumn("__end", F.col("offset") + F.length("value")), POINTER_KEY, "offset", {
-        "__reach": running_max(F.col("__end"), inclusive=False)})
-    fresh = F.when(F.col("offset") < F.col("__reach"), 0).otherwise(1)
-    clusters = scan(reach.withColumn("__fresh", fresh), POINTER_KEY, "offset", {"__cluster": running_sum(F.col("__fresh"))})
-    row = F.struct("offset", "value", "__end")
-    walked = F.expr(
-        "aggregate(array_sort(rows), named_struct('kept', slice(rows, 1, 0), 'end', CAST(-1 AS BIGINT)), (s, r) -> "
-        "IF(r.offset >= s.end, named_struct('kept', concat(s.kept, array(r)), 'end', CAST(r.__end AS BIGINT)), s)).kept"
-    )
-    return (
-        clusters.groupBy(*POINTER_KEY, "__cluster").agg(F.collect_list(row).alias("rows"))
-        .select(*POINTER_KEY, F.explode(walked).alias("hit"))
-        .select(*POINTER_KEY, "hit.offset", "hit.value")
-    )
+    ended = cut(hits.withColumn("__end", F.col("offset") + F.length("value")))
+    near = scan(ended, POINTER_KEY, "offset", {
+        "__reach": running_max(F.col("__end"), inclusive=False), "__next": next_value(F.col("offset"))})
+    # A match that touches no other is kept whatever the walk does.
+    alone = (F.coalesce("__reach", "offset") <= F.col("offset")) & (F.coalesce("__next", "__end") >= F.col("__end"))
+    marked = cut(near.select(*ended.columns, alone.alias("__alone")))
+    kept = marked.where("__alone").select(*hits.columns)
+    rest = marked.where("NOT __alone").drop("__alone")
+    if rest.isEmpty():
+        return kept
+    return kept.unionByName(_walk_left(rest, POINTER_KEY, POINTER_LONGEST, span))
+
+
+def _span_exits(offsets: np.ndarray, ends: np.ndarray, begin: int, longest: int) -> np.ndarray:
+    """Where a walk through a span's matches leaves off, for each of the places from ``begin`` on where it may set in."""
+    following = np.searchsorted(offsets, ends)
+    left = ends.copy()
+    for i in range(len(offsets) - 1, -1, -1):
+        if following[i] < len(offsets):
+            left[i] = left[following[i]]
+    entered = begin + np.arange(longest, dtype=np.int64)
+    first = np.searchsorted(offsets, entered)
+    return np.where(first < len(offsets), left[np.minimum(first, len(offsets) - 1)], entered)
+
+
+def _walk_left(hits: DataFrame, keys: Sequence[str], longest: int, span: int) -> DataFrame:
+    """The rows of ``hits(keys, offset, value, __end)`` that a walk from the left keeps.
+
+    All that earlier spans do to a span is where their last match ends, which is less than ``longest`` behind its
+    begin.  Spans are reduced to that map, maps are joined ``FAN_IN`` at a time, the joined maps are applied in order,
+    and the start of every span follows, as in ``sequence``.
+    """
+    keys = list(keys)
+    head = [hits.schema[k] for k in keys] + [T.StructField("__span", T.LongType())]
+
+    def row(group: pd.DataFrame, number: int, begin: int, exits: np.ndarray) -> pd.DataFrame:
+        fixed = {k: group[k].iloc[0] for k in keys}
+        return pd.DataFrame([{**fixed, "__span": number, "begin": begin, "exits": exits.astype(np.int64).tobytes()}])
+
+    def through(begin: int, exits: bytes, place: np.ndarray) -> np.ndarray:
+        return np.frombuffer(exits, np.int64)[np.maximum(place - begin, 0)]
+
+    def reduce_span(group: pd.DataFrame) -> pd.DataFrame:
+        ordered, number = group.sort_values("offset"), int(group["__span"].iloc[0])
+        offsets, ends = (ordered[c].to_numpy(dtype=np.int64) for c in ("offset", "__end"))
+        return row(group, number, number * span, _span_exits(offsets, ends, number * span, longest))
+
+    def reduce_block(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values("__span")
+        begin = int(ordered["begin"].iloc[0])
+        place = begin + np.arange(longest, dtype=np.int64)
+        for at, exits in zip(ordered["begin"], ordered["exits"], strict=True):
+            place = through(at, exits, place)
+        return row(group, int(ordered["__span"].iloc[0]) // FAN_IN, begin, place)
+
+    def starts(group: pd.DataFrame, given: pd.DataFrame | None = None) -> pd.DataFrame:
+        ordered = group.sort_values("__span")
+        place = np.array([0 if given is None else int(given["start"].iloc[0])])
+        values = []
+        for at, exits in zip(ordered["begin"], ordered["exits"], strict=True):
+            values.append(int(place[0]))
+            place = through(at, exits, place)
+        return ordered[[*keys, "__span"]].assign(start=values)
+
+    def follow(group: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values("offset")
+        place, kept = int(given["start"].iloc[0]), []
+        for offset, end in zip(ordered["offset"].tolist(), ordered["__end"].tolist(), strict=True):
+            kept.append(offset >= place)
+            place = end if kept[-1] else place
+        return ordered.loc[kept, [*keys, "offset", "value"]]
+
+    exit_schema = T.StructType([*head, T.StructField("begin", T.LongType()), T.StructField("exits", T.BinaryType())])
+    start_schema = T.StructType([*head, T.StructField("start", T.LongType())])
+    spanned = hits.withColumn("__span", span_of("offset", span))
+    number = F.expr(f"__span div {FAN_IN}").alias("__block")
+    spans = cut(spanned.groupBy(*keys, "__span").applyInPandas(reduce_span, schema=exit_schema))
+    blocks = spans.groupBy(*keys, number).applyInPandas(reduce_block, schema=exit_schema)
+    block_starts = blocks.groupBy(*keys).applyInPandas(lambda group: starts(group), schema=start_schema)
+    span_starts = spans.groupBy(*keys, number).cogroup(block_starts.groupBy(*keys, "__span")).applyInPandas(
+        lambda group, given: starts(group, given), schema=start_schema)
+    schema = T.StructType([hits.schema[c] for c in (*keys, "offset", "value")])
+    return spanned.groupBy(*keys, "__span").cogroup(span_starts.groupBy(*keys, "__span")).applyInPandas(follow, schema=schema)
 
 
 def pointer_candidates(flags: DataFrame) -> DataFrame:

@@ -188,3 +188,20 @@ def test_pointer_flags_do_not_depend_on_the_block(spark):
     expected = [(m.start(), m.group(0)) for m in re.finditer(r"(?i)(?:flag|ctf)\{[^\r\n\x00]{1,240}\}", text)]
     for block in (8, 32, 4096):
         assert sorted((r["offset"], r["value"]) for r in pointer_flags(df, block).collect()) == expected
+
+
+def test_chains_of_pointer_flags_are_walked_span_by_span(spark):
+    import random
+    import re
+
+    from packetloom.operators import sidechannel
+
+    rng = random.Random(5)
+    # Starts stand so close that all matches of a direction chain, over hundreds of spans and several blocks of spans.
+    texts = ["".join(rng.choice(["ctf{", "flag{a}", "}", "x" * 9]) for _ in range(1000)), "ctf{a}" * 800, "no flag", "x" * 500 + "ctf{b}" + "y" * 900 + "flag{c}"]
+    rows = [(1, k, "a", None if k == 3 else "b", n + 1, ord(c)) for k, text in enumerate(texts) for n, c in enumerate(text)]
+    df = spark.createDataFrame(rows, "capture_id int, stream_index long, source string, destination string, frame_number long, pointer int")
+    expected = sorted((k, m.start(), m.group(0)) for k, text in enumerate(texts) for m in re.finditer(sidechannel.POINTER_FLAG[4:], text, re.I))
+    assert len(expected) > 30
+    for span in (4, 300):
+        assert sorted((r["stream_index"], r["offset"], r["value"]) for r in sidechannel.pointer_flags(df, span=span).collect()) == expected
