@@ -125,8 +125,10 @@ def build_and_probe(lines: DataFrame, min_docs: int) -> DataFrame:
     index = keyed.join(F.broadcast(copies), "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"),
         F.lit(None).cast("long").alias("doc_id"), "h1", "h2", "n", "keeper")
+    # Any copy answers any probe, so rows are dealt by their place: equal ones, as of null doc_ids, do not meet in one.
+    dealt = F.pmod(F.monotonically_increasing_id(), F.col("copies")).cast("int")
     probes = lines.withColumn("shard", shard).join(F.broadcast(copies), "shard").select(
-        "shard", F.pmod(F.xxhash64("doc_id", "h2"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"),
+        "shard", dealt.alias("copy"), F.lit(1).alias("kind"),
         "doc_id", "h1", "h2", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("keeper"))
     order = ["shard", "copy", "kind"]
     ready = index.union(probes).repartition("shard", "copy").sortWithinPartitions(*order)
@@ -148,8 +150,7 @@ def build_and_probe(lines: DataFrame, min_docs: int) -> DataFrame:
             none = table["doc_id"].is_null().to_numpy()
             doc = np.where(none, np.iinfo(np.int64).min, table["doc_id"].fill_null(0).to_numpy())
             lose = (count >= min_docs) & (doc != keeper)
-            yield table.filter(pa.array(lose)).select(["doc_id", "h1", "h2"]).combine_chunks().to_batches(1 << 20)[0] if lose.any() else pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array([], pa.int64()), "h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64())})
+            yield from table.filter(pa.array(lose)).select(["doc_id", "h1", "h2"]).combine_chunks().to_batches(1 << 20)
 
     return ready.mapInArrow(run, "doc_id long, h1 long, h2 long")
 

@@ -348,3 +348,10 @@ def test_pipeline_stages(spark):
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, before, SMALL)
     assert {r["doc_id"] for r in last.select("doc_id").collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}
+
+
+def test_lost_lines_of_very_many_equal_probes_are_all_returned(spark):
+    nulls = spark.range(1_200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(5).cast("long").alias("h1"), F.lit(9).cast("long").alias("h2"))
+    named = spark.range(10).select(F.col("id").alias("doc_id"), F.lit(5).cast("long").alias("h1"), F.lit(9).cast("long").alias("h2"))
+    got = line_dedup.build_and_probe(nulls.union(named), 5).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {None: 1_200_000, **{k: 1 for k in range(9)}}
