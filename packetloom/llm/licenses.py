@@ -155,10 +155,15 @@ class Scanner:
         # A template needs all its mandatory words; a document without its rarest ones is not tried.
         self.first = np.array(sorted(self.starts), np.uint64)
         second: set[int] = set()
+        # First words after which any word may stand, or none: their next word says nothing.
+        free: set[int] = set()
         for a in self.automata:
-            for _, to in a.arcs[0]:
-                second.update(h for h, _ in a.arcs[to] if h is not None)
+            for h, to in a.arcs[0]:
+                second.update(x for x, _ in a.arcs[to] if x is not None)
+                if to in a.final or any(x is None for x, _ in a.arcs[to]):
+                    free.add(h)
         self.second = np.array(sorted(second), np.uint64)
+        self.free = np.array(sorted(free), np.uint64)
 
     def scan(self, column: pa.Array):
         """n_words, n_base, first, last, base labels, labels and score of each row."""
@@ -181,8 +186,8 @@ class Scanner:
                         places.setdefault(int(row_of[at]), []).append((at, label))
             matched: dict[int, dict[str, float]] = {}
             starts = np.flatnonzero(np.isin(h, self.first))
-            starts = starts[starts + 1 < len(h)]
-            starts = starts[np.isin(h[starts + 1], self.second)]
+            followed = np.isin(np.append(h[1:], h[:1])[starts], self.second) & (starts + 1 < len(h))
+            starts = starts[followed | np.isin(h[starts], self.free)]
             for at in starts.tolist():
                 row = int(row_of[at])
                 for automaton in self.starts[int(h[at])]:

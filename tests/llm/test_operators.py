@@ -355,3 +355,12 @@ def test_lost_lines_of_very_many_equal_probes_are_all_returned(spark):
     named = spark.range(10).select(F.col("id").alias("doc_id"), F.lit(5).cast("long").alias("h1"), F.lit(9).cast("long").alias("h2"))
     got = line_dedup.build_and_probe(nulls.union(named), 5).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in got} == {None: 1_200_000, **{k: 1 for k in range(9)}}
+
+
+def test_license_regions_after_the_first_word(spark):
+    docs = spark.createDataFrame([(1, "Copyright 2004 Acme"), (2, "copyright acme"), (3, "copyright a b c d acme"), (4, "see the zlib"), (5, "zlib acme")], "doc_id long, text string")
+    own = {"named": ["copyright <<any:3>> acme"], "single": ["zlib"], "tail": ["copyright <<any:1>>"]}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs.coalesce(1), templates=own).collect()}
+    assert got == {1: "named,tail", 2: "named,tail", 3: "tail", 4: "single", 5: "single"}
+    # The last word of a slice has none after it.
+    assert licenses.scan_licenses(docs.where("doc_id = 4"), templates=own).first()["labels"] == "single"
