@@ -46,22 +46,23 @@ def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS):
     """Text to ids of the vocabulary.
 
     The rank file holds the same vocabulary, and its library gives the same ids five times faster; a test walks all
-    ids to show that.  Texts with code points that the two could class differently go to the first library.
+    ids to show that.  Texts with code points that the two could class differently, or with the content of an added token
+    (which is one id), go to the first library.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     if (vocabulary, ranks) not in _ENCODERS:
         slow = Tokenizer.from_file(vocabulary)
-        slow.encode_special_tokens = True
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        _ENCODERS[vocabulary, ranks] = slow, fast
-    slow, fast = _ENCODERS[vocabulary, ranks]
+        added = re.compile("|".join(re.escape(t.content) for t in slow.get_added_tokens_decoder().values()) or "(?!)").search
+        _ENCODERS[vocabulary, ranks] = slow, fast, added
+    slow, fast, added = _ENCODERS[vocabulary, ranks]
 
     def encode(text: str) -> list[int]:
-        return fast.encode_ordinary(text) if _SETTLED(text) else slow.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text) if _SETTLED(text) and not added(text) else slow.encode(text, add_special_tokens=False).ids
 
     return encode
 

@@ -364,3 +364,12 @@ def test_license_regions_after_the_first_word(spark):
     assert got == {1: "named,tail", 2: "named,tail", 3: "tail", 4: "single", 5: "single"}
     # The last word of a slice has none after it.
     assert licenses.scan_licenses(docs.where("doc_id = 4"), templates=own).first()["labels"] == "single"
+
+
+def test_added_tokens_are_single_ids():
+    from tokenizers import Tokenizer
+
+    slow, encode = Tokenizer.from_file(packing.VOCABULARY), packing.encoder()
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "中<|endoftext|> <|endoftext|>x", "a<|endoftext >b", "plain"):
+        assert encode(text) == slow.encode(text, add_special_tokens=False).ids
+    assert encode("a<|endoftext|>b") == [64, 50256, 65]
