@@ -3,18 +3,17 @@
 The corpus is written once, dealt over a few shards, and one shard is scanned per step, round and round.  Words are counted
 from the first step on.  A longer phrase becomes active at the step after both its subphrases (all but its last word, all
 but its first) have reached the threshold in what was counted so far, and stays active for one full cycle, so each of its
-occurrences is counted once.  Counting ends when no phrase has become able to activate others for a whole cycle.
+occurrences is counted once.  Counting ends a full cycle after the last phrase that could activate others.
 
-Tasks know which phrases have reached the threshold from a table of slots (two bits for each hash: reached, and reached in
-the last cycle) of at most ``2 ** MAX_SLOT_BITS`` bytes, whatever the corpus.  Phrases that share a slot may be counted
-before they are active; a count is therefore kept per shard and taken once, so totals never exceed the true ones, and
-phrases that are frequent have all their shards.  The ledger of counts is a table keyed by the phrase itself.
+Tasks know when phrases reached the threshold from a table of ``2 ** SLOT_BITS`` bytes, whatever the corpus: by hash, the first
+step at which a phrase of this slot did.  A slot is set once and for all, so phrases that share one may only become active
+earlier, for one full cycle still, and all counts are exact.  Counts are kept in a ledger table keyed by the phrase itself;
+phrases that end their cycle below the threshold leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2_000
 SHARDS = 3
-MAX_SLOT_BITS = 24
-BLOCK_BITS = 16
+SLOT_BITS = 24
 CHUNK_BYTES = 8 << 20
 UNKNOWN = "und"
 
@@ -44,7 +42,8 @@ _BLANK[list(BLANKS)] = True
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(BREAKS)] = True
 
-_COUNTED = "lang string, phrase string, k int, h long, n long"
+_COUNTED = "lang string, phrase string, n long, end int"
+_LEDGER = f"{_COUNTED}, reach int"
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -110,45 +109,43 @@ def _spelled(spelling: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.A
     return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(spelling[at])])
 
 
-def _scanner(words: bool, table, max_words: int):
-    """Task function: counts per chunk of the words (if asked for) and of the active longer phrases."""
+def _scanner(step: int, table, max_words: int, shards: int, slot_bits: int):
+    """Task function for one step: counts per chunk of all words (in the first cycle) and of the active longer phrases, each with
+    the last step of its cycle.  An empty phrase counts all words of a language."""
 
     def counted(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
         spelling, starts, ends, hashes, langs, joined = chunk.arrays()
-        names = list(chunk.langs)
-        salts = np.array([word_hash(name) for name in names], dtype=np.uint64)
+        names = pa.array(list(chunk.langs), pa.string())
 
-        def rows(k: int, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-            found, first, n = np.unique(h[at], return_index=True, return_counts=True)
+        def rows(k: int, h: np.ndarray, at: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+            _, first, n = np.unique(h[at], return_index=True, return_counts=True)
             where = at[first]
-            lang = pa.DictionaryArray.from_arrays(pa.array(langs[where]), pa.array(names, pa.string())).cast(pa.string())
             return pa.record_batch({
-                "lang": lang, "phrase": _spelled(spelling, starts[where], ends[where + k - 1]),
-                "k": np.full(len(found), k, np.int32), "h": found.view(np.int64), "n": n.astype(np.int64)})
+                "lang": names.take(pa.array(langs[where])), "phrase": _spelled(spelling, starts[where], ends[where + k - 1]),
+                "n": n.astype(np.int64), "end": last[where].astype(np.int32)})
 
         if not len(hashes):
             return
+        salts = np.array([word_hash(name) for name in chunk.langs], dtype=np.uint64)
         h = mix(hashes ^ salts[langs])
-        if words:
-            each = np.bincount(langs, minlength=len(names))
+        if step <= shards:
+            whole_cycle = np.full(len(h), shards)
             yield pa.record_batch({
-                "lang": pa.array(names, pa.string()), "phrase": pa.array([""] * len(names), pa.string()),
-                "k": np.zeros(len(names), np.int32), "h": np.zeros(len(names), np.int64), "n": each.astype(np.int64)})
-            yield rows(1, h, np.arange(len(h)))
-        if table is None:
-            return
-        known = table.value
-        shift = _U(64 - int(log2(len(known))))
-        whole = np.ones(len(h), dtype=bool)
+                "lang": names, "phrase": pa.array([""] * len(names), pa.string()),
+                "n": np.bincount(langs, minlength=len(names)).astype(np.int64), "end": whole_cycle[:1].repeat(len(names)).astype(np.int32)})
+            yield rows(1, h, np.arange(len(h)), whole_cycle)
+        known, shift = table.value, _U(64 - slot_bits)
+        fits = np.ones(len(h), dtype=bool)
         for k in range(2, max_words + 1):
-            bits = np.where(whole, known[h >> shift], np.uint8(0))
-            if len(bits) < 2 or not bits.any():
+            reach = np.where(fits, known[h >> shift], np.uint8(0))
+            if len(reach) < 2 or not reach.any():
                 return
-            whole = whole[:-1] & joined[k - 2 : len(whole) + k - 3]
+            fits = fits[:-1] & joined[k - 2 : len(fits) + k - 3]
             h = mix(h[:-1] * _STEP + hashes[k - 1 :])
-            at = np.flatnonzero(whole & ((bits[:-1] & bits[1:] & 1) == 1) & (((bits[:-1] | bits[1:]) & 2) == 2))
+            last = np.maximum(reach[:-1], reach[1:]).astype(np.int64) + shards
+            at = np.flatnonzero(fits & (reach[:-1] > 0) & (reach[1:] > 0) & (step <= last))
             if len(at):
-                yield rows(k, h, at)
+                yield rows(k, h, at, last)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
@@ -161,25 +158,23 @@ def _scanner(words: bool, table, max_words: int):
     return run
 
 
-def _slots(ledger: DataFrame, phrases: int, step: int, shards: int, max_words: int) -> np.ndarray:
-    """Table of slots for the scan of ``step``: 1 where a phrase has reached the threshold, 3 where it did so in the last cycle."""
-    reached = ledger.where(F.col("reach").isNotNull() & F.col("k").between(1, max_words - 1))
-    bits = min(MAX_SLOT_BITS, max(BLOCK_BITS, ceil(log2(16 * phrases + 1))))
-    table = np.zeros(1 << bits, dtype=np.uint8)
-    mark = F.when(F.col("reach") >= step - shards, 3).otherwise(1)
-    slots = reached.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("slot")).agg(F.bit_or(mark).cast("int").alias("mark"))
+def _slots(max_words: int, slot_bits: int):
+    """Task function: slots of phrases of fewer than ``max_words`` words."""
 
-    def block(group: pa.Table) -> pa.Table:
-        values = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
-        values[group["at"].to_numpy()] = group["mark"].to_numpy()
-        return pa.table({"block": group["block"][:1], "values": pa.array([values.tobytes()], pa.binary())})
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True):
+                words = phrase.split(" ")
+                if len(words) < max_words:
+                    hashes = np.array([word_hash(w) for w in words], dtype=np.uint64)
+                    h = mix(hashes[:1] ^ _U(word_hash(lang)))
+                    for one in hashes[1:]:
+                        h = mix(h * _STEP + one)
+                    out.append(int(h[0] >> _U(64 - slot_bits)))
+            yield pa.record_batch({"slot": pa.array(out, pa.int64())})
 
-    placed = slots.select((F.col("slot") / (1 << BLOCK_BITS)).cast("int").alias("block"), F.pmod("slot", F.lit(1 << BLOCK_BITS)).cast("int").alias("at"), "mark")
-    # At most one row for each block of slots.
-    for row in placed.groupBy("block").applyInArrow(block, "block int, values binary").collect():
-        low = row["block"] << BLOCK_BITS
-        table[low : low + (1 << BLOCK_BITS)] = np.frombuffer(row["values"], np.uint8)
-    return table
+    return run
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -189,7 +184,8 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def frequent_phrases(
-    docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shards: int = SHARDS
+    docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shards: int = SHARDS,
+    slot_bits: int = SLOT_BITS,
 ) -> DataFrame:
     """lang, phrase, k (words) and n of all phrases of up to ``max_words`` words with n >= ``min_count``, and for each
     language a row with k = 0 and all its words.
@@ -198,6 +194,8 @@ def frequent_phrases(
     language is ``und``.  Repeated rows count each.  In a chunk of a few megabytes, phrases are told apart by 64 bits of hash,
     across chunks by their words.  No rows: no rows.
     """
+    if shards * max_words > 255:
+        raise ValueError("steps must fit a byte")
     spark = docs.sparkSession
     small_batches(spark)
     corpus = scratch_path(spark, "shards")
@@ -207,53 +205,37 @@ def frequent_phrases(
     ).write.partitionBy("shard").parquet(corpus)
     parts = spark.read.schema("lang string, text string, shard int").parquet(corpus)
 
-    ledger, path, table = None, None, None
-    #: Last step at which a phrase of k words reached the threshold, and the step from which length k is wholly counted.
-    last, whole = {0: 0}, {1: shards}
-    step = 0
-    while True:
+    slots = np.zeros(1 << slot_bits, dtype=np.uint8)
+    ledger, path, step, last = None, None, 0, 0
+    while step < last + shards:
         step += 1
-        bit = 1 << (step - 1) % shards
-        seen = parts.where(F.col("shard") == (step - 1) % shards).select("lang", "text").mapInArrow(
-            _scanner(step <= shards, table, max_words), _COUNTED)
-        rows = seen.select("lang", "phrase", "k", "h", F.lit(0).cast("long").alias("old"), F.lit(0).cast("long").alias("mask"), F.lit(None).cast("int").alias("reach"), "n")
-        if ledger is not None:
-            # A length that is wholly counted keeps its frequent phrases only.
-            open_ = F.col("k").isin([0, *(k for k in range(1, max_words + 1) if whole.get(k, step) >= step)])
-            kept = ledger.where(open_ | (F.col("n") >= min_count))
-            rows = rows.union(kept.select("lang", "phrase", "k", "h", F.col("n").alias("old"), "mask", "reach", F.lit(0).cast("long").alias("n")))
-        merged = rows.groupBy("lang", "phrase").agg(
-            F.max("k").alias("k"), F.max("h").alias("h"), F.sum("old").alias("old"), F.bit_or("mask").alias("mask"), F.max("reach").alias("reach"), F.sum("n").alias("new"))
-        fresh = (F.col("new") > 0) & (F.col("mask").bitwiseAND(F.lit(bit)) == 0)
-        total = F.col("old") + F.when(fresh, F.col("new")).otherwise(0)
+        table = spark.sparkContext.broadcast(slots)
+        rows = parts.where(F.col("shard") == (step - 1) % shards).select("lang", "text").mapInArrow(
+            _scanner(step, table, max_words, shards, slot_bits), _COUNTED).withColumn("reach", F.lit(None).cast("int"))
+        merged = (rows if ledger is None else rows.union(ledger)).groupBy("lang", "phrase").agg(
+            F.sum("n").alias("n"), F.max("end").alias("end"), F.max("reach").alias("reach"))
         previous, path = path, scratch_path(spark, "phrases")
-        merged.select(
-            "lang", "phrase", "k", "h", total.alias("n"), F.when(fresh, F.col("mask").bitwiseOR(F.lit(bit))).otherwise(F.col("mask")).alias("mask"),
-            F.coalesce("reach", F.when(total >= min_count, F.lit(step))).cast("int").alias("reach"),
-        ).write.parquet(path)
-        ledger = spark.read.schema("lang string, phrase string, k int, h long, n long, mask long, reach int").parquet(path)
+        merged.where((F.col("end") > step) | (F.col("n") >= min_count) | (F.col("phrase") == "")).select(
+            "lang", "phrase", "n", "end", F.coalesce("reach", F.when(F.col("n") >= min_count, F.lit(step))).alias("reach")).write.parquet(path)
+        ledger = spark.read.schema(_LEDGER).parquet(path)
         if previous is not None:
             _forget(spark, previous)
-        if table is not None:
-            table.unpersist()
-        reached = 0
-        for row in ledger.where("k > 0").groupBy("k").agg(F.max("reach").alias("at"), F.count("reach").alias("n")).collect():
-            last[row["k"]] = row["at"] or 0
-            reached += row["n"]
-        # A length is whole a cycle after the last activation by the length below it, once that one is whole.
-        for k in range(2, max_words + 1):
-            if whole.get(k - 1, step + 1) <= step:
-                whole.setdefault(k, last.get(k - 1, 0) + shards if last.get(k - 1, 0) else step)
-        if step >= shards and step >= max((at for k, at in last.items() if k < max_words), default=0) + shards:
-            break
-        table = spark.sparkContext.broadcast(_slots(ledger, reached, step + 1, shards, max_words))
+        table.unpersist()
+        # No more rows than the table has slots.
+        fresh = ledger.where((F.col("reach") == step) & (F.col("phrase") != "")).select("lang", "phrase").mapInArrow(
+            _slots(max_words, slot_bits), "slot long").distinct().toArrow()["slot"].to_numpy()
+        if len(fresh):
+            last = step
+            slots = slots.copy()
+            slots[fresh[slots[fresh] == 0]] = step
     _forget(spark, corpus)
-    return ledger.where((F.col("k") == 0) | (F.col("n") >= min_count)).select("lang", "phrase", "k", "n")
+    k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return ledger.where((F.col("phrase") == "") | (F.col("n") >= min_count)).select("lang", "phrase", k.alias("k"), "n")
 
 
 def mine_phrases(
     docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP,
-    shards: int = SHARDS,
+    shards: int = SHARDS, slot_bits: int = SLOT_BITS,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` collocations.
 
@@ -262,7 +244,7 @@ def mine_phrases(
     Candidates inside a longer one with the same count are dropped (a one-word longer one suffices, since counts never rise with
     length).  Order: score and a descending, phrase ascending by its UTF-8 bytes.  See ``frequent_phrases`` for the rest.
     """
-    found = frequent_phrases(docs, text, lang, min_count, max_words, shards)
+    found = frequent_phrases(docs, text, lang, min_count, max_words, shards, slot_bits)
     totals = found.where("k = 0").select("lang", F.col("n").alias("all"))
     known = found.where("k > 0").select("lang", "phrase", "n")
     words = found.where("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))

@@ -156,12 +156,10 @@ def test_phrases_against_brute_force(spark, sayings, shards, min_count, top):
 
 
 def test_phrases_with_shared_slots(spark, sayings, monkeypatch):
-    """Every hash in one of very few slots: phrases are counted early, and totals still hold."""
-    monkeypatch.setattr(phrases, "MAX_SLOT_BITS", 1)
-    monkeypatch.setattr(phrases, "BLOCK_BITS", 1)
+    """Every hash in one of very few slots: phrases are active early, and counts still hold."""
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 500)
     docs = spark.createDataFrame([(k, t, lang, 1, "s", 2, "p", "x") for k, (lang, t) in enumerate(sayings)], DOCS).repartition(3)
-    assert phrase_rows(phrases.mine_phrases(docs, min_count=20, shards=3)) == brute_phrases(sayings, 20, 5, 2000)
+    assert phrase_rows(phrases.mine_phrases(docs, min_count=20, shards=3, slot_bits=2)) == brute_phrases(sayings, 20, 5, 2000)
 
 
 def test_phrases_of_nothing(spark):
