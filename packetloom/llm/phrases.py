@@ -118,11 +118,15 @@ def _scanner(step: int, table, max_words: int, shards: int, slot_bits: int):
         names = pa.array(list(chunk.langs), pa.string())
 
         def rows(k: int, h: np.ndarray, at: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-            _, first, n = np.unique(h[at], return_index=True, return_counts=True)
-            where = at[first]
+            order = np.argsort(h)
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = h[order[1:]] != h[order[:-1]]
+            first = np.flatnonzero(new)
+            one = order[first]
+            where = at[one]
             return pa.record_batch({
                 "lang": names.take(pa.array(langs[where])), "phrase": _spelled(spelling, starts[where], ends[where + k - 1]),
-                "n": n.astype(np.int64), "end": last[where].astype(np.int32)})
+                "n": np.diff(first, append=len(h)).astype(np.int64), "end": last[one].astype(np.int32)})
 
         if not len(hashes):
             return
@@ -135,17 +139,23 @@ def _scanner(step: int, table, max_words: int, shards: int, slot_bits: int):
                 "n": np.bincount(langs, minlength=len(names)).astype(np.int64), "end": whole_cycle[:1].repeat(len(names)).astype(np.int32)})
             yield rows(1, h, np.arange(len(h)), whole_cycle)
         known, shift = table.value, _U(64 - slot_bits)
-        fits = np.ones(len(h), dtype=bool)
+        # First steps of the phrases that start at each word, and the starts where both subphrases have one.
+        reach = np.append(known[h >> shift], np.uint8(0))
+        at = np.flatnonzero(joined & (reach[:-1] > 0) & (reach[1:] > 0))
+        h = h[at]
         for k in range(2, max_words + 1):
-            reach = np.where(fits, known[h >> shift], np.uint8(0))
-            if len(reach) < 2 or not reach.any():
+            if not len(at):
                 return
-            fits = fits[:-1] & joined[k - 2 : len(fits) + k - 3]
-            h = mix(h[:-1] * _STEP + hashes[k - 1 :])
-            last = np.maximum(reach[:-1], reach[1:]).astype(np.int64) + shards
-            at = np.flatnonzero(fits & (reach[:-1] > 0) & (reach[1:] > 0) & (step <= last))
-            if len(at):
-                yield rows(k, h, at, last)
+            h = mix(h * _STEP + hashes[at + k - 1])
+            last = np.maximum(reach[at], reach[at + 1])
+            active = last >= step - shards
+            if active.any():
+                yield rows(k, h[active], at[active], last[active].astype(np.int32) + shards)
+            own = known[h >> shift]
+            reach = np.zeros(len(hashes) + 1, dtype=np.uint8)
+            reach[at] = own
+            both = (own > 0) & (reach[at + 1] > 0)
+            at, h = at[both], h[both]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
