@@ -75,12 +75,13 @@ def with_base(chunks: DataFrame, keys: Sequence[str], order: str, text: str) ->
 
 
 def stream_windows(chunks: DataFrame, keys: Sequence[str], order: str, text: str, window: int, before: int, after: int) -> DataFrame:
-    """Streams cut anew by byte position, whatever their chunks: keys, ``__window``, its position ``__at`` and ``__raw``.
+    """Streams (text or bytes) cut anew by byte position, whatever their chunks: keys, ``__window``, its position ``__at`` and ``__raw``.
 
     A window holds ``window`` bytes and as many beside it as asked for.  One character of ``__raw`` is one byte.
     """
+    data = F.col(text) if chunks.schema[text].dataType.simpleString() == "binary" else F.encode(F.col(text), "UTF-8")
     placed = with_base(chunks.select(*keys, order, text), keys, order, text).select(
-        *keys, F.col("base").alias("__base"), F.encode(F.col(text), "UTF-8").alias("__data"), octets(F.col(text)).cast("long").alias("__octets")
+        *keys, F.col("base").alias("__base"), data.alias("__data"), octets(F.col(text)).cast("long").alias("__octets")
     ).where("__octets > 0")
     first = F.greatest(F.lit(0), F.expr(f"(__base - {after}) div {window}"))
     dealt = placed.select("*", F.explode(F.sequence(first, F.expr(f"(__base + __octets - 1 + {before}) div {window}"))).alias("__window"))
