@@ -10,7 +10,7 @@ read once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -246,6 +246,22 @@ def record_bytes(
     return placed.select(*records.columns, F.encode(raw, "ISO-8859-1").alias("value"), F.when(F.col("label") == "prompt", prompt_name(raw)).alias("prompt"))
 
 
+def stream_matches(
+    chunks: DataFrame, keys: Sequence[str], order: str, data: str, scan_text: Callable[[DataFrame], DataFrame], window: int = WINDOW, longest: int = MAX_BYTES
+) -> DataFrame:
+    """Matches of a text scan over rebuilt streams in stream positions (``start``, ``end``), also across the borders of blocks.
+
+    ``scan_text`` takes rows with the column ``text`` and returns them with ``offset`` and ``value``.  A match of up to ``longest``
+    bytes belongs to the window that holds its first byte.
+    """
+    keys = list(keys)
+    windows = stream_windows(chunks, keys, order, data, window, 0, longest).select(
+        *keys, F.col("__at"), F.regexp_replace("__raw", "[^\\x00-\\x7f]", "?").alias("text"))
+    found = scan_text(windows).where(F.col("offset") < window)
+    start = F.col("__at") + F.col("offset")
+    return found.select(*[c for c in found.columns if c not in ("__at", "offset")], start.alias("start"), (start + F.octet_length("value")).alias("end"))
+
+
 def record_sources(records: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Which frames supplied which part of each record: keys, ``ordinal``, ``frame_number``, ``record_offset``, ``stream_offset``, ``byte_length``.
 

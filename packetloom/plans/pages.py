@@ -191,27 +191,35 @@ def notes_page(
 def dialogue_page(
     records: DataFrame, relations: DataFrame, links: DataFrame, dialogue_offset: int = 0, dialogue_limit: int = 50,
     record_limit: int = 500, preview_bytes: int = 120, relation_limit: int = 100, candidate_limit: int = 100,
+    sources: DataFrame | None = None, source_limit: int = 100,
 ) -> DataFrame:
-    """First records of a page of dialogues with previews, relations and linked candidates.
+    """First records of a page of dialogues with previews, relations, linked candidates and, if given, their sources.
 
-    ``relations(record_id, related_id, relation)``; ``links(record_id, candidate_id, score)``.  Each of the three lists
-    comes with its total and a flag that tells whether it is cut.
+    ``relations(record_id, related_id, relation)``; ``links(record_id, candidate_id, score)``; ``sources(record_id, frame_number,
+    record_offset, byte_length)``, shown as ``frame@offset+length``.  ``body`` is text or bytes.  Each list comes with its
+    total and a flag that tells whether it is cut.
     """
     key = ["capture_id", "dialogue_id"]
     chosen = page(records.groupBy(*key).agg(F.min("record_id").alias("first_record")), [*key], dialogue_offset, dialogue_limit)
     inside = records.join(F.broadcast(chosen.select(*key)), key, "left_semi")
+    body = F.col("body") if records.schema["body"].dataType.simpleString() == "binary" else F.encode("body", "UTF-8")
     order = Window.partitionBy(*key).orderBy("record_id")
     counts = inside.groupBy(*key).agg(F.count(F.lit(1)).alias("records_total"))
     shown = inside.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= record_limit).select(
         *key, "record_id", "ordinal", "side", "label",
-        escaped_preview(F.substring(F.encode("body", "UTF-8"), 1, preview_bytes)).alias("preview"),
+        escaped_preview(F.substring(body, 1, preview_bytes)).alias("preview"),
         (octets(F.col("body")) > preview_bytes).alias("preview_truncated"),
     ).join(counts, key).withColumn("records_truncated", F.col("records_total") > record_limit)
     named = relations.select("record_id", F.concat_ws(":", "relation", F.col("related_id").cast("string")).alias("item"))
     related = _first(shown, named, "relations", relation_limit, ["item"])
     linked = _first(shown, links.select("record_id", F.col("candidate_id").alias("item"), "score"), "candidates", candidate_limit, [F.desc("score"), "item"])
-    return shown.join(related, "record_id", "left").join(linked, "record_id", "left").fillna(0, ["relations_total", "candidates_total"]).fillna(
-        False, ["relations_truncated", "candidates_truncated"])
+    lists, paged = ["relations", "candidates"], shown.join(related, "record_id", "left").join(linked, "record_id", "left")
+    if sources is not None:
+        place = F.format_string("%d@%d+%d", "frame_number", "record_offset", "byte_length")
+        supplied = sources.select("record_id", place.alias("item"), "record_offset", "frame_number")
+        paged = paged.join(_first(shown, supplied, "sources", source_limit, ["record_offset", "frame_number"]), "record_id", "left")
+        lists.append("sources")
+    return paged.fillna(0, [f"{name}_total" for name in lists]).fillna(False, [f"{name}_truncated" for name in lists])
 
 
 def _first(shown: DataFrame, children: DataFrame, name: str, limit: int, order: Sequence[Column | str]) -> DataFrame:
