@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from packetloom.catalog.registry import query
 from packetloom.functions.text import explode_matches
-from packetloom.operators import corpus, pairing, reassembly, records, sequence
+from packetloom.operators import budget, corpus, pairing, reassembly, records, sequence
 from packetloom.plans import pages
+from packetloom.session import cut
 from packetloom.views import table, view
 
 # Comparison by single bytes: the earliest frame that covers a byte owns it.
@@ -78,6 +79,44 @@ def _(spark, sf):
     return statuses(spark, sf).drop(*KEY)
 
 
+# Streams under limits: at most so many segments and bytes of each, in frame order; what does not fit is passed over.
+MOST_SEGMENTS, MOST_BYTES = 32, 1_500
+KEPT_SQL = f""", ordered AS (SELECT stream_index, frame_number, length(CAST(payload AS VARCHAR)) AS size, row_number() OVER (PARTITION BY stream_index ORDER BY frame_number) AS rn FROM segments),
+ walk AS (SELECT stream_index, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS frame_number, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, '' AS reason FROM (SELECT DISTINCT stream_index FROM segments)
+   UNION ALL SELECT o.stream_index, o.rn, o.frame_number, w.n + CASE WHEN w.n < {MOST_SEGMENTS} AND w.b + o.size <= {MOST_BYTES} THEN 1 ELSE 0 END,
+     w.b + CASE WHEN w.n < {MOST_SEGMENTS} AND w.b + o.size <= {MOST_BYTES} THEN o.size ELSE 0 END,
+     CASE WHEN w.n >= {MOST_SEGMENTS} THEN 'segment-limit' WHEN w.b + o.size > {MOST_BYTES} THEN 'payload-budget' ELSE 'kept' END
+   FROM walk w JOIN ordered o ON o.stream_index = w.stream_index AND o.rn = w.rn + 1),
+ kept AS (SELECT s.* FROM segments s JOIN walk w USING (stream_index, frame_number) WHERE w.reason = 'kept') """
+
+
+def limited_segments(spark, sf):
+    return reassembly.limit_segments(view(spark, sf, "segments"), MOST_SEGMENTS, MOST_BYTES)
+
+
+@query(
+    "segment_skips",
+    KEPT_SQL + "SELECT stream_index, reason, CAST(count(*) AS BIGINT) AS skipped FROM walk WHERE reason IN ('segment-limit', 'payload-budget') GROUP BY 1, 2",
+    "segments",
+)
+def _(spark, sf):
+    return budget.skip_counts(limited_segments(spark, sf)[1], ["stream_index"])
+
+
+@query(
+    "truncated_streams",
+    KEPT_SQL + BYTES_SQL.replace("FROM segments", "FROM kept")
+    + """SELECT t.stream_index, t.segments, t.unique_bytes, CAST(COALESCE(k.n, 0) AS BIGINT) AS skipped_segments, CASE WHEN k.n > 0 THEN 'truncated' ELSE t.status END AS status
+    FROM statuses t LEFT JOIN (SELECT stream_index, count(*) AS n FROM walk WHERE reason IN ('segment-limit', 'payload-budget') GROUP BY 1) k USING (stream_index)""",
+    "segments",
+)
+def _(spark, sf):
+    kept, skips = limited_segments(spark, sf)
+    kept = cut(kept)
+    rows = reassembly.stream_status(kept, reassembly.reassemble(kept), skips=skips)
+    return rows.select("stream_index", "segments", "unique_bytes", "skipped_segments", "status")
+
+
 @query(
     "stream_content",
     BYTES_SQL
@@ -188,6 +227,16 @@ def _(spark, sf):
     return good.select(F.lit("usable").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("packets"))
 
 
+def block_sessions(packets):
+    stream = F.col("stream_index")
+    return packets.select("stream_index").distinct().select(
+        "stream_index",
+        F.when(stream % 2 == 0, 64).otherwise(7).alias("block_size"),
+        F.when(stream % 10 != 1, 1069).alias("server_port"),
+        F.when(stream % 10 == 0, 2).alias("error_code"),
+    )
+
+
 # Block transfers number their blocks from one; the sequence here is the true one, folded to 16 bits.
 @query(
     "reassemble_blocks",
@@ -202,19 +251,35 @@ def _(spark, sf):
 )
 def _(spark, sf):
     packets = view(spark, sf, "seq_packets").withColumn("seq", F.expr("CAST(true_seq % 65536 AS INT)"))
-    stream = F.col("stream_index")
-    sessions = packets.select("stream_index").distinct().select(
-        "stream_index",
-        F.when(stream % 2 == 0, 64).otherwise(7).alias("block_size"),
-        F.when(stream % 10 != 1, 1069).alias("server_port"),
-        F.when(stream % 10 == 0, 2).alias("error_code"),
-    )
-    _, status = sequence.reassemble_blocks(packets, sessions, ["stream_index"], "frame_number", "payload")
+    _, status = sequence.reassemble_blocks(packets, block_sessions(packets), ["stream_index"], "frame_number", "payload")
     return status.select(
         "stream_index", "packets", "blocks", "duplicate_packets", "conflicting_blocks", "missing_blocks", "terminal_block_seen", "status"
     )
 
 
+# The first packets of the capture only: a transfer that lost any to the limit says so.
+MOST_PACKETS = 600
+
+
+@query(
+    "budget_limited_transfers",
+    f""", o AS (SELECT *, row_number() OVER (ORDER BY frame_number) AS place FROM seq_packets), p AS (SELECT stream_index, frame_number, true_seq AS ext, payload FROM o WHERE place <= {MOST_PACKETS}),
+     r AS (SELECT *, row_number() OVER (PARTITION BY stream_index, ext ORDER BY frame_number) AS nth, first_value(payload) OVER (PARTITION BY stream_index, ext ORDER BY frame_number) AS fp FROM p),
+     t AS (SELECT stream_index, CAST(count(*) AS BIGINT) AS packets, CAST(count(*) FILTER (nth = 1) AS BIGINT) AS blocks, CAST(count(*) FILTER (nth > 1 AND payload <> fp) AS BIGINT) AS conflicting_blocks,
+       min(ext) AS lo, max(ext) AS hi FROM r GROUP BY 1),
+     a AS (SELECT stream_index, CAST(count(*) FILTER (place > {MOST_PACKETS}) AS BIGINT) AS skipped_packets FROM o GROUP BY 1)
+    SELECT stream_index, packets, blocks, skipped_packets, CASE WHEN stream_index % 10 = 0 THEN 'server-error' WHEN stream_index % 10 = 1 THEN 'unresolved' WHEN skipped_packets > 0 THEN 'budget-limited'
+        WHEN conflicting_blocks > 0 THEN 'conflicting' WHEN greatest(lo - 1, 0) + hi - lo + 1 - blocks > 0 OR lo <> 1 OR stream_index % 2 <> 0 THEN 'partial' ELSE 'complete' END AS status
+    FROM a LEFT JOIN t USING (stream_index)""",
+    "seq_packets",
+)
+def _(spark, sf):
+    packets = view(spark, sf, "seq_packets").withColumn("seq", F.expr("CAST(true_seq % 65536 AS INT)"))
+    kept, skips = budget.limit_rows(packets, ["capture_id"], "frame_number", MOST_PACKETS, "packet-limit")
+    _, status = sequence.reassemble_blocks(kept, block_sessions(packets), ["stream_index"], "frame_number", "payload", skips)
+    return status.select("stream_index", "packets", "blocks", "skipped_packets", "status")
+
+
 @query(
     "assign_asof",
     """SELECT e.event_id, max(s.request_frame) AS transfer FROM (SELECT event_id, user_id, event_id + 1 AS f FROM events WHERE event_type <> 'signup') e

@@ -139,15 +139,22 @@ def coverage(
     analyzers: DataFrame,
     reconstructions: DataFrame,
     capabilities: Sequence[str],
-    budget_limited: bool = False,
+    budget_limited: bool | DataFrame = False,
 ) -> DataFrame:
     """Coverage rows of protocols and conversations.
 
+    ``budget_limited`` tells whether a limit cut the frames: for all captures, or by the skip rows (``capture_id``) of a limit.
+
     ``analyzers(capture_id, label, status)`` and ``reconstructions(capture_id, stream_index, status)`` hold
     one row per subject; ``capabilities`` is the dissector's short list of labels it can decode.
     """
     none = F.lit(None).cast("string")
-    limited = F.lit(budget_limited)
+    if isinstance(budget_limited, DataFrame):
+        cut_off = budget_limited.select("capture_id").distinct().withColumn("__limited", F.lit(True))
+        observations, profiles = (part.join(cut_off, "capture_id", "left") for part in (observations, profiles))
+        limited = F.coalesce("__limited", F.lit(False))
+    else:
+        limited = F.lit(budget_limited)
     able = F.col("label").isin([*BASE_LABELS, *capabilities])
     protocols = observations.join(analyzers, ["capture_id", "label"], "left").select(
         "capture_id",

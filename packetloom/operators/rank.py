@@ -109,3 +109,27 @@ def current_inputs(*classes: DataFrame) -> DataFrame:
     """Distinct union of the evidence classes to scan: ``(source_kind, source_id, content_hash, byte_length)``."""
     columns = ["source_kind", "source_id", "content_hash", "byte_length"]
     return reduce(DataFrame.unionByName, [part.select(*columns) for part in classes]).distinct()
+
+
+def evidence(df: DataFrame, source_kind: str, source_id: Column, content_hash: Column, byte_length: Column, complete: Column, parent: Column | None = None) -> DataFrame:
+    """Rows of one evidence class: what it is, its content, whether it passes its class's test, and what it came from."""
+    return df.select(
+        F.lit(source_kind).alias("source_kind"), source_id.cast("string").alias("source_id"), content_hash.alias("content_hash"),
+        byte_length.cast("long").alias("byte_length"), F.coalesce(complete, F.lit(False)).alias("complete"),
+        (F.lit(None) if parent is None else parent).cast("string").alias("parent_id"),
+    )
+
+
+def triage_inputs(*classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What to scan, from all evidence classes, and the edges of contents to what they came from.
+
+    Inputs are the rows with content that pass the test of their class, once each.  An edge (``content_hash``, ``source_kind``,
+    ``source_id``, ``parent_id``) leads from each derived input to its parent; ``usable`` tells whether the same content is
+    an input at all, through whichever class: a content that is whole in one place is whole.
+    """
+    rows = reduce(DataFrame.unionByName, classes)
+    usable = rows.where(F.col("complete") & (F.col("byte_length") > 0))
+    inputs = usable.select("source_kind", "source_id", "content_hash", "byte_length").distinct()
+    derived = rows.where("parent_id IS NOT NULL AND content_hash IS NOT NULL").select("content_hash", "source_kind", "source_id", "parent_id").distinct()
+    known = usable.select("content_hash", F.lit(True).alias("usable")).distinct()
+    return inputs, derived.join(known, "content_hash", "left").fillna(False, ["usable"])

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packetloom.functions.text import each
-from packetloom.operators.ordered import running_max, running_sum, scan, span_of, spread_join
+from packetloom.operators.budget import byte_budget
+from packetloom.operators.ordered import running_count, running_max, running_sum, scan, span_of, spread_join
 from packetloom.session import cut
 
 STREAM = ["capture_id", "stream_index", "direction"]
@@ -199,14 +200,38 @@ def stream_content(ledgers: dict[str, DataFrame], block: int = CONTENT_BLOCK) ->
     )
 
 
-def stream_status(segments: DataFrame, ledgers: dict[str, DataFrame], max_output: int | None = None) -> DataFrame:
-    """Byte counts and status of every stream direction: truncated, empty, conflicting, partial or complete."""
+def limit_segments(segments: DataFrame, max_segments: int, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Segments that fit the limits of their stream, both directions together, and a narrow row for each one that does not.
+
+    In frame order, a segment that would pass ``max_bytes`` of payload is passed over (``payload-budget``) and later, smaller ones
+    may still fit; after ``max_segments`` are taken, all others are skipped (``segment-limit``).  Segments without payload
+    cost nothing and are left out of both.
+    """
+    stream = ["capture_id", "stream_index"]
+    usable = segments.where("octet_length(payload) > 0")
+    narrow = cut(usable.select(*STREAM, "frame_number", F.octet_length("payload").cast("long").alias("payload_length")))
+    fits, over = byte_budget(narrow, stream, "frame_number", "payload_length", max_bytes, "greedy")
+    marked = fits.withColumn("__fits", F.lit(True)).unionByName(over.drop("reason").withColumn("__fits", F.lit(False)))
+    taken = cut(scan(marked, stream, "frame_number", {"__taken": running_count(F.col("__fits"), inclusive=False)}))
+    full = F.col("__taken") >= max_segments
+    skips = taken.where(full | ~F.col("__fits")).select(*narrow.columns, F.when(full, "segment-limit").otherwise("payload-budget").alias("reason"))
+    return usable.join(skips, [*stream, "frame_number"], "left_anti"), skips
+
+
+def stream_status(segments: DataFrame, ledgers: dict[str, DataFrame], max_output: int | None = None, skips: DataFrame | None = None) -> DataFrame:
+    """Byte counts and status of every stream direction: truncated, empty, conflicting, partial or complete.
+
+    ``skips`` lists segments that a limit kept out before: a direction with any is truncated, whatever else holds, also where
+    none of its segments is left; ``skipped_segments`` counts them.
+    """
     length = F.col("end") - F.col("start")
     heads = segments.groupBy(*STREAM).agg(
         F.count(F.when(F.octet_length("payload") > 0, 1)).alias("segments"),
         F.min("frame_number").alias("first_frame"),
         F.max("frame_number").alias("last_frame"),
     )
+    if skips is not None:
+        heads = heads.join(skips.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("skipped_segments")), STREAM, "full")
 
     def tally(name: str, count: str, total: str) -> DataFrame:
         return ledgers[name].groupBy(*STREAM).agg(F.count(F.lit(1)).alias(count), F.sum(length).cast("long").alias(total))
@@ -219,10 +244,12 @@ def stream_status(segments: DataFrame, ledgers: dict[str, DataFrame], max_output
         ("gaps", "gap_count", "gap_bytes"),
     ):
         joined = joined.join(tally(name, count, total), STREAM, "left")
-    filled = joined.fillna(0)
+    filled = joined.fillna(0, [c for c in joined.columns if c not in (*STREAM, "first_frame", "last_frame")])
     over = F.lit(False) if max_output is None else F.col("unique_bytes") > max_output
+    lost = F.lit(False) if skips is None else F.col("skipped_segments") > 0
     status = (
-        F.when(F.col("unique_bytes") == 0, "empty")
+        F.when(lost, "truncated")
+        .when(F.col("unique_bytes") == 0, "empty")
         .when(over, "truncated")
         .when(F.col("conflict_count") > 0, "conflicting")
         .when(F.col("gap_count") > 0, "partial")

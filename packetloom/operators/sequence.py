@@ -188,11 +188,14 @@ def usable_rtp(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
 
 
-def reassemble_blocks(packets: DataFrame, sessions: DataFrame, keys: Sequence[str], position: str, data: str) -> tuple[DataFrame, DataFrame]:
+def reassemble_blocks(
+    packets: DataFrame, sessions: DataFrame, keys: Sequence[str], position: str, data: str, skips: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Block transfers: the first packet of every block, and one status row per transfer.
 
     ``packets(keys, position, seq, data)``; ``sessions(keys, block_size, server_port, error_code)``, one row
-    per key.  Blocks count from one, so numbers before the lowest seen are missing too.
+    per key.  Blocks count from one, so numbers before the lowest seen are missing too.  ``skips(keys)`` lists packets that a
+    limit kept out before: a transfer with any is ``budget-limited``, unless it failed or was never answered.
     """
     keys = list(keys)
     marked = cut(first_copies(unwrap_seq(packets, keys, position), keys, position, data))
@@ -209,6 +212,10 @@ def reassemble_blocks(packets: DataFrame, sessions: DataFrame, keys: Sequence[st
         F.sum(F.when(first, size)).cast("long").alias("payload_bytes"),
     )
     joined = sessions.join(totals, keys, "left")
+    if skips is not None:
+        lost = skips.groupBy(*keys).agg(F.count(F.lit(1)).alias("skipped_packets"))
+        joined = joined.join(lost, keys, "left").fillna(0, ["skipped_packets"])
+    limited = F.lit(False) if skips is None else F.col("skipped_packets") > 0
     missing = F.greatest(F.col("lowest") - 1, F.lit(0)) + F.col("highest") - F.col("lowest") + 1 - F.col("blocks")
     measured = joined.select(
         "*",
@@ -219,6 +226,7 @@ def reassemble_blocks(packets: DataFrame, sessions: DataFrame, keys: Sequence[st
     status = (
         F.when(F.col("error_code").isNotNull(), "server-error")
         .when(F.col("server_port").isNull(), "unresolved")
+        .when(limited, "budget-limited")
         .when(F.col("packets").isNull(), "no-data")
         .when(F.col("conflicting_blocks") > 0, "conflicting")
         .when((F.col("missing_blocks") > 0) | (F.col("lowest") != 1) | ~F.col("terminal_block_seen"), "partial")

@@ -442,4 +442,4 @@ def with_views(names: str, body: str) -> str:
     ``body`` is a SELECT, or more expressions starting with a comma.
     """
     ctes = ", ".join(f"{name} AS ({view_sql(name)})" for name in names.split())
-    return f"WITH {ctes} {body}"
+    return f"WITH RECURSIVE {ctes} {body}"
