@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,21 +109,28 @@ def with_next(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ids = base.select("doc_id")
     shares = [k / buckets for k in range(1, buckets)]
-    bounds = np.array(sorted(set(ids.approxQuantile("doc_id", shares, 0.2 / buckets))) if shares else [], dtype=np.float64)
+    # Any integers part the ids; all that is compared with them is compared as integers.
+    bounds = np.array(sorted({int(b) for b in ids.approxQuantile("doc_id", shares, 0.2 / buckets)}) if shares else [], dtype=np.int64)
+    below = np.iinfo(np.int64).min
 
-    @F.pandas_udf("int")
-    def slot(values: pd.Series) -> pd.Series:
+    def whole(values: pa.Array) -> np.ndarray:
         # A null doc_id is below all others.
-        return pd.Series(np.searchsorted(bounds, values.fillna(-np.inf).astype(float)).astype(np.int32))
+        return values.fill_null(below).to_numpy(zero_copy_only=False)
+
+    @F.arrow_udf("int")
+    def slot(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, whole(values)).astype(np.int32))
 
     tops = {r["bucket"]: r["top"] for r in ids.select(slot("doc_id").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)
     above = {b: order[(k + 1) % len(order)] for k, b in enumerate(order)}
+    highest = {b: below if top is None else top for b, top in tops.items()}
 
-    @F.pandas_udf("array<int>")
-    def targets(values: pd.Series) -> pd.Series:
-        slots = np.searchsorted(bounds, values.fillna(-np.inf).astype(float)).tolist()
-        return pd.Series([[2 * b, 2 * above[b] + 1] if tops[b] == (None if v != v else int(v)) else [2 * b] for b, v in zip(slots, values.tolist(), strict=True)])
+    @F.arrow_udf("array<int>")
+    def targets(values: pa.Array) -> pa.Array:
+        numbers = whole(values)
+        slots = np.searchsorted(bounds, numbers).tolist()
+        return pa.array([[2 * b, 2 * above[b] + 1] if highest[b] == v else [2 * b] for b, v in zip(slots, numbers.tolist(), strict=True)], pa.list_(pa.int32()))
 
     return (
         base.select(F.explode(targets("doc_id")).alias("to"), "doc_id", "text")
