@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.catalog.registry import query
-from packetloom.operators import content, corpus, decode, parameters, rank
+from packetloom.operators import content, corpus, decode, parameters, rank, signatures
 from packetloom.plans import pages
 from packetloom.views import table, view
 
@@ -133,7 +133,7 @@ def marked(spark, sf):
 
 @query("signature_hits", SIGNATURE_SQL + 'SELECT doc_id, format, "offset" FROM hits')
 def _(spark, sf):
-    return corpus.signature_hits(marked(spark, sf), "data").select("doc_id", "format", "offset")
+    return signatures.signature_hits(marked(spark, sf), "data").select("doc_id", "format", "offset")
 
 
 @query(
@@ -143,7 +143,7 @@ def _(spark, sf):
       min("offset") AS first_offset, max("offset") AS last_offset FROM hits GROUP BY format""",
 )
 def _(spark, sf):
-    return corpus.signature_census(corpus.signature_hits(marked(spark, sf), "data"))
+    return signatures.signature_census(signatures.signature_hits(marked(spark, sf), "data"))
 
 
 @query(
@@ -155,7 +155,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     data = marked(spark, sf)
-    hits = corpus.signature_hits(data, "data").where("format = 'zip'")
+    hits = signatures.signature_hits(data, "data").where("format = 'zip'")
     ranges = hits.select(F.col("doc_id").alias("parent_id"), F.col("offset").alias("start"), (F.col("offset") + 4).alias("end"))
     parents = data.select(F.col("doc_id").alias("parent_id"), F.octet_length("data").cast("long").alias("parent_length"))
     return content.trailing_ranges(ranges, parents)

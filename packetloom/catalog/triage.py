@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.catalog.registry import query
 from packetloom.catalog.streams import BYTES_SQL, MAIL_SQL, ledgers, mail_chunks
-from packetloom.operators import content, corpus, decode, rank, reassembly, records, sequence
+from packetloom.operators import content, decode, rank, reassembly, records, sequence, signatures
 from packetloom.session import cut
 from packetloom.views import table, view
 
@@ -54,7 +54,7 @@ def classes(spark, sf) -> list[DataFrame]:
     tail = F.expr("CASE page_id % 3 WHEN 0 THEN concat('PK', chr(3), chr(4), page_id) WHEN 1 THEN '%PDF-1.7 end' ELSE '' END")
     status = content.classify_body(view(spark, sf, "http_tx")).select(F.col("tx_id").alias("page_id"), "extracted_length", "body_status")
     bodies = cut(table(spark, sf, "pages").select("page_id", F.encode(F.concat("html", tail), "UTF-8").alias("body")).join(status, "page_id"))
-    hits = corpus.signature_hits(bodies.select("page_id", "body"), "body").where("format IN ('zip', 'pdf')")
+    hits = signatures.signature_hits(bodies.select("page_id", "body"), "body").where("format IN ('zip', 'pdf')")
     carved = hits.select("page_id", "format", "offset").join(bodies, "page_id")
     file = F.expr("substring(body, offset + 1)")
     hops = decode.decode_chain(view(spark, sf, "encoded_values"), "doc_id", "value")

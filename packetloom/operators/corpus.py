@@ -1,4 +1,4 @@
-"""Scans of text corpora for secrets, tokens, signatures and encoded names."""
+"""Scans of text corpora for secrets, tokens and encoded names."""
 
 from __future__ import annotations
 
@@ -24,18 +24,6 @@ TOKEN = "(?<![A-Za-z0-9_.+/=:-])[A-Za-z0-9][A-Za-z0-9_.+/=:-]{23,127}(?![A-Za-z0
 CHUNK = 1 << 20
 OVERLAP = 512
 
-# File signatures as hex, with format and media type.
-SIGNATURES = [
-    ("89504E470D0A1A0A", "png", "image/png"),
-    ("FFD8FF", "jpeg", "image/jpeg"),
-    ("504B0304", "zip", "application/zip"),
-    ("255044462D", "pdf", "application/pdf"),
-    ("526172211A0700", "rar4", "application/vnd.rar"),
-    ("526172211A070100", "rar5", "application/vnd.rar"),
-    ("1F8B08", "gzip", "application/gzip"),
-    ("4D5A", "pe", "application/vnd.microsoft.portable-executable"),
-]
-
 
 def known_pattern(prefixes: Sequence[str] = tuple(KNOWN_PREFIXES)) -> str:
     words = "|".join(prefixes)
@@ -144,54 +132,6 @@ def suppress_known(unknown: DataFrame, known: DataFrame, content: str = "content
     return unknown.withColumn("__value", F.trim("value")).join(values, [content, "__value"], "left_anti").drop("__value")
 
 
-def signature_hits(df: DataFrame, data: str) -> DataFrame:
-    """Every position of every known file signature in a binary column."""
-    keys = [c for c in df.columns if c != data]
-    digits = F.hex(F.col(data))
-
-    def positions(magic: str, name: str) -> Column:
-        # Lazy pairs keep the match on byte borders; what precedes a magic is consumed with it.
-        gaps = F.transform(F.regexp_extract_all(digits, F.lit(f"\\G((?:..)*?){magic}"), F.lit(1)), lambda gap: F.length(gap))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
-
-        def walk(state: Column, gap: Column) -> Column:
-            here = state["at"] + gap
-            return F.struct(
-                (here + len(magic)).cast("int").alias("at"), F.concat(state["hits"], F.array((here / 2).cast("int"))).alias("hits")
-            )
-
-        offsets = F.aggregate(gaps, start, walk)["hits"]
-        return F.transform(offsets, lambda o: F.struct(F.lit(name).alias("format"), o.alias("offset")))
-
-    found = [positions(magic, name) for magic, name, _ in SIGNATURES]
-    size = F.octet_length(F.col(data))
-    sized = df.withColumn("byte_length", size)
-    hits = each(sized, [*keys, "byte_length", data], F.concat(*found), "hit").withColumnRenamed(data, "__data")
-    located = hits.select(*keys, "byte_length", "__data", "hit.format", "hit.offset")
-
-    def little(position: Column) -> Column:
-        return F.conv(F.hex(F.reverse(F.substring(F.col("__data"), position, F.lit(4)))), 16, 10).cast("long")
-
-    at = F.col("offset")
-    header = F.conv(F.hex(F.substring(F.col("__data"), at + 4, F.lit(1))), 16, 10).cast("int")
-    pointer = little(at + 61)
-    pe_mark = F.hex(F.substring(F.col("__data"), (at + pointer + 1).cast("int"), F.lit(4)))
-    pe = (F.col("byte_length") >= at + 64) & (pointer >= 64) & (pe_mark == "50450000")
-    gzip = (F.col("byte_length") >= at + 4) & (header.bitwiseAND(0xE0) == 0)
-    keep = F.when(F.col("format") == "pe", pe).when(F.col("format") == "gzip", gzip).otherwise(True)
-    return located.where(F.coalesce(keep, F.lit(False))).drop("__data")
-
-
-def signature_census(hits: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Per format: hits, values holding one, hits with bytes before them, first and last offset."""
-    return hits.groupBy(*scope, "format").agg(
-        F.count(F.lit(1)).alias("hits"),
-        F.count(F.when(F.col("offset") > 0, 1)).alias("with_prefix"),
-        F.min("offset").alias("first_offset"),
-        F.max("offset").alias("last_offset"),
-    )
-
-
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 

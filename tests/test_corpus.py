@@ -1,4 +1,4 @@
-from packetloom.operators import content, corpus, decode
+from packetloom.operators import content, corpus, decode, signatures
 
 
 def _known(spark, text, **options):
@@ -32,10 +32,10 @@ def test_unknown_tokens(spark):
 def test_signatures(spark):
     pe = b"MZ" + bytes(58) + (64).to_bytes(4, "little") + b"PE\x00\x00"
     data = b"\x4d" + b"%PDF-1" + b"\x1f\x8b\x08\x00" + b"\x1f\x8b\x08\xff" + pe + b"MZ no header" + b"\xff\xd8\xff"
-    rows = corpus.signature_hits(spark.createDataFrame([(1, bytearray(data))], "id int, d binary"), "d").collect()
+    rows = signatures.signature_hits(spark.createDataFrame([(1, bytearray(data))], "id int, d binary"), "d").collect()
     found = sorted((r.format, r.offset) for r in rows)
     assert found == [("gzip", 7), ("jpeg", len(data) - 3), ("pdf", 1), ("pe", 15)]
-    census = {r.format: (r.hits, r.with_prefix) for r in corpus.signature_census(corpus.signature_hits(spark.createDataFrame([(1, bytearray(data))], "id int, d binary"), "d")).collect()}
+    census = {r.format: (r.hits, r.with_prefix) for r in signatures.signature_census(signatures.signature_hits(spark.createDataFrame([(1, bytearray(data))], "id int, d binary"), "d")).collect()}
     assert census["pe"] == (1, 1)
 
 
