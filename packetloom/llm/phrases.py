@@ -30,6 +30,8 @@ SHARDS = 3
 SLOT_BITS = 24
 CHUNK_BYTES = 8 << 20
 UNKNOWN = "und"
+#: Languages with more than this share of all words number fewer than its inverse, so their totals are broadcast.
+HOT_SHARE = 1 / 256
 
 #: Bytes that part words inside a piece, and bytes that part pieces.
 BLANKS = b" \t"
@@ -265,7 +267,8 @@ def mine_phrases(
         "lang", "phrase", "a", "at", F.array_join(F.expr("slice(w, 1, at)"), " ").alias("first"),
         F.array_join(F.expr("slice(w, at + 1, size(w) - at)"), " ").alias("rest"))
     sized = cuts.join(known.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"]).join(
-        known.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"]).join(totals, "lang")
+        known.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
+    sized = _with_total(sized, totals)
     # Exact: 38 digits hold 1000 * a * n and l * r far beyond 64 bits; div rounds down (all are positive).
     score = F.expr("(cast(a * 1000 as decimal(19, 0)) * cast(all as decimal(19, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
     best = sized.select("lang", "phrase", "a", F.col("all").alias("n"), F.struct(score.alias("score"), "at", "l", "r").alias("cut")).groupBy(
@@ -274,6 +277,16 @@ def mine_phrases(
     return _ranked(scored, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def _with_total(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """``rows`` with all words of their language; languages with a large share of all words are not shuffled."""
+    words = totals.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    # Fewer than 1 / HOT_SHARE rows.
+    hot = totals.where(F.col("all") > HOT_SHARE * words).withColumn("__hot", F.lit(True))
+    near = rows.join(F.broadcast(hot), "lang", "left")
+    rest = near.where("__hot IS NULL").select(*rows.columns).join(totals.where(F.col("all") <= HOT_SHARE * words), "lang")
+    return near.where("__hot").drop("__hot").unionByName(rest)
+
+
 def _ranked(scored: DataFrame, top: int) -> DataFrame:
     """The first ``top`` rows of each language with their rank, without putting a language into one task.
 
