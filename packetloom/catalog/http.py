@@ -63,6 +63,19 @@ def _(spark, sf):
     return pairing.transaction_summary(pairing.transactions(pairs(spark, sf))).drop("capture_id")
 
 
+@query(
+    "transaction_counts",
+    TX_SQL
+    + """SELECT 'messages' AS measure, kind AS name, CAST(count(*) AS BIGINT) AS amount FROM messages GROUP BY 2 UNION ALL SELECT 'transactions', status, count(*) FROM tx GROUP BY 2
+    UNION ALL SELECT 'uri', '/t/3', (SELECT count(*) FROM tx JOIN messages m ON m.frame_number = tx.request_frame WHERE m.content_length % 5 = 3)""",
+    "messages",
+)
+def _(spark, sf):
+    messages = view(spark, sf, "messages")
+    uris = messages.select("capture_id", "frame_number", F.concat(F.lit("/t/"), (F.col("content_length") % 5).cast("string")).alias("uri"))
+    return pairing.transaction_counts(messages, pairing.transactions(pairs(spark, sf)), uris, "/t/3").drop("capture_id")
+
+
 @query(
     "body_targets",
     LINKS_SQL

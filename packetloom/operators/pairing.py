@@ -66,6 +66,24 @@ def transaction_summary(tx: DataFrame, keys: Sequence[str] = ("capture_id", "sta
     return tx.groupBy(*keys).agg(F.count(F.lit(1)).alias("transactions"))
 
 
+def transaction_counts(messages: DataFrame, tx: DataFrame, uris: DataFrame, uri: str) -> DataFrame:
+    """What a capture holds: ``(capture_id, measure, name, amount)`` for messages by kind, transactions by status, and the
+    transactions whose request has exactly this URI (zero where there is none).
+
+    ``uris(capture_id, frame_number, uri)`` names the requests' URIs; a request without one counts for no URI.
+    """
+    amount = F.count(F.lit(1)).alias("amount")
+
+    def counted(df: DataFrame, measure: str, name: str) -> DataFrame:
+        return df.groupBy("capture_id", F.col(name).alias("name")).agg(amount).select("capture_id", F.lit(measure).alias("measure"), "name", "amount")
+
+    wanted = uris.where(F.col("uri") == uri).select("capture_id", F.col("frame_number").alias("request_frame")).distinct()
+    matching = tx.join(wanted, ["capture_id", "request_frame"], "left_semi").groupBy("capture_id").agg(amount)
+    asked = messages.select("capture_id").distinct().join(matching, "capture_id", "left").select(
+        "capture_id", F.lit("uri").alias("measure"), F.lit(uri).alias("name"), F.coalesce("amount", F.lit(0)).alias("amount"))
+    return counted(messages, "messages", "kind").unionByName(counted(tx, "transactions", "status")).unionByName(asked)
+
+
 def select_body_targets(pairs: DataFrame, uris: DataFrame, uri: str | None = None) -> DataFrame:
     """Message frames whose bodies are wanted: all messages of transactions with the given request URI."""
     wanted = uris if uri is None else uris.where(F.col("uri") == uri)
