@@ -253,6 +253,24 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_many_blocks_groups_and_repeats(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # Few telling dimensions, so that reading stops early; rows repeated more often than k, and queries among them.
+    vectors = [(rng.normal(0, 1, 12) * 0.5 ** np.arange(12)).tolist() for _ in range(700)]
+    rows = [(k, v) for k, v in enumerate(vectors)] + [(40, vectors[40])] * 300 + [(41, vectors[41])] * 3 + [(42, vectors[43])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name, value in (("BLOCK_ROWS", 100), ("LEAST_BLOCK_ROWS", 100), ("QUERY_ROWS", 7)):
+        monkeypatch.setattr(topk, name, value)
+    ids = np.array([k for k, _ in rows])
+    whole = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    expected = []
+    for q in range(0, len(vectors), 20):
+        scores = whole @ whole[q]
+        order = sorted((i for i in range(len(rows)) if ids[i] != q), key=lambda i: (-scores[i], ids[i]))[:5]
+        expected += [(q, k + 1, int(ids[i]), int(scores[i])) for k, i in enumerate(order)]
+    assert sorted(tuple(r) for r in topk.top_k(df, every=20).collect()) == sorted(expected)
+
+
 # 7 licenses.
 
 
