@@ -6,9 +6,12 @@ Steps, each a Spark stage over all documents:
 2. the hashes are shuffled once, packed, to count in how many classes each occurs.  A hash of one class only can be
    in no overlap, so only the others go back to their class;
 3. a class whose rarest ``n - ceil(t * n) + 1`` hashes are all its own has no partner and ends here.  The others
-   enter tiles (hash of that prefix, size band): two sets that reach the threshold share a tile (prefix filter);
-4. in each tile all members are held against one hub; linked ones are contracted to components;
-5. what a tile still holds of different components is compared in blocks, under the bitmap bound.
+   enter tiles (hash of that prefix, size band).  Of two sets that reach the threshold, the larger one shares a tile with
+   the rarest ``n - ceil(2 * t / (1 + t) * n) + 1`` hashes of the smaller one, which leads there (``first``); so the many
+   sets that only share one frequent passage follow in its tiles, and none of them leads;
+4. in each tile all members are held against one that leads; linked ones are contracted to components;
+5. what a tile still holds of different components is compared, leading against following ones, in blocks, under the
+   bitmap bound.
 
 Bitmaps bound the overlap from above: every bit set in one of two bitmaps only stands for a hash of one set only.
 What passes is decided by intersecting the sorted arrays.  Nothing is capped and no link is lost; pairs inside a
@@ -35,8 +38,9 @@ WORDS = 5
 PERCENT = 75
 TOKENS_PER_PART = 1_500_000
 HELD_TOKENS = 1_000_000
-BLOCK = 256
+BLOCK = 2_048
 BITMAP_WORDS = 16
+HEAVY_KEYS = 10_000
 BAND = log(4 / 3)
 
 _U = np.uint64
@@ -234,7 +238,8 @@ def _profiles(counted: DataFrame, parts: int, percent: int) -> DataFrame:
                     continue
                 t = np.sort(tokens[lo:hi])
                 rare = np.lexsort((tokens[lo:hi], df[lo:hi]))[:tiles]
-                out.append((int(own[lo].view(np.int64)), n, t.view(np.int64), _bitmap(t), tokens[lo:hi][rare].view(np.int64)))
+                leads = max(0, n - -(-2 * percent * n // (100 + percent)) + 1 - (n - (hi - lo)))
+                out.append((int(own[lo].view(np.int64)), n, t.view(np.int64), _bitmap(t), tokens[lo:hi][rare].view(np.int64), leads))
                 if len(out) >= 500:
                     yield _profile_batch(out)
                     out = []
@@ -242,15 +247,15 @@ def _profiles(counted: DataFrame, parts: int, percent: int) -> DataFrame:
             yield _profile_batch(out)
 
     return counted.repartitionById(parts, F.col("part")).mapInArrow(
-        run, "class_id long, n int, shared array<long>, bits array<long>, tiles array<long>")
+        run, "class_id long, n int, shared array<long>, bits array<long>, tiles array<long>, leads int")
 
 
 def _profile_batch(rows: list[tuple]) -> pa.RecordBatch:
-    ids, n, shared, bits, tiles = zip(*rows, strict=True)
+    ids, n, shared, bits, tiles, leads = zip(*rows, strict=True)
     longs = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(shared, longs), pa.array(bits, longs), pa.array(tiles, longs)],
-        ["class_id", "n", "shared", "bits", "tiles"])
+        [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(shared, longs), pa.array(bits, longs), pa.array(tiles, longs), pa.array(leads, pa.int32())],
+        ["class_id", "n", "shared", "bits", "tiles", "leads"])
 
 
 def _reach(overlap, total, percent: int):
@@ -294,53 +299,74 @@ def _verified(edges: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return rich.select("a", "b", "a_n", "b_n", "a_shared", "b_shared").mapInArrow(run, "a long, b long")
 
 
+def _tiles(profiles: DataFrame) -> DataFrame:
+    """tile, band, class_id, first, follows.  A class follows in its own band, and leads there and in the next one."""
+    band = F.floor(F.log(F.col("n")) / BAND).cast("int")
+    placed = profiles.select("class_id", "leads", band.alias("own"), F.posexplode("tiles").alias("place", "tile")).withColumn(
+        "first", F.col("place") < F.col("leads"))
+    bands = F.when(F.col("first"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))
+    return placed.select("class_id", "tile", "first", "own", F.explode(bands).alias("band")).select(
+        "tile", "band", "class_id", "first", (F.col("band") == F.col("own")).alias("follows"))
+
+
 def _leftover_pairs(tiles: DataFrame, labels: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in tiles that hold several, under the bitmap bound, block against block."""
     labelled = tiles.join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select(
-        "tile", "band", "class_id", F.coalesce("root", "class_id").alias("root"))
+        "tile", "band", "class_id", F.coalesce("root", "class_id").alias("root"), "first", "follows")
+    led, following = (F.when(F.col(c), F.col("root")) for c in ("first", "follows"))
     mixed = (
         labelled.groupBy("tile", "band")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"),
-             F.sum(F.xxhash64("class_id").cast("decimal(38,0)")).alias("mark"))
-        .where("lo <> hi")
+        .agg(F.min(led).alias("led"), F.max(led).alias("led_to"), F.min(following).alias("foll"), F.max(following).alias("foll_to"),
+             F.count_if("first").alias("leaders"), F.count_if("follows").alias("followers"),
+             F.sum(F.xxhash64("class_id", "first", "follows").cast("decimal(38,0)")).alias("mark"))
+        .where("leaders > 0 and followers > 0 and least(led, foll) <> greatest(led_to, foll_to)")
     )
     # Tiles with the same members are one.
-    once = mixed.groupBy("mark", "members").agg(F.min(F.struct("tile", "band")).alias("t")).select(
-        "t.tile", "t.band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(once, ["tile", "band"]).select(F.xxhash64("tile", "band").alias("uid"), "class_id", "root", "blocks")
-    # The tiles of a class, at most two per prefix hash: a pair is met in the first tile that both have, and only there.
-    own = members.groupBy("class_id").agg(F.collect_list("uid").alias("uids"))
-    rows = (
-        members.withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("uid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "root")
-    )
-    full = rows.join(profiles.select("class_id", "n", F.size("shared").alias("m"), "bits").join(own, "class_id"), "class_id")
-    keys = ["uid", "i", "j"]
+    once = mixed.groupBy("mark", "leaders", "followers").agg(
+        F.min(F.struct("tile", "band", "led", "led_to", "foll", "foll_to")).alias("t")).select(
+        "t.*", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c[0]}_blocks") for c in ("leaders", "followers")))
+    # Where all leaders are of one component its followers have no other to meet, and the other way round.
+    members = labelled.join(once, ["tile", "band"]).select(
+        F.xxhash64("tile", "band").alias("uid"), "class_id", "root", "l_blocks", "f_blocks", "first", "follows",
+        (F.col("first") & ((F.col("foll") < F.col("foll_to")) | (F.col("root") != F.col("foll")))).alias("asks"),
+        (F.col("follows") & ((F.col("led") < F.col("led_to")) | (F.col("root") != F.col("led")))).alias("meets"))
+
+    def dealt(role: str, mine: str, other: str) -> DataFrame:
+        return (
+            members.where(role)
+            .withColumn(mine, F.pmod(F.xxhash64("class_id", F.lit(7)), F.col(f"{mine}_blocks")).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+            .select("uid", "l", "f", F.lit(role == "asks").alias("leading"), "class_id", "root")
+        )
+
+    rows = dealt("asks", "l", "f").union(dealt("meets", "f", "l"))
+    full = rows.join(profiles.select("class_id", "n", F.size("shared").alias("m"), "bits"), "class_id")
+    keys = ["uid", "l", "f"]
 
     def run(batches):
         for table in grouped(batches, keys):
-            block = table["block"].to_numpy()
+            leading = table["leading"].to_numpy()
+            left, right = np.flatnonzero(leading), np.flatnonzero(~leading)
+            if not len(left) or not len(right):
+                continue
             ids, root = table["class_id"].to_numpy(), table["root"].to_numpy()
             n, m = table["n"].to_numpy().astype(np.int64), table["m"].to_numpy().astype(np.int64)
             bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-            uid, i, j = (table[k][0].as_py() for k in keys)
-            before = [frozenset(u for u in uids if u < uid) for uids in table["uids"].to_pylist()]
-            left = np.flatnonzero(block == i)
-            right = left if i == j else np.flatnonzero(block == j)
-            pairs: list[tuple[int, int]] = []
+            right = right[np.argsort(n[right], kind="stable")]
+            sizes = n[right]
             for x in left.tolist():
-                other = right[ids[right] > ids[x]] if i == j else right
+                # Partners of the right size, none before the leader by (n, id).
+                other = right[np.searchsorted(sizes, n[x]) : np.searchsorted(sizes, 100 * n[x] // percent, "right")]
+                other = other[(root[other] != root[x]) & ((n[other] > n[x]) | (ids[other] > ids[x]))]
                 total = n[x] + n[other]
                 apart = np.bitwise_count(bits[other] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                ok = (root[other] != root[x]) & ((100 + percent) * np.minimum(n[x], n[other]) >= percent * total)
-                ok &= (100 + percent) * ((m[x] + m[other] - apart) // 2) >= percent * total
-                pairs += [(x, y) for y in other[ok].tolist() if before[x].isdisjoint(before[y])]
-            if pairs:
-                a, b = ids[[x for x, _ in pairs]], ids[[y for _, y in pairs]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    spread = full.select(*keys, "block", "class_id", "root", "n", "m", "bits", "uids").repartition(*keys).sortWithinPartitions(*keys)
+                ok = (100 + percent) * np.minimum((m[x] + m[other] - apart) // 2, n[x]) >= percent * total
+                if ok.any():
+                    b = ids[other[ok]]
+                    a = np.full(len(b), ids[x])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    spread = full.select(*keys, "leading", "class_id", "root", "n", "m", "bits").repartition(*keys).sortWithinPartitions(*keys)
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -357,30 +383,51 @@ def jaccard_components(
     spark = docs.sparkSession
     small_batches(spark)
     classes = cut(shingle_classes(docs, text, words, key))
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    total, rows = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = min(65536, max(1, min(least, ceil(total / 20_000)), ceil(total / TOKENS_PER_PART)))
     profiles = cut(_profiles(_counted(_spread(docs, text, words, parts), parts), parts, percent))
-    band = F.floor(F.log(F.col("n")) / BAND).cast("int")
-    tiles = profiles.select(
-        "class_id", F.explode("tiles").alias("tile"), band.alias("own")
-    ).select("class_id", "tile", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
-    hubs = tiles.groupBy("tile", "band").agg(F.min("class_id").alias("a"), F.count("*").alias("members")).where("members > 1")
+    tiles = _tiles(profiles)
+    hubs = tiles.groupBy("tile", "band").agg(
+        F.min(F.when(F.col("first"), F.col("class_id"))).alias("a"), F.count("*").alias("members")).where("members > 1 and a is not null")
     stars = tiles.join(hubs, ["tile", "band"]).where("a <> class_id").select("a", F.col("class_id").alias("b")).distinct()
     near = cut(_verified(stars, profiles, percent))
     labels = components(near)
     more = cut(_verified(_leftover_pairs(tiles, labels, profiles, percent), profiles, percent))
     if not more.isEmpty():
         labels = components(labels.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b").union(more))
-    grouped_ids = classes.join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn(
-        "group_id", F.coalesce("root", "class_id"))
-    smallest = grouped_ids.where("group_id is not null").groupBy("group_id").agg(F.min("doc_id").alias("smallest"))
-    return grouped_ids.join(smallest, "group_id", "left").select(
+    heavy = max(1_000, ceil(rows / HEAVY_KEYS))
+    per_class = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
+    linked = cut(per_class.join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select(
+        "class_id", F.coalesce("root", "class_id").alias("group_id"), "least", "members"))
+    groups = linked.groupBy("group_id").agg(F.min("least").alias("smallest"), F.count("*").alias("members"))
+    facts = _looked_up(linked, groups.where("members > 1"), "group_id", heavy).select(
+        "class_id", "group_id", F.coalesce("smallest", "least").alias("smallest"), "members")
+    found = _looked_up(classes, facts, "class_id", heavy)
+    return found.select(
         "doc_id", "n_shingles",
         F.when(F.col("group_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
         "class_id", "group_id", *classes.columns[3:])
 
 
+def _looked_up(rows: DataFrame, facts: DataFrame, key: str, heavy: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row a key and ``members``, the number of rows that hold it.
+
+    Keys of at least ``heavy`` rows, of which there are at most ``HEAVY_KEYS`` or one in 1,000 rows, are broadcast;
+    their rows, and those without a key, are spread evenly over the join of the others.
+    """
+    values = [c for c in facts.columns if c not in (key, "members")]
+    big = facts.where(F.col("members") >= heavy).select(F.col(key).alias("__big"), *(F.col(c).alias(f"__big_{c}") for c in values))
+    rest = facts.where(F.col("members") < heavy).select(
+        F.col(key).alias("__key"), F.lit(True).alias("__light"), *(F.col(c).alias(f"__{c}") for c in values))
+    salted = rows.withColumn("__salt", F.monotonically_increasing_id())
+    marked = salted.join(F.broadcast(big), F.col(key) == F.col("__big"), "left").withColumn(
+        "__light", F.col(key).isNotNull() & F.col("__big").isNull())
+    keyed = marked.withColumn("__key", F.when(F.col("__light"), F.col(key)).otherwise(F.xxhash64("__salt")))
+    return keyed.join(rest, ["__key", "__light"], "left").select(
+        *rows.columns, *(F.coalesce(f"__big_{c}", f"__{c}").alias(c) for c in values))
+
+
 def _keys(doc_id, text) -> list:
     return [F.xxhash64(doc_id, text).alias("__k1"), F.xxhash64(F.lit(17), text, doc_id).alias("__k2")]
 

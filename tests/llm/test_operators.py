@@ -205,6 +205,30 @@ def test_jaccard_join_against_brute_force(spark, edge):
     assert len(words) == len({c for _, n, c in expected if n})
 
 
+@pytest.mark.parametrize("block", [3, 2_048])
+def test_jaccard_join_with_a_passage_that_most_texts_share(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    passage, other = [f"p{k}" for k in range(60)], [f"q{k}" for k in range(60)]
+    rows = []
+    for k in range(240):
+        # Most share a passage and are too different to be linked, some just reach the threshold; orders differ.
+        own = [f"u{k}_{j}" for j in range(rng.integers(0, 40))]
+        body = passage[: rng.integers(40, 61)] if k % 3 else passage[: rng.integers(20, 61)] + other[: rng.integers(0, 40)]
+        rows.append((k, " ".join(body + own if k % 2 else own + body)))
+    rows += [(300, rows[10][1]), (301, rows[10][1]), (None, rows[20][1]), (None, rows[20][1]), (302, None)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows_of(got)) == brute_components(rows)
+
+
+def test_lookup_of_heavy_keys(spark):
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else k % 3) for k in range(60)], "id long, g long")
+    facts = rows.where("g is not null").groupBy("g").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("g <> 2")
+    for heavy in (1, 16, 1_000):
+        got = {r["id"]: r["least"] for r in ngram_join._looked_up(rows, facts, "g", heavy).collect()}
+        assert got == {k: None if k % 5 == 0 or k % 3 == 2 else {0: 3, 1: 1}[k % 3] for k in range(60)}
+
+
 def test_keep_one_keeps_clean_rows(edge, nothing):
     kept = {r["doc_id"] for r in rows_of(ngram_join.keep_one(edge))}
     assert {0, 1, 2, 3, 4, 6, 21, None} <= kept and not {5, 7, 22} & kept
