@@ -6,8 +6,9 @@ the end of the clause.  They are composed into one machine.  A document's score
 from words counted on their own.
 
 The insult lexicon is learned: word stems and whole words that occur in toxic rows and hardly in others, chosen one
-after another by the toxic rows that none so far explains.  The counting runs on Spark over a bounded sample of labelled
-rows (``labelled.SAMPLE_ROWS``), the choice on at most ``CANDIDATES`` of them.
+after another by the toxic rows that none so far explains, and then every word that stands among different neighbours in more
+toxic rows than chance explains.  Counting and contrast run on Spark over a bounded sample of labelled rows
+(``labelled.SAMPLE_ROWS``), the choice on the ``CANDIDATES`` most telling entries.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ MAX_ENTRIES = 400
 STEM_CHARS = range(4, 10)
 LEAST_ROWS = 3
 LEAST_WORD_ROWS = 5
+CHANCE = 0.05
 DEFAULT_WEIGHTS = (1.0, 0.3, -2.0)
 
 #: Words of the classes, in several languages.  Insults are a prior; what labels show is added.
@@ -177,38 +179,43 @@ def learn(sample: DataFrame, least_rows: int = LEAST_ROWS) -> Model:
                 found.update(_entries(text))
             yield pd.DataFrame({"entry": list(found), "n": list(found.values())})
 
-    toxic = rows.where("y = 1").select("text").mapInPandas(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    # Words that toxic rows share with most others are out by their counts; the list that is broadcast is bounded.
-    often = toxic.where(F.col("n") >= least_rows).orderBy(F.desc("n"), "entry").limit(40 * CANDIDATES).toArrow()
-    frequent = dict(zip(often["entry"].to_pylist(), often["n"].to_pylist(), strict=True))
+    def counted(y: int) -> DataFrame:
+        found = rows.where(F.col("y") == y).select("text").mapInPandas(count, "entry string, n long")
+        return found.groupBy("entry").agg(F.sum("n").alias("n"))
 
-    def against(frames):
-        for frame in frames:
-            found: Counter[str] = Counter()
-            for text in frame["text"]:
-                found.update(e for e in _entries(text) if e in frequent)
-            yield pd.DataFrame({"entry": list(found), "n": list(found.values())})
-
-    met = rows.where("y = 0").select("text").mapInPandas(against, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
-    clean = dict(zip(met["entry"].to_pylist(), met["n"].to_pylist(), strict=True))
     share = size[0] / size[1]
+    # Toxic and clean rows are held against each other on Spark, before anything is bounded.
+    held = cut(
+        counted(1).where(F.col("n") >= least_rows)
+        .join(counted(0).select("entry", F.col("n").alias("clean")), "entry", "left")
+        .select("entry", "n", F.coalesce("clean", F.lit(0)).alias("clean"))
+    )
+    tested = held.agg(F.count_if(~F.col("entry").endswith("*"))).first()[0]
+    telling = held.where(F.col("clean") <= 0.002 * share * F.col("n")).orderBy(
+        F.desc(F.col("n") / (F.col("clean") + 1.0)), F.desc(F.length("entry")), "entry").limit(CANDIDATES).toArrow().to_pylist()
+    frequent = {r["entry"]: r["n"] for r in telling}
+    clean = {r["entry"]: r["clean"] for r in telling}
     # Kept: at least fifty times as frequent in toxic rows, and more than chance explains.
-    odds = {e: (n + 0.0) / ((clean.get(e, 0) + 0.5) / share + 0.5 / share) for e, n in frequent.items() if clean.get(e, 0) <= 0.002 * share * n}
-    kept = sorted(odds, key=lambda e: (-odds[e], -len(e), e))[:CANDIDATES]
-    wanted = set(kept)
+    wanted = set(frequent)
 
     def cover(frames):
         for frame in frames:
             found = []
             for key, text in zip(frame["key"], frame["text"], strict=True):
-                for word in set(_WORD.findall(text.translate(_ASCII_LOWER))):
-                    found += {(key, e, word) for e in (word, *(word[:n] + "*" for n in STEM_CHARS)) if e in wanted}
-            yield pd.DataFrame(found, columns=["key", "entry", "word"], dtype=object).astype({"key": "int64"})
-
-    covered, forms = defaultdict(set), defaultdict(set)
-    for r in rows.where("y = 1").select("key", "text").mapInPandas(cover, "key long, entry string, word string").collect():
+                words = _WORD.findall(text.translate(_ASCII_LOWER))
+                hits: dict[tuple[str, str], int] = {}
+                for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                    for e in (word, *(word[:n] + "*" for n in STEM_CHARS)):
+                        if e in wanted:
+                            hits.setdefault((e, word), word_hash(f"{before} {after}") >> 1)
+                found += [(key, e, word, place) for (e, word), place in hits.items()]
+            yield pd.DataFrame(found, columns=["key", "entry", "word", "place"], dtype=object).astype({"key": "int64", "place": "int64"})
+
+    covered, forms, places = defaultdict(set), defaultdict(set), defaultdict(set)
+    for r in rows.where("y = 1").select("key", "text").mapInPandas(cover, "key long, entry string, word string, place long").collect():
         covered[r["entry"]].add(r["key"])
         forms[r["entry"]].add(r["word"])
+        places[r["entry"]].add(r["place"])
     # A stem has several forms, which tells it from a word that a few near copies share; a lone word needs more rows.
     covered = {e: keys for e, keys in covered.items() if (len(forms[e]) >= 3 if e.endswith("*") else len(keys) >= LEAST_WORD_ROWS)}
     words, stems, open_ = [], [], {k for keys in covered.values() for k in keys}
@@ -226,6 +233,10 @@ def learn(sample: DataFrame, least_rows: int = LEAST_ROWS) -> Model:
             break
         if entry.endswith("*") and len(forms[entry]) >= 5 and not clean.get(entry) and not any(name.startswith(x) or x.startswith(name) for x in (*stems, *words)):
             stems.append(name)
+    # Words that the chosen ones made dispensable here may stand alone elsewhere.  They count by the different neighbours
+    # they have, as near copies share theirs, and must be beyond what chance gives among all words that were tested.
+    beyond = max(LEAST_WORD_ROWS, np.log(max(tested, 1) / CHANCE) / np.log1p(share))
+    words += [e for e in sorted(covered) if not e.endswith("*") and min(len(places[e]), len(covered[e])) >= beyond]
     words = list(dict.fromkeys([*words, *INSULTS]))
     scorer = Scorer(words, stems)
 
