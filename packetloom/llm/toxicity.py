@@ -9,6 +9,10 @@ The insult lexicon is learned: word stems and whole words that occur in toxic ro
 after another by the toxic rows that none so far explains, and then every word that stands among different neighbours in more
 toxic rows than chance explains.  Counting and contrast run on Spark over a bounded sample of labelled rows
 (``labelled.SAMPLE_ROWS``), the choice on the ``CANDIDATES`` most telling entries.
+
+Stems that clean texts hold too, but several times more seldom, are hints: one says nothing, but each further one, in
+another clause or of another form, does.  Their weight is fitted apart, as the rows that taught the lexicon hold its words
+more surely than new rows do; the stronger of both decides.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ LEAST_ROWS = 3
 LEAST_WORD_ROWS = 5
 CHANCE = 0.05
 DEFAULT_WEIGHTS = (1.0, 0.3, -2.0)
+HINT_LIFT = 4
+HINT_FORMS = 5
 
 #: Words of the classes, in several languages.  Insults are a prior; what labels show is added.
 INSULTS = "idiot moron scum loser worthless pathetic disgusting stupid trash imbecile".split()
@@ -93,17 +99,24 @@ def grammar() -> Transducer:
 
 @dataclass
 class Model:
-    """Learned lexicon and the weights of (best clause, log of matched clauses, 1)."""
+    """Learned lexicon, weights of (best clause, log of matched clauses, 1) and of (log of further hints, 1)."""
 
     words: list[str]
     stems: list[str]
+    hints: list[str]
     weights: tuple[float, float, float]
+    hint_weights: tuple[float, float]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        matched = x[:, :2] @ np.array(self.weights[:2]) + self.weights[2]
+        hinted = np.where(x[:, 2] > 0, x[:, 2] * self.hint_weights[0] + self.hint_weights[1], -np.inf)
+        return sigmoid(np.maximum(matched, hinted))
 
 
 class Scorer:
-    """Features of texts under one lexicon: the best clause's weight and the number of matched clauses."""
+    """Features of texts under one lexicon: the best clause's weight, matched clauses, further hints."""
 
-    def __init__(self, words: list[str], stems: list[str]) -> None:
+    def __init__(self, words: list[str], stems: list[str], hints: list[str]) -> None:
         self.machine = grammar()
         known: dict[int, int] = {}
         for names, symbol in ((words, INSULT), (THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
@@ -111,14 +124,18 @@ class Scorer:
                 known.setdefault(word_hash(name), symbol)
         order = np.array(sorted(known), dtype=np.uint64)
         self.known, self.symbols = order, np.array([known[int(h)] for h in order], np.int8)
+        self.stems, self.hints = self._by_length(stems), self._by_length(hints)
+
+    @staticmethod
+    def _by_length(stems: list[str]) -> dict[int, np.ndarray]:
         lengths = defaultdict(list)
         for stem in stems:
             lengths[len(stem.encode())].append(word_hash(stem))
-        self.stems = {n: np.array(sorted(h), np.uint64) for n, h in lengths.items()}
+        return {n: np.array(sorted(h), np.uint64) for n, h in lengths.items()}
 
     def features(self, column: pa.Array) -> np.ndarray:
         data, offsets = utf8(column)
-        out = np.zeros((len(column), 2))
+        out = np.zeros((len(column), 3))
         for begin, end in slices(offsets):
             base = offsets[begin]
             part = data[base : offsets[end]]
@@ -128,16 +145,21 @@ class Scorer:
             at = np.minimum(np.searchsorted(self.known, words.hashes), len(self.known) - 1)
             symbol = np.where(self.known[at] == words.hashes, self.symbols[at], OTHER)
             size = words.ends - words.starts
-            for n, hashes in self.stems.items():
-                long = np.flatnonzero(size >= n)
-                found = np.isin(words.rolling.range(words.starts[long], words.starts[long] + n), hashes)
-                symbol[long[found]] = INSULT
-            rows = np.unique(np.searchsorted(words.first, np.flatnonzero((symbol == INSULT) | (symbol == THREAT)), "right") - 1)
+            hint = np.zeros(len(size), bool)
+            for table, is_hint in ((self.stems, False), (self.hints, True)):
+                for n, hashes in table.items():
+                    long = np.flatnonzero(size >= n + is_hint)
+                    found = long[np.isin(words.rolling.range(words.starts[long], words.starts[long] + n), hashes)]
+                    if is_hint:
+                        hint[found] = True
+                    else:
+                        symbol[found] = INSULT
+            rows = np.unique(np.searchsorted(words.first, np.flatnonzero((symbol == INSULT) | (symbol == THREAT) | hint), "right") - 1)
             for row in rows.tolist():
-                out[begin + row] = self._row(part, words, symbol, int(words.first[row]), int(words.first[row + 1]))
+                out[begin + row] = self._row(part, words, symbol, hint, int(words.first[row]), int(words.first[row + 1]))
         return out
 
-    def _row(self, data, words: Words, symbol: np.ndarray, lo: int, hi: int) -> tuple[float, float]:
+    def _row(self, data, words: Words, symbol: np.ndarray, hint: np.ndarray, lo: int, hi: int) -> tuple[float, float, float]:
         """Clauses that hold an insult or threat go through the machine."""
         begin = int(words.starts[lo])
         ends = [begin + m.start() for m in _CLAUSE_END.finditer(data[begin : int(words.ends[hi - 1])].tobytes())]
@@ -150,7 +172,8 @@ class Scorer:
             if weight > 0:
                 matched += 1
                 best = max(best, weight)
-        return best, float(np.log1p(matched))
+        hinted = len(set(zip(clause[hint[lo:hi]].tolist(), words.hashes[lo:hi][hint[lo:hi]].tolist(), strict=True)))
+        return best, float(np.log1p(matched)), float(np.log1p(max(0, hinted - 1)))
 
 
 def _entries(text: str) -> set[str]:
@@ -170,7 +193,7 @@ def learn(sample: DataFrame, least_rows: int = LEAST_ROWS) -> Model:
     rows = cut(sample.groupBy(F.xxhash64("text").alias("key")).agg(F.max("y").alias("y"), F.first("text").alias("text")))
     size = dict(rows.groupBy("y").count().collect())
     if not size.get(0) or not size.get(1):
-        return Model(list(INSULTS), [], DEFAULT_WEIGHTS)
+        return Model(list(INSULTS), [], [], DEFAULT_WEIGHTS, (0.0, DEFAULT_WEIGHTS[2]))
 
     def count(frames):
         for frame in frames:
@@ -193,10 +216,15 @@ def learn(sample: DataFrame, least_rows: int = LEAST_ROWS) -> Model:
     tested = held.agg(F.count_if(~F.col("entry").endswith("*"))).first()[0]
     telling = held.where(F.col("clean") <= 0.002 * share * F.col("n")).orderBy(
         F.desc(F.col("n") / (F.col("clean") + 1.0)), F.desc(F.length("entry")), "entry").limit(CANDIDATES).toArrow().to_pylist()
+    beyond = max(LEAST_WORD_ROWS, np.log(max(tested, 1) / CHANCE) / np.log1p(share))
+    hinting = held.where(
+        F.col("entry").endswith("*") & (F.col("n") >= 2 * beyond) & (F.col("clean") <= share / HINT_LIFT * F.col("n"))
+    ).orderBy(F.desc(F.col("n") / (F.col("clean") + 1.0)), F.desc(F.length("entry")), "entry").limit(CANDIDATES).toArrow().to_pylist()
+    maybe = {r["entry"]: r["n"] for r in hinting}
     frequent = {r["entry"]: r["n"] for r in telling}
     clean = {r["entry"]: r["clean"] for r in telling}
     # Kept: at least fifty times as frequent in toxic rows, and more than chance explains.
-    wanted = set(frequent)
+    wanted = {*frequent, *maybe}
 
     def cover(frames):
         for frame in frames:
@@ -217,7 +245,12 @@ def learn(sample: DataFrame, least_rows: int = LEAST_ROWS) -> Model:
         forms[r["entry"]].add(r["word"])
         places[r["entry"]].add(r["place"])
     # A stem has several forms, which tells it from a word that a few near copies share; a lone word needs more rows.
-    covered = {e: keys for e, keys in covered.items() if (len(forms[e]) >= 3 if e.endswith("*") else len(keys) >= LEAST_WORD_ROWS)}
+    # A hint has several forms among different neighbours; of stems with the same rows the shortest covers the others.
+    hints: list[str] = []
+    for entry in sorted(maybe, key=lambda e: (len(e), e)):
+        if len(forms[entry]) >= HINT_FORMS and len(places[entry]) >= beyond and not entry.startswith(tuple(hints)):
+            hints.append(entry.rstrip("*"))
+    covered = {e: keys for e, keys in covered.items() if e in frequent and (len(forms[e]) >= 3 if e.endswith("*") else len(keys) >= LEAST_WORD_ROWS)}
     words, stems, open_ = [], [], {k for keys in covered.values() for k in keys}
     while open_ and len(words) + len(stems) < MAX_ENTRIES:
         # Most rows left; of equal ones the longest, a whole word before its stem.
@@ -235,19 +268,20 @@ def learn(sample: DataFrame, least_rows: int = LEAST_ROWS) -> Model:
             stems.append(name)
     # Words that the chosen ones made dispensable here may stand alone elsewhere.  They count by the different neighbours
     # they have, as near copies share theirs, and must be beyond what chance gives among all words that were tested.
-    beyond = max(LEAST_WORD_ROWS, np.log(max(tested, 1) / CHANCE) / np.log1p(share))
     words += [e for e in sorted(covered) if not e.endswith("*") and min(len(places[e]), len(covered[e])) >= beyond]
     words = list(dict.fromkeys([*words, *INSULTS]))
-    scorer = Scorer(words, stems)
+    scorer = Scorer(words, stems, hints)
 
     def measure(batches):
         for batch in batches:
             x = scorer.features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "best", "clauses"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], ["y", "best", "clauses", "hints"])
 
-    found = rows.select("y", "text").mapInArrow(measure, "y int, best double, clauses double").toPandas()
-    w = fit_logistic(found[["best", "clauses"]].to_numpy() / 3.0, found["y"].to_numpy(), ridge=1e-4)
-    return Model(words, stems, (float(w[0] / 3), float(w[1] / 3), float(w[2])))
+    found = rows.select("y", "text").mapInArrow(measure, "y int, best double, clauses double, hints double").toPandas()
+    y = found["y"].to_numpy()
+    w = fit_logistic(found[["best", "clauses"]].to_numpy() / 3.0, y, ridge=1e-4)
+    h = fit_logistic(found[["hints"]].to_numpy() / 3.0, y, ridge=1e-4)
+    return Model(words, stems, hints, (float(w[0] / 3), float(w[1] / 3), float(w[2])), (float(h[0] / 3), float(h[1])))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -259,12 +293,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
     """
     small_batches(docs.sparkSession)
     model = learn(labelled_sample(docs, labels, "toxic", text, rows))
-    weights = np.array(model.weights)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        x = Scorer(model.words, model.stems).features(column)
-        return pa.array(sigmoid(x @ weights[:2] + weights[2]))
+        x = Scorer(model.words, model.stems, model.hints).features(column)
+        return pa.array(model.score(x))
 
     own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     return (

@@ -249,7 +249,9 @@ def test_grammar_weighs_clauses():
 
 def test_toxicity_held_out_and_edges(spark, edge, nothing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    scored = toxicity.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("toxic", "predicted").toPandas()
+    scored = toxicity.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("lang", "toxic", "predicted").toPandas()
+    assert scored[scored.toxic == 1].predicted.mean() >= 0.9
+    assert scored[scored.toxic == 1].groupby("lang").predicted.mean().min() >= 0.8
     assert (scored.toxic == scored.predicted).mean() > 0.97
     assert scored[scored.toxic == 0].predicted.mean() < 0.02
     none = labels.limit(0)
