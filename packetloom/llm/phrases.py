@@ -6,8 +6,9 @@ but its first) have reached the threshold in what was counted so far, and stays
 occurrences is counted once.  Counting ends a full cycle after the last phrase that could activate others.
 
 Tasks know when phrases reached the threshold from a table of ``2 ** SLOT_BITS`` bytes, whatever the corpus: by hash, the first
-step at which a phrase of this slot did.  A slot is set once and for all, so phrases that share one may only become active
-earlier, for one full cycle still, and all counts are exact.  Counts are kept in a ledger table keyed by the phrase itself;
+step at which a phrase of this slot did.  A slot is set once and for all, and a phrase's step is the latest of its slot's and its
+subphrases' steps.  So phrases that share a slot may only become active earlier, for one full cycle still, and all counts are
+exact.  Counts are kept in a ledger table keyed by the phrase itself;
 phrases that end their cycle below the threshold leave it.
 """
 
@@ -74,6 +75,11 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return spelling, place, place + (ends - starts), hashes, rows, joined
 
 
+def _salts(langs: list[str]) -> np.ndarray:
+    """What languages add to the hashes of first words; never hashes of words, since `es` is a word in `de` and `de` one in `es`."""
+    return mix(np.array([word_hash(name) for name in langs], dtype=np.uint64)) * _STEP
+
+
 class _Chunk:
     """Words of some rows of a task, held until there are enough to count."""
 
@@ -132,8 +138,7 @@ def _scanner(step: int, table, max_words: int, shards: int, slot_bits: int):
 
         if not len(hashes):
             return
-        salts = np.array([word_hash(name) for name in chunk.langs], dtype=np.uint64)
-        h = mix(hashes ^ salts[langs])
+        h = mix(_salts(list(chunk.langs))[langs] + hashes)
         if step <= shards:
             whole_cycle = np.full(len(h), shards)
             yield pa.record_batch({
@@ -154,6 +159,8 @@ def _scanner(step: int, table, max_words: int, shards: int, slot_bits: int):
             if active.any():
                 yield rows(k, h[active], at[active], last[active].astype(np.int32) + shards)
             own = known[h >> shift]
+            # A slot that another phrase set counts from where both subphrases have a step.
+            own = np.where(own > 0, np.maximum(own, last), np.uint8(0))
             reach = np.zeros(len(hashes) + 1, dtype=np.uint8)
             reach[at] = own
             both = (own > 0) & (reach[at + 1] > 0)
@@ -180,7 +187,7 @@ def _slots(max_words: int, slot_bits: int):
                 words = phrase.split(" ")
                 if len(words) < max_words:
                     hashes = np.array([word_hash(w) for w in words], dtype=np.uint64)
-                    h = mix(hashes[:1] ^ _U(word_hash(lang)))
+                    h = mix(_salts([lang]) + hashes[:1])
                     for one in hashes[1:]:
                         h = mix(h * _STEP + one)
                     out.append(int(h[0] >> _U(64 - slot_bits)))
