@@ -1,53 +1,169 @@
 """Byte streams rebuilt from overlapping segments: the first seen byte wins, everything else is listed.
 
-Who owns a byte depends on sequence number, length and frame alone, so ownership is settled on narrow rows.  Of segments
-with equal place and length the earliest leads.  Leaders are cut at bucket borders (2 KiB of stream), so work is spread
-over (stream, bucket) and a long stream is never gathered.  Inside a bucket the segment borders give elementary intervals;
-each interval belongs to the earliest frame covering it.  Payload is joined back by frame, where bytes must be compared or
-returned.
+Who owns a byte depends on sequence number, length and frame alone.  Segments are cut at bucket borders (2 KiB of stream), so
+work is spread over (stream, bucket) and a long stream is never gathered.  Inside a bucket the segment borders give elementary
+intervals; each belongs to the earliest frame covering it.  Where no bytes are compared, payload stays behind, and of segments
+with equal place and length only the earliest is cut; where they are, payload goes to its bucket once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.functions.text import each
 from packetloom.operators.budget import byte_budget
 from packetloom.operators.ordered import running_count, running_max, running_sum, scan, span_of, spread_join
-from packetloom.session import cut
+from packetloom.session import cut, small_partitions
 
 STREAM = ["capture_id", "stream_index", "direction"]
 BUCKET = 2_048
+# Buckets of more pieces than this are settled on their leaders; bytes and cells of the others are looked at together.
+HOT_ROWS = 65_536
+# Pieces, bytes and expanded items that one step of a task holds.
+STEP_ROWS, STEP_BYTES, STEP_ITEMS = 65_536, 32 << 20, 1 << 21
+_SETTLED = {"frame_number": "long", "owner": "long", "low": "long", "high": "long", "same": "boolean"}
 CONTENT_BLOCK = 65_536
 # Span of stream positions that one step of an ordered scan covers.
 POSITIONS = 1 << 20
 
 
-def _covering(leaders: DataFrame) -> DataFrame:
-    """Leaders clipped to buckets and split at the borders that fall inside them: bucket, frame_number, low, high.
-
-    A bucket has at most one start and one end per byte, so its two border sets are bounded.
-    """
-    end = F.col("seq") + F.col("length")
-    touched = leaders.select("*", F.explode(F.sequence(F.expr(f"seq div {BUCKET}"), F.expr(f"(seq + length - 1) div {BUCKET}"))).alias("bucket"))
-    pieces = touched.select(
-        *STREAM, "bucket", "frame_number",
-        F.greatest(F.col("seq"), F.col("bucket") * BUCKET).alias("start"), F.least(end, (F.col("bucket") + 1) * BUCKET).alias("end"),
-    )
-    bucket = Window.partitionBy(*STREAM, "bucket")
-    placed = pieces.select("*", F.collect_set("start").over(bucket).alias("starts"), F.collect_set("end").over(bucket).alias("ends"))
-    inner = F.filter(F.concat("starts", "ends"), lambda at: (at > F.col("start")) & (at < F.col("end")))
-    borders = F.array_sort(F.array_distinct(F.concat(F.array("start", "end"), inner)))
-    listed = placed.select(*STREAM, "bucket", "frame_number", borders.alias("borders"))
-    cells = F.arrays_zip(
-        F.slice("borders", F.lit(1), F.size("borders") - 1).alias("low"), F.slice("borders", F.lit(2), F.size("borders") - 1).alias("high")
-    )
-    step = each(listed, [*STREAM, "bucket", "frame_number"], cells, "cell")
-    return step.select(*STREAM, "bucket", "frame_number", F.col("cell.low").alias("low"), F.col("cell.high").alias("high"))
+def _pieces(segments: DataFrame, *carried: str) -> DataFrame:
+    """Segments clipped to buckets: bucket, frame_number, low, high and, if ``payload`` is carried, their bytes there."""
+    touched = segments.select(
+        *STREAM, "frame_number", "seq", "length", *carried,
+        F.explode(F.sequence(F.expr(f"seq div {BUCKET}"), F.expr(f"(seq + length - 1) div {BUCKET}"))).alias("bucket"))
+    low = F.greatest(F.col("seq"), F.col("bucket") * BUCKET)
+    high = F.least(F.col("seq") + F.col("length"), (F.col("bucket") + 1) * BUCKET)
+    part = F.substring("payload", (low - F.col("seq") + 1).cast("int"), (high - low).cast("int"))
+    return touched.select(
+        *STREAM, F.col("bucket").cast("long").alias("bucket"), F.col("frame_number").cast("long").alias("frame_number"),
+        low.cast("long").alias("low"), high.cast("long").alias("high"), *[part.alias(name) for name in carried])
+
+
+def _spread(sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows expanded to their sizes, a bounded number at a time: the rows, and for each item its row and place in it."""
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < len(sizes):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + STEP_ITEMS, "right")))
+        n = sizes[begin:end]
+        yield slice(begin, end), np.repeat(np.arange(begin, end), n), np.arange(n.sum()) - np.repeat(ends[begin:end] - n - before, n)
+        begin = end
+
+
+def _runs(*columns: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last items of runs with equal columns and places that rise by one."""
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = place[1:] != place[:-1] + 1
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(place)) - 1
+
+
+def _settle(rows: pa.RecordBatch, first: np.ndarray, group: np.ndarray, later: bool) -> Iterator[pa.RecordBatch]:
+    """Owners in whole buckets whose rows come by frame.  ``first``: first row of each bucket, ``group``: bucket of each row."""
+    frame, low, high = (rows[c].to_numpy() for c in ("frame_number", "low", "high"))
+    # Places in one line, with one unused place between buckets.
+    shift = group * (BUCKET + 1) - rows["bucket"].to_numpy() * BUCKET
+    low, high = low + shift, high + shift
+    borders = np.unique(np.concatenate([low, high]))
+    begin = np.searchsorted(borders, low)
+    sizes = np.searchsorted(borders, high) - begin
+    owner = np.full(len(borders), len(frame), dtype=np.int64)
+    for _, row, at in _spread(sizes):
+        np.minimum.at(owner, begin[row] + at, row)
+
+    def made(row: np.ndarray, mine: np.ndarray, theirs: np.ndarray, start: np.ndarray, end: np.ndarray, same: bool) -> pa.RecordBatch:
+        keys = rows.take(pa.array(row))
+        return pa.RecordBatch.from_arrays(
+            [*(keys[c] for c in STREAM), pa.array(mine), pa.array(theirs), pa.array(start - shift[row]), pa.array(end - shift[row]),
+             pa.array(np.full(len(row), same))], names=[*STREAM, *_SETTLED])
+
+    cells = np.flatnonzero(owner < len(frame))
+    owned = frame[owner[cells]]
+    head, tail = _runs(owned, place=cells)
+    yield made(owner[cells[head]], owned[head], owned[head], borders[cells[head]], borders[cells[tail] + 1], True)
+    if not later:
+        return
+    payload = rows["payload"] if "payload" in rows.schema.names else None
+    if payload is not None:
+        offsets = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1].astype(np.int64)
+        data = np.frombuffer(payload.buffers()[2] or b"", np.uint8)
+        # Where the byte of a place stands in the buffer.
+        at_zero = offsets[:-1] - low
+    for _, row, at in _spread(sizes):
+        cell = begin[row] + at
+        other = frame[owner[cell]] != frame[row]
+        row, cell = row[other], cell[other]
+        if not len(row):
+            continue
+        lead = owner[cell]
+        if payload is None:
+            head, tail = _runs(row, frame[lead], place=cell)
+            yield made(row[head], frame[row[head]], frame[lead[head]], borders[cell[head]], borders[cell[tail] + 1], True)
+            continue
+        for _, item, inside in _spread(borders[cell + 1] - borders[cell]):
+            mine, theirs = row[item], lead[item]
+            place = borders[cell[item]] + inside
+            equal = data[at_zero[mine] + place] == data[at_zero[theirs] + place]
+            head, tail = _runs(mine, frame[theirs], equal, place=place)
+            for same in (True, False):
+                h, t = head[equal[head] == same], tail[equal[head] == same]
+                yield made(mine[h], frame[mine[h]], frame[theirs[h]], place[h], place[t] + 1, same)
+
+
+def _settler(later: bool, step_rows: int):
+    """Task function over pieces sorted by bucket and frame: ranges with their owner, and with ``later`` also those of other frames."""
+    keys = [*STREAM, "bucket"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count, size, most_rows, most_bytes = 0, 0, step_rows, STEP_BYTES
+
+        def whole() -> tuple[pa.RecordBatch, np.ndarray]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            change = np.zeros(rows.num_rows, dtype=bool)
+            change[0] = True
+            for key in keys:
+                values = rows[key].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                change[1:] |= values[1:] != values[:-1]
+            return rows, np.flatnonzero(change)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count, size = count + batch.num_rows, size + batch.nbytes
+            if count >= most_rows or size >= most_bytes:
+                rows, first = whole()
+                done = int(first[-1])
+                if done:
+                    yield from _settle(rows.slice(0, done), first[:-1], np.repeat(np.arange(len(first) - 1), np.diff(first)), later)
+                rest = rows.slice(done)
+                # Copied, so that what is done can go.
+                held = [rest.take(pa.array(np.arange(rest.num_rows)))]
+                count, size = rest.num_rows, held[0].nbytes
+                most_rows, most_bytes = max(step_rows, 2 * count), max(STEP_BYTES, 2 * size)
+        if held:
+            rows, first = whole()
+            yield from _settle(rows, first, np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows))), later)
+
+    return run
+
+
+def _settled(pieces: DataFrame, later: bool) -> DataFrame:
+    """Ranges inside buckets: frame_number, owner, low, high and whether the bytes agree (true where none are given)."""
+    types = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in STREAM)
+    order = [*STREAM, "bucket", "frame_number"]
+    dealt = pieces.repartition(*STREAM, "bucket").sortWithinPartitions(*order)
+    return dealt.mapInArrow(_settler(later, STEP_ROWS), f"{types}, {', '.join(f'{n} {t}' for n, t in _SETTLED.items())}")
 
 
 def _merge(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,6 +174,13 @@ def _merge(cells: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*STREAM, *keys, "__island").agg(F.min("low").alias("start"), F.max("high").alias("end")).drop("__island")
 
 
+def _rejoin(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranges settled in buckets, put together across their borders; the others stay as they are."""
+    inner = (F.col("low") % BUCKET != 0) & (F.col("high") % BUCKET != 0)
+    whole = ranges.where(inner).select(*STREAM, *keys, F.col("low").alias("start"), F.col("high").alias("end"))
+    return whole.unionByName(_merge(ranges.where(~inner).select(*STREAM, *keys, "low", "high"), keys))
+
+
 LEDGERS = ("ranges", "spans", "cells", "duplicates", "conflicts", "gaps")
 
 
@@ -72,23 +195,15 @@ def reassemble(segments: DataFrame, want: Sequence[str] = LEDGERS) -> dict[str,
     the ledgers to build: spans and gaps need no payload, cells join it once, duplicates and conflicts compare it.
     """
     usable = segments.where("payload IS NOT NULL AND octet_length(payload) > 0")
+    small_partitions(segments.sparkSession)
     narrow = usable.select(*STREAM, "frame_number", "seq", F.octet_length("payload").alias("length"))
     compared = "duplicates" in want or "conflicts" in want
     if compared:
-        # Read by several branches: a few numbers for each segment.
-        narrow = cut(narrow)
-    leaders = narrow.groupBy(*STREAM, "seq", "length").agg(F.min("frame_number").alias("frame_number"), F.count("*").alias("copies"))
-    covering = _covering(leaders)
-    if compared:
-        # The rows of a cell stay where their bucket is; the earliest frame comes first.
-        earliest = Window.partitionBy(*STREAM, "bucket", "low", "high").orderBy("frame_number")
-        covering = cut(covering.withColumn("owner", F.first("frame_number").over(earliest)))
-        owned = covering.where("frame_number = owner").select(*STREAM, "frame_number", "low", "high")
+        settled, hot = _compared(usable, narrow)
+        owned = settled.where("frame_number = owner")
     else:
-        owned = covering.groupBy(*STREAM, "bucket", "low", "high").agg(F.min("frame_number").alias("frame_number")).drop("bucket")
-    ranges = _merge(owned, ["frame_number"])
-    if compared:
-        ranges = cut(ranges)
+        owned = cut(_settled(_pieces(_leaders(narrow)), later=False))
+    ranges = _rejoin(owned, ["frame_number"])
     ledgers = {"ranges": ranges, "spans": _with_output(ranges), "gaps": stream_gaps(ranges)}
     if "cells" in want:
         part = F.substring("payload", (F.col("start") - F.col("seq") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
@@ -96,15 +211,44 @@ def reassemble(segments: DataFrame, want: Sequence[str] = LEDGERS) -> dict[str,
             *STREAM, F.col("start").alias("low"), F.col("end").alias("high"), "frame_number", part.alias("data")
         )
     if compared:
-        later = covering.where("frame_number <> owner").select(*STREAM, "frame_number", "owner", "low", "high")
-        copied = _copies(narrow, leaders, ranges, later)
-        equal, unequal = _compare(usable, later.unionByName(copied))
+        other = settled.where("frame_number <> owner")
         names = ["frame_number", "owner"]
-        ledgers["duplicates"] = _merge(equal, names)
-        ledgers["conflicts"] = _merge(unequal, names)
+        equal, unequal = other.where("same"), other.where("NOT same")
+        if hot is None:
+            ledgers["duplicates"], ledgers["conflicts"] = _rejoin(equal, names), _rejoin(unequal, names)
+        else:
+            # Unequal bytes of crowded buckets come one by one.
+            ledgers["duplicates"] = _merge(equal.drop("same").unionByName(hot[0]), names)
+            ledgers["conflicts"] = _merge(unequal.drop("same").unionByName(hot[1]), names)
     return {name: ledgers[name] for name in want}
 
 
+def _leaders(narrow: DataFrame) -> DataFrame:
+    """Of segments with equal place and length, the earliest frame and how many there are."""
+    return narrow.groupBy(*STREAM, "seq", "length").agg(F.min("frame_number").alias("frame_number"), F.count("*").alias("copies"))
+
+
+def _compared(usable: DataFrame, narrow: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """Settled ranges of all buckets, with the bytes of later frames held against their owner's where a bucket is.
+
+    Payload is shuffled once, to its bucket.  Buckets of more than ``HOT_ROWS`` pieces, as where a segment is sent very often,
+    are settled on their leaders alone; the second result holds what repeats and contradicts there, or is none.
+    """
+    narrow = cut(narrow)
+    crowded = cut(_pieces(narrow).groupBy(*STREAM, "bucket").agg(F.count("*").alias("pieces")).where(F.col("pieces") > HOT_ROWS).drop("pieces"))
+    pieces = _pieces(usable.withColumn("length", F.octet_length("payload")), "payload")
+    if crowded.isEmpty():
+        return cut(_settled(pieces, later=True)), None
+    key = [*STREAM, "bucket"]
+    cold = _settled(pieces.join(crowded, key, "left_anti"), later=True)
+    leaders = _leaders(narrow)
+    led = cut(_settled(_pieces(leaders).join(crowded, key, "left_semi"), later=True))
+    later = led.where("frame_number <> owner").select(*STREAM, "frame_number", "owner", "low", "high")
+    owned = led.where("frame_number = owner").select(*STREAM, "frame_number", F.col("low").alias("start"), F.col("high").alias("end"))
+    compared = _compare(usable, later.unionByName(_copies(narrow, leaders, owned, later)))
+    return cut(cold.unionByName(led.where("frame_number = owner"))), compared
+
+
 def _copies(narrow: DataFrame, leaders: DataFrame, owned: DataFrame, later: DataFrame) -> DataFrame:
     """Later ranges of the segments that lie where their leader lies: what it owns, and what it finds owned.
 
