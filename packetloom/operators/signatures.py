@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.session import cut
+from packetloom.session import cut, small_batches
 
 # Magics in hex, their format and media type.
 SIGNATURES = [
@@ -26,7 +26,10 @@ SIGNATURES = [
 # Mark of the far header, where the pointer to it stands, and the flag bits that must be zero.
 PE_MARK, PE_POINTER, GZIP_RESERVED = "50450000", 60, 0xE0
 
-WINDOW = 1 << 20
+WINDOW = 1 << 16
+# Windows that one Arrow batch holds at most, and bytes that a task looks at together.
+BATCH_ROWS = 500
+STEP_BYTES = 1 << 20
 # A header field reaches so far beyond the first byte of its magic.
 AHEAD = 64
 
@@ -76,39 +79,46 @@ def _scan(keys: list[str], window: int):
     names = [name for _, name, _ in SIGNATURES] + [""]
     automaton = Automaton(words)
 
+    def hits(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(offsets)
+        base = batch["__base"].to_numpy()
+        total = batch["byte_length"].to_numpy()
+        row_of = np.repeat(np.arange(len(sizes)), sizes)
+        for k, places in automaton.find(data, offsets[1:][row_of]):
+            rows = row_of[places]
+            inside = places - offsets[rows] < window
+            places, rows = places[inside], rows[inside]
+            at = base[rows] + places - offsets[rows]
+            far = np.full(len(places), -1, np.int64)
+            if names[k] == "gzip":
+                good = total[rows] >= at + 4
+                good[good] = (data[places[good] + 3] & GZIP_RESERVED) == 0
+            elif names[k] == "pe":
+                good = total[rows] >= at + AHEAD
+                pointer = np.zeros(len(places), np.int64)
+                for j in range(4):
+                    pointer[good] |= data[places[good] + PE_POINTER + j].astype(np.int64) << (8 * j)
+                good &= pointer >= AHEAD
+                far = at + pointer
+            else:
+                good = np.ones(len(places), dtype=bool)
+            chosen = pa.array(rows[good])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c].take(chosen) for c in keys), batch["byte_length"].take(chosen), pa.array([names[k]] * len(chosen), pa.string()),
+                 pa.array(at[good], pa.int64()), pa.array(far[good], pa.int64())],
+                names=[*keys, "byte_length", "format", "offset", "far"])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch["__piece"]
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            sizes = np.diff(offsets)
-            base = batch["__base"].to_numpy()
-            total = batch["byte_length"].to_numpy()
-            row_of = np.repeat(np.arange(len(sizes)), sizes)
-            for k, places in automaton.find(data, offsets[1:][row_of]):
-                rows = row_of[places]
-                inside = places - offsets[rows] < window
-                places, rows = places[inside], rows[inside]
-                at = base[rows] + places - offsets[rows]
-                far = np.full(len(places), -1, np.int64)
-                if names[k] == "gzip":
-                    good = total[rows] >= at + 4
-                    good[good] = (data[places[good] + 3] & GZIP_RESERVED) == 0
-                elif names[k] == "pe":
-                    good = total[rows] >= at + AHEAD
-                    pointer = np.zeros(len(places), np.int64)
-                    for j in range(4):
-                        pointer[good] |= data[places[good] + PE_POINTER + j].astype(np.int64) << (8 * j)
-                    good &= pointer >= AHEAD
-                    far = at + pointer
-                else:
-                    good = np.ones(len(places), dtype=bool)
-                chosen = pa.array(rows[good])
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].take(chosen) for c in keys), batch["byte_length"].take(chosen), pa.array([names[k]] * len(chosen), pa.string()),
-                     pa.array(at[good], pa.int64()), pa.array(far[good], pa.int64())],
-                    names=[*keys, "byte_length", "format", "offset", "far"])
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            begin = 0
+            while begin < len(column):
+                # Arrays of a step take several times its bytes.
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + STEP_BYTES, "right")) - 1)
+                yield from hits(batch.slice(begin, end - begin), whole[ends[begin] : ends[end]], ends[begin : end + 1] - ends[begin])
+                begin = end
 
     return run
 
@@ -116,10 +126,11 @@ def _scan(keys: list[str], window: int):
 def signature_hits(df: DataFrame, data: str, window: int = WINDOW) -> DataFrame:
     """Every position of every known file signature in a binary column: the other columns, byte_length, format and offset.
 
-    A value is read in windows, so its size is not bounded by what a task can hold; a hit belongs to the window of its first
-    byte, and no hit carries its value.  A hit whose header points far ahead counts where the mark it points to stands: both are
-    hits, joined by value and position.  The other columns tell values apart.
+    A value is read in windows, and few of them at a time, so its size is not bounded by what a task can hold; a hit belongs to the
+    window of its first byte, and no hit carries its value.  A hit whose header points far ahead counts where the mark it points
+    to stands: both are hits, joined by value and position.  The other columns tell values apart.
     """
+    small_batches(df.sparkSession, BATCH_ROWS)
     keys = [c for c in df.columns if c != data]
     size = F.octet_length(F.col(data))
     pieces = df.where(size > 0).select(*keys, size.alias("byte_length"), F.col(data).alias("__data"), F.explode(
