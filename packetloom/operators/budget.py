@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.operators.ordered import row_number, running_sum, scan, spread_join
-from packetloom.session import cut
+from packetloom.session import cut, small_partitions
+
+# Keys of more rows than this are settled by scans, the others by a walk over their rows in order.
+HOT_ROWS = 1 << 20
 
 
 def _outcome(marked: DataFrame, kept: str, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -64,6 +70,50 @@ def byte_budget(
 
 
 def _greedy(df: DataFrame, keys: list[str], position: str, size: str, limit: int) -> DataFrame:
+    """Exact greedy admission: rows with ``__kept``, written once since both outcomes read them."""
+    small_partitions(df.sparkSession)
+    crowded = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > HOT_ROWS).select(*keys))
+    if crowded.isEmpty():
+        return cut(_walked(df, keys, position, size, limit))
+    walked = _walked(df.join(crowded, keys, "left_anti").select(*df.columns), keys, position, size, limit)
+    return cut(walked).unionByName(_scanned(df.join(crowded, keys, "left_semi").select(*df.columns), keys, position, size, limit))
+
+
+def _walker(keys: list[str], limit: int):
+    """Task function over rows sorted by key and position; of what came before only the last key and its rest are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, limit
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.zeros(batch.num_rows, dtype=bool)
+            starts[0] = tuple(batch[key][0].as_py() for key in keys) != last
+            for key in keys:
+                values = batch[key].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                starts[1:] |= values[1:] != values[:-1]
+            kept = []
+            for start, size in zip(starts.tolist(), batch["__size"].to_pylist()):
+                if start:
+                    left = limit
+                fits = size is not None and size <= left
+                if fits:
+                    left -= size
+                kept.append(fits)
+            last = tuple(batch[key][batch.num_rows - 1].as_py() for key in keys)
+            names = [name for name in batch.schema.names if name != "__size"]
+            yield pa.RecordBatch.from_arrays([*(batch[name] for name in names), pa.array(kept, pa.bool_())], names=[*names, "__kept"])
+
+    return run
+
+
+def _walked(df: DataFrame, keys: list[str], position: str, size: str, limit: int) -> DataFrame:
+    """Rows are shuffled once and walked in order, a key in one task."""
+    dealt = df.withColumn("__size", F.col(size).cast("long")).repartition(*keys).sortWithinPartitions(*keys, position)
+    return dealt.mapInArrow(_walker(keys, limit), T.StructType([*df.schema.fields, T.StructField("__kept", T.BooleanType())]))
+
+
+def _scanned(df: DataFrame, keys: list[str], position: str, size: str, limit: int) -> DataFrame:
     """Exact greedy admission without a row-by-row fold.
 
     While the remaining budget lies in ``[2^k, 2^(k+1))`` every row smaller than ``2^k`` fits, every row of
@@ -102,7 +152,7 @@ def _greedy(df: DataFrame, keys: list[str], position: str, size: str, limit: int
         part = step.where("__settled").select(*df.columns, "__kept")
         done = part if done is None else done.unionByName(part)
         work = step.where("NOT __settled").select(*columns)
-    rest = work.select(*df.columns, (F.col("__size") == 0).alias("__kept"))
+    rest = work.select(*df.columns, F.coalesce(F.col("__size") == 0, F.lit(False)).alias("__kept"))
     return rest if done is None else done.unionByName(rest)
 
 

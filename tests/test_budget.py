@@ -49,3 +49,36 @@ def test_row_limit_lists_the_rest(spark):
     kept, skips = budget.limit_rows(df, ["cap"], "p", 4)
     assert sorted(r.p for r in kept.collect()) == [0, 1, 2, 3] and skips.count() == 6
     assert [(r.cap, r.skipped) for r in budget.skip_counts(skips, ["cap"]).collect()] == [(1, 6)]
+
+
+def _sent(spark, groups, rows, seed):
+    rng = random.Random(seed)
+    data = [(g, i, rng.choice([0, 1, 2, 3, 7, 8, 40, 64, 100, 101, None])) for g in range(groups) for i in range(rows)]
+    expected = {(g, k) for g in range(groups) for k in _greedy([(p, s) for o, p, s in data if o == g and s is not None], 100)}
+    return spark.createDataFrame(data, "g int, p long, size long").repartition(4), data, expected
+
+
+def test_greedy_walks_rows_once_and_scans_only_crowded_keys(spark, monkeypatch):
+    df, data, expected = _sent(spark, 6, 80, 11)
+    written = []
+    real = budget.cut
+    monkeypatch.setattr(budget, "cut", lambda frame: written.append(frame) or real(frame))
+    for most, fewest, copies in ((1000, 0, 2), (79, 6, 9)):
+        monkeypatch.setattr(budget, "HOT_ROWS", most)
+        written.clear()
+        kept, skips = budget.byte_budget(df, ["g"], "p", "size", 100, mode="greedy")
+        assert {(r.g, r.p) for r in kept.collect()} == expected
+        assert kept.count() + skips.count() == len(data)
+        # One copy of the crowded keys, one of the rows walked, and for crowded keys one per power of two.
+        assert len(written) == copies and real(written[0]).count() == fewest
+
+
+def test_greedy_walk_goes_on_across_batches(spark, monkeypatch):
+    df, data, expected = _sent(spark, 3, 50, 12)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        kept, _ = budget.byte_budget(df, ["g"], "p", "size", 100, mode="greedy")
+        assert {(r.g, r.p) for r in kept.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
