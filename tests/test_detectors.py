@@ -205,3 +205,20 @@ def test_chains_of_pointer_flags_are_walked_span_by_span(spark):
     assert len(expected) > 30
     for span in (4, 300):
         assert sorted((r["stream_index"], r["offset"], r["value"]) for r in sidechannel.pointer_flags(df, span=span).collect()) == expected
+
+
+def test_merged_candidates_scan_their_texts_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    fields = spark.createDataFrame([(1, 1, 0, "key", "abc"), (1, 2, 0, "key", "abc")], "capture_id int, tx_id long, ordinal int, name string, value string")
+    scored = rank.score_fields(fields)
+    part = rank.field_candidates(scored)
+    merged, links = rank.merge_candidates(part.mapInArrow(counted, part.schema))
+    rows = merged.join(links, "candidate_id").collect()
+    assert sorted((r["value"], r["evidence_links"], r["evidence_id"]) for r in rows) == [("abc", 2, "1:0"), ("abc", 2, "2:0")]
+    assert calls.value == 2
