@@ -1,3 +1,7 @@
+import random
+import re
+
+from packetloom.functions.text import with_matches
 from packetloom.operators import content, corpus, decode, signatures
 
 
@@ -92,3 +96,25 @@ def test_part_headers(spark):
     df = spark.createDataFrame([(1, 'form-data; name="a"; filename="x.png"|form-data; name=b', "Image/PNG"), (2, "", "")], "frame_number int, dispositions string, media_types string")
     rows = content.explode_parts(df).orderBy("frame_number", "ordinal").collect()
     assert [(r.field_name, r.filename, r.declared_type) for r in rows] == [("a", "x.png", "image/png"), ("b", None, None), (None, None, None)]
+
+
+def test_spelled_out_patterns_find_what_ranges_find(spark):
+    brace = "(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_-]{1,32}\\{[\\x21-\\x7a\\x7c\\x7e]{4,256}\\}(?![A-Za-z0-9_])"
+    token = "(?<![A-Za-z0-9_.+/=:-])[A-Za-z0-9][A-Za-z0-9_.+/=:-]{23,127}(?![A-Za-z0-9_.+/=:-])"
+    rng = random.Random(8)
+    parts = ["{", "}", "}}", " ", "\n", "é", "-", "_", "{{", "a", "Z9", "word", "x" * 23, "Az_" * 9, "q" * 127, "=" * 130, "k-" * 17, "{abcd}", "{a b}", "ab{" + "y" * 256 + "}"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for mine, plain, needs in ((corpus.BRACE, brace, {"__hits": "{"}), (corpus.TOKEN, token, None)):
+        found = {(r.i, m.offset, m.value) for r in with_matches(df, {"__hits": mine}, "t", needs).collect() for m in r["__hits"]}
+        expected = {(i, len(t[: m.start()].encode()), m.group()) for i, t in enumerate(texts) for m in re.finditer(plain, t)}
+        assert found == expected and found
+
+
+def test_texts_are_searched_and_split_only_where_a_pattern_is_found(spark):
+    df = spark.createDataFrame([(1, "ab{cdef} xy"), (2, "no"), (3, "Ab" * 13), (4, "Ab" * 13 + " ab{cdef}")], "i int, t string")
+    rows = with_matches(df, {"brace": corpus.BRACE, "token": corpus.TOKEN}, "t", {"brace": "{"})
+    assert {(r.i, kind, m.offset) for r in rows.collect() for kind in ("brace", "token") for m in r[kind]} == {
+        (1, "brace", 0), (3, "token", 0), (4, "token", 0), (4, "brace", 27)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and plan.count("regexp_extract_all(") == 2
