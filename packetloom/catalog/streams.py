@@ -71,7 +71,7 @@ def _(spark, sf):
 
 def statuses(spark, sf):
     segments = view(spark, sf, "segments")
-    return reassembly.stream_status(segments, reassembly.reassemble(segments))
+    return reassembly.stream_status(segments, reassembly.reassemble(segments, reassembly.STATUS))
 
 
 @query("stream_status", BYTES_SQL + "SELECT * FROM statuses", "segments")
@@ -113,7 +113,7 @@ def _(spark, sf):
 def _(spark, sf):
     kept, skips = limited_segments(spark, sf)
     kept = cut(kept)
-    rows = reassembly.stream_status(kept, reassembly.reassemble(kept), skips=skips)
+    rows = reassembly.stream_status(kept, reassembly.reassemble(kept, reassembly.STATUS), skips=skips)
     return rows.select("stream_index", "segments", "unique_bytes", "skipped_segments", "status")
 
 
@@ -150,8 +150,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     segments = view(spark, sf, "segments")
-    parts = reassembly.reassemble(segments)
-    rows = pages.streams_page(reassembly.stream_status(segments, parts), parts["spans"], 25, 50)
+    parts = reassembly.reassemble(segments, [*reassembly.STATUS, "extents"])
+    rows = pages.streams_page(reassembly.stream_status(segments, parts), parts["extents"], 25, 50)
     return rows.select(
         "stream_index", "status", "segments", "gap_count", "conflict_count", "source_frame_start", "source_frame_end", "sequence_start", "sequence_end"
     )
