@@ -45,6 +45,9 @@ _BLANK[list(BLANKS)] = True
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(BREAKS)] = True
 
+#: Lower-cased bytes of words; blanks and breaks as one byte.
+_SPELLED = np.where(_BLANK | _BREAK, np.uint8(32), LOWER)
+
 _COUNTED = "lang string, phrase string, n long, end int"
 _LEDGER = f"{_COUNTED}, reach int"
 
@@ -52,9 +55,10 @@ _LEDGER = f"{_COUNTED}, reach int"
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Words of some rows: spelling buffer with one blank between words, places in it, hashes, rows, and whether a word
     and the one after it stand in one piece."""
-    data = LOWER[data]
-    breaks = _BREAK[data]
-    inside = ~(_BLANK[data] | breaks)
+    # Words keep their bytes, all between them is one blank byte each; the rest goes by word, since bytes are many.
+    breaks = np.flatnonzero(_BREAK.take(data))
+    data = _SPELLED.take(data)
+    inside = data != 32
     n = len(data)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -62,17 +66,20 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     begins[1:] |= inside[1:] & ~inside[:-1]
     stops[:-1] |= inside[:-1] & ~inside[1:]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    rows = np.searchsorted(offsets, starts, "right") - 1
-    broken = np.cumsum(breaks)
-    joined = np.zeros(len(starts), dtype=bool)
-    if len(starts) > 1:
-        joined[:-1] = (rows[1:] == rows[:-1]) & (broken[starts[1:]] == broken[starts[:-1]])
+    first = np.searchsorted(starts, offsets)
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    joined = np.ones(len(starts) + 1, dtype=bool)
+    # A piece ends with the word before a break or before another row's words; with no word before, the place past all is meant.
+    joined[first - 1] = False
+    joined[np.searchsorted(starts, breaks) - 1] = False
+    joined = joined[:-1]
     hashes = Rolling(data).range(starts, ends)
-    keep = inside
-    keep[ends[ends < n]] = True
-    place = np.cumsum(keep)[starts] - 1
-    spelling = np.where(_BLANK[data] | breaks, np.uint8(32), data)[keep]
-    return spelling, place, place + (ends - starts), hashes, rows, joined
+    blank = ~inside.take(ends, mode="clip")
+    blank[ends == n] = False
+    inside[ends[blank]] = True
+    sizes = ends - starts
+    place = np.cumsum(sizes + blank) - sizes - blank
+    return data[inside], place, place + sizes, hashes, rows, joined
 
 
 def _salts(langs: list[str]) -> np.ndarray:
@@ -113,7 +120,7 @@ def _spelled(spelling: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.A
     sizes = ends - starts
     places = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=places[1:])
-    at = np.repeat(starts - places[:-1], sizes) + np.arange(places[-1])
+    at = np.repeat((starts - places[:-1]).astype(np.int32), sizes) + np.arange(places[-1], dtype=np.int32)
     return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(spelling[at])])
 
 
