@@ -90,8 +90,8 @@ KEPT_SQL = f""", ordered AS (SELECT stream_index, frame_number, length(CAST(payl
  kept AS (SELECT s.* FROM segments s JOIN walk w USING (stream_index, frame_number) WHERE w.reason = 'kept') """
 
 
-def limited_segments(spark, sf):
-    return reassembly.limit_segments(view(spark, sf, "segments"), MOST_SEGMENTS, MOST_BYTES)
+def limited_segments(spark, sf, carry=True):
+    return reassembly.limit_segments(view(spark, sf, "segments"), MOST_SEGMENTS, MOST_BYTES, carry)
 
 
 @query(
@@ -100,7 +100,7 @@ def limited_segments(spark, sf):
     "segments",
 )
 def _(spark, sf):
-    return budget.skip_counts(limited_segments(spark, sf)[1], ["stream_index"])
+    return budget.skip_counts(limited_segments(spark, sf, carry=False)[1], ["stream_index"])
 
 
 @query(
@@ -112,7 +112,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kept, skips = limited_segments(spark, sf)
-    kept = cut(kept)
     rows = reassembly.stream_status(kept, reassembly.reassemble(kept, reassembly.STATUS), skips=skips)
     return rows.select("stream_index", "segments", "unique_bytes", "skipped_segments", "status")
 

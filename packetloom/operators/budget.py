@@ -6,15 +6,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.operators.ordered import row_number, running_sum, scan, spread_join
+from packetloom.operators.ordered import row_number, running_count, running_sum, scan, spread_join
 from packetloom.session import cut, small_partitions
 
 # Keys of more rows than this are settled by scans, the others by a walk over their rows in order.
 HOT_ROWS = 1 << 20
+# Wide columns of keys of more bytes than this stay behind in the walk and are joined by position.
+HOT_BYTES = 64 << 20
+# What the walk says of a row: taken, over the bytes that are left, or after the last one that may be taken.
+KEPT, BYTES, ROW = range(3)
 
 
 def _outcome(marked: DataFrame, kept: str, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -79,11 +84,41 @@ def _greedy(df: DataFrame, keys: list[str], position: str, size: str, limit: int
     return cut(walked).unionByName(_scanned(df.join(crowded, keys, "left_semi").select(*df.columns), keys, position, size, limit))
 
 
-def _walker(keys: list[str], limit: int):
+def greedy_limits(
+    df: DataFrame, keys: Sequence[str], position: str, size: str, max_bytes: int, max_rows: int, wide: Sequence[str] = (),
+    byte_reason: str = "byte-budget", row_reason: str = "row-limit",
+) -> DataFrame:
+    """Rows with the ``reason`` why they are left out, null where they are kept; the ``wide`` columns of those left out are null.
+
+    In order, a row that would pass ``max_bytes`` is passed over and later, smaller ones are still taken; after ``max_rows`` are
+    taken all others are left out.  ``wide`` columns are shuffled once, in the walk; those of keys of more than ``HOT_BYTES`` are joined
+    by position instead, so that no task gets a long key's.  ``position`` must be unique within a key.  The result is written once.
+    """
+    keys = list(keys)
+    small_partitions(df.sparkSession)
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.sum(F.col(size).cast("long")).alias("__bytes"))
+    hot = cut(totals.where((F.col("__rows") > HOT_ROWS) | (F.col("__bytes") > HOT_BYTES)).select(*keys))
+    reason = F.when(F.col("__code") == ROW, row_reason).when(F.col("__code") == BYTES, byte_reason).alias("reason")
+    columns = [*df.columns, reason]
+    if hot.isEmpty():
+        return cut(_admitted(df, keys, position, size, max_bytes, max_rows, wide).select(*columns))
+    light = _admitted(df.join(hot, keys, "left_anti").select(*df.columns), keys, position, size, max_bytes, max_rows, wide).select(*columns)
+    long = df.join(hot, keys, "left_semi").select(*df.columns)
+    marked = _greedy(cut(long.drop(*wide)), keys, position, size, max_bytes)
+    counted = scan(marked, keys, position, {"__taken": running_count(F.col("__kept"), inclusive=False)})
+    code = F.when(F.col("__taken") >= max_rows, ROW).when(~F.col("__kept"), BYTES).otherwise(KEPT).cast("byte")
+    settled = cut(counted.select(*[c for c in df.columns if c not in wide], code.alias("__code")))
+    place = [*keys, position]
+    kept = long.join(settled.where(F.col("__code") == KEPT).select(*place, "__code"), place)
+    over = settled.where(F.col("__code") != KEPT).withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in wide})
+    return cut(light.unionByName(kept.select(*columns)).unionByName(over.select(*columns)))
+
+
+def _walker(keys: list[str], limit: int, most: int | None = None, wide: Sequence[str] = ()):
     """Task function over rows sorted by key and position; of what came before only the last key and its rest are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, limit
+        last, left, free = None, limit, most
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -92,25 +127,40 @@ def _walker(keys: list[str], limit: int):
             for key in keys:
                 values = batch[key].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 starts[1:] |= values[1:] != values[:-1]
-            kept = []
+            codes = []
             for start, size in zip(starts.tolist(), batch["__size"].to_pylist()):
                 if start:
-                    left = limit
-                fits = size is not None and size <= left
-                if fits:
+                    left, free = limit, most
+                if free == 0:
+                    codes.append(ROW)
+                elif size is None or size > left:
+                    codes.append(BYTES)
+                else:
                     left -= size
-                kept.append(fits)
+                    free = None if free is None else free - 1
+                    codes.append(KEPT)
             last = tuple(batch[key][batch.num_rows - 1].as_py() for key in keys)
             names = [name for name in batch.schema.names if name != "__size"]
-            yield pa.RecordBatch.from_arrays([*(batch[name] for name in names), pa.array(kept, pa.bool_())], names=[*names, "__kept"])
+            code = pa.array(codes, pa.int8())
+            kept = pc.equal(code, KEPT)
+            values = (pc.if_else(kept, batch[name], pa.scalar(None, batch[name].type)) if name in wide else batch[name] for name in names)
+            yield pa.RecordBatch.from_arrays([*values, code], names=[*names, "__code"])
 
     return run
 
 
-def _walked(df: DataFrame, keys: list[str], position: str, size: str, limit: int) -> DataFrame:
-    """Rows are shuffled once and walked in order, a key in one task."""
+def _admitted(
+    df: DataFrame, keys: list[str], position: str, size: str, limit: int, most: int | None = None, wide: Sequence[str] = ()
+) -> DataFrame:
+    """Rows with what the walk says of them (``__code``).  They are shuffled once and walked in order, a key in one task."""
     dealt = df.withColumn("__size", F.col(size).cast("long")).repartition(*keys).sortWithinPartitions(*keys, position)
-    return dealt.mapInArrow(_walker(keys, limit), T.StructType([*df.schema.fields, T.StructField("__kept", T.BooleanType())]))
+    fields = [T.StructField(f.name, f.dataType, f.nullable or f.name in wide) for f in df.schema.fields]
+    return dealt.mapInArrow(_walker(keys, limit, most, wide), T.StructType([*fields, T.StructField("__code", T.ByteType())]))
+
+
+def _walked(df: DataFrame, keys: list[str], position: str, size: str, limit: int) -> DataFrame:
+    walked = _admitted(df, keys, position, size, limit)
+    return walked.select(*df.columns, (F.col("__code") == KEPT).alias("__kept"))
 
 
 def _scanned(df: DataFrame, keys: list[str], position: str, size: str, limit: int) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.operators.budget import byte_budget
-from packetloom.operators.ordered import running_count, running_max, running_sum, scan, span_of, spread_join
+from packetloom.operators.budget import greedy_limits
+from packetloom.operators.ordered import running_max, running_sum, scan, span_of, spread_join
 from packetloom.session import cut, small_partitions
 
 STREAM = ["capture_id", "stream_index", "direction"]
@@ -438,22 +438,21 @@ def stream_content(ledgers: dict[str, DataFrame], block: int = CONTENT_BLOCK) ->
     )
 
 
-def limit_segments(segments: DataFrame, max_segments: int, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+def limit_segments(segments: DataFrame, max_segments: int, max_bytes: int, carry: bool = True) -> tuple[DataFrame, DataFrame]:
     """Segments that fit the limits of their stream, both directions together, and a narrow row for each one that does not.
 
     In frame order, a segment that would pass ``max_bytes`` of payload is passed over (``payload-budget``) and later, smaller ones
     may still fit; after ``max_segments`` are taken, all others are skipped (``segment-limit``).  Segments without payload
-    cost nothing and are left out of both.
+    cost nothing and are left out of both.  Both are read from one written table.  Without ``carry`` the segments that fit have
+    narrow rows too, and no payload is moved.
     """
-    stream = ["capture_id", "stream_index"]
-    usable = segments.where("octet_length(payload) > 0")
-    narrow = cut(usable.select(*STREAM, "frame_number", F.octet_length("payload").cast("long").alias("payload_length")))
-    fits, over = byte_budget(narrow, stream, "frame_number", "payload_length", max_bytes, "greedy")
-    marked = fits.withColumn("__fits", F.lit(True)).unionByName(over.drop("reason").withColumn("__fits", F.lit(False)))
-    taken = cut(scan(marked, stream, "frame_number", {"__taken": running_count(F.col("__fits"), inclusive=False)}))
-    full = F.col("__taken") >= max_segments
-    skips = taken.where(full | ~F.col("__fits")).select(*narrow.columns, F.when(full, "segment-limit").otherwise("payload-budget").alias("reason"))
-    return usable.join(skips, [*stream, "frame_number"], "left_anti"), skips
+    narrow = [*STREAM, "frame_number", "payload_length"]
+    sized = segments.where("octet_length(payload) > 0").withColumn("payload_length", F.octet_length("payload").cast("long"))
+    rows = sized if carry else sized.select(*narrow)
+    marked = greedy_limits(
+        rows, ["capture_id", "stream_index"], "frame_number", "payload_length", max_bytes, max_segments,
+        [c for c in rows.columns if c not in narrow], "payload-budget", "segment-limit")
+    return marked.where("reason IS NULL").select(*(segments.columns if carry else narrow)), marked.where("reason IS NOT NULL").select(*narrow, "reason")
 
 
 def stream_status(segments: DataFrame, ledgers: dict[str, DataFrame], max_output: int | None = None, skips: DataFrame | None = None) -> DataFrame:

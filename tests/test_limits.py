@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import profile, rank, reassembly, sequence
+from packetloom.operators import budget, profile, rank, reassembly, sequence
 
 SEGMENTS = "capture_id int, stream_index int, direction string, frame_number long, seq long, payload binary"
 
@@ -45,6 +46,40 @@ def test_segment_limits_are_shared_by_both_directions(spark):
         assert (sorted(got.get(stream, [])), reasons.get(stream, {})) == expected
 
 
+@pytest.mark.parametrize("hot_rows, hot_bytes", [(1000, 10_000), (1000, 600), (90, 10_000), (1000, 0)])
+def test_segments_carry_their_payload_through_the_walk(spark, monkeypatch, hot_rows, hot_bytes):
+    monkeypatch.setattr(budget, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(budget, "HOT_BYTES", hot_bytes)
+    rng = random.Random(14)
+    rows = []
+    for stream in range(6):
+        for frame in range(1, 40 if stream % 2 else 120):
+            size = rng.choice([0, 1, 5, 20, 33])
+            rows.append((1, stream, rng.choice(["a>b", "b>a"]), frame, frame * 10, rng.randbytes(size)))
+    sent = {(r[1], r[3]): r for r in rows}
+    segments = spark.createDataFrame(rows, SEGMENTS).repartition(4)
+    kept, skips = reassembly.limit_segments(segments, 25, 300)
+    # Both are read from the written walk, without a join that would shuffle all payload again.
+    for frame in (kept, skips):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    found, reasons = {}, {}
+    for r in kept.collect():
+        assert tuple(r) == sent[r["stream_index"], r["frame_number"]]
+        found.setdefault(r["stream_index"], []).append(r["frame_number"])
+    for r in skips.collect():
+        direction, payload = (sent[r["stream_index"], r["frame_number"]][i] for i in (2, 5))
+        assert (r["direction"], r["payload_length"]) == (direction, len(payload))
+        reasons.setdefault(r["stream_index"], {})[r["frame_number"]] = r["reason"]
+    for stream in range(6):
+        expected = fold([(f, len(r[5])) for (s, f), r in sent.items() if s == stream], 25, 300)
+        assert (sorted(found.get(stream, [])), reasons.get(stream, {})) == expected
+    # The skips alone need no payload.
+    narrow, same = reassembly.limit_segments(segments, 25, 300, carry=False)
+    assert "payload" not in narrow.columns and narrow.count() == kept.count()
+    assert same.exceptAll(skips).count() == skips.exceptAll(same).count() == 0
+
+
 def test_skipped_direction_is_truncated_even_without_segments(spark):
     rows = [(1, 1, "a>b", 1, 0, bytearray(b"abc")), (1, 1, "a>b", 2, 3, bytearray(b"def")), (1, 1, "b>a", 3, 0, bytearray(b"too much")), (1, 2, "a>b", 1, 0, bytearray(b"x"))]
     kept, skips = reassembly.limit_segments(spark.createDataFrame(rows, SEGMENTS), 10, 6)
