@@ -10,6 +10,7 @@ read once.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,11 +21,13 @@ from pyspark.sql import types as T
 
 from packetloom.operators.ordered import last_value, lead, row_number, scan
 from packetloom.operators.records import POSITIONS, prompt_name, stream_windows
-from packetloom.session import cut
+from packetloom.session import cut, small_partitions
 
 MAX_BYTES = 4_096
 WINDOW = 1 << 20
 FAN_IN = 1_024
+# Records that one step of a task hands on.
+STEP_ROWS = 65_536
 
 # What ends a record at a position; at one position in this order.
 CONTROL, LINE, RETURN, PAIRED, SOURCE, REST = range(6)
@@ -142,15 +145,100 @@ def _exits(row: dict, limit: int) -> bytes:
     return places.tobytes()
 
 
-def _through(begin: int, exits: bytes, places: np.ndarray, limit: int) -> np.ndarray:
-    values = np.frombuffer(exits, np.int64)
-    if len(values) < 2:
-        return places if not len(values) else np.full(len(places), values[0])
-    return values[(begin - places) % limit]
+def _through(begin: int, exits: bytes, place: int, limit: int) -> int:
+    """Where the last piece begins after a window, if it began at ``place`` before it."""
+    if not exits:
+        return place
+    return struct.unpack_from("<q", exits, 8 * ((begin - place) % limit) if len(exits) > 8 else 0)[0]
+
+
+def _both(begin: int, exits: bytes, at: int, own: bytes, limit: int) -> bytes:
+    """One map for windows from ``begin`` on and the next one, which begins at ``at``."""
+    if len(own) <= 8:
+        return own or exits
+    places = np.frombuffer(exits, np.int64) if exits else begin - np.arange(limit, dtype=np.int64)
+    return np.frombuffer(own, np.int64)[(at - places) % limit].tobytes()
+
+
+def _changes(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> tuple[list[bool], tuple]:
+    """Which rows have other keys than the row before, and the keys of the last row."""
+    changed = np.zeros(batch.num_rows, dtype=bool)
+    changed[0] = tuple(batch[key][0].as_py() for key in keys) != last
+    for key in keys:
+        values = batch[key].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        changed[1:] |= values[1:] != values[:-1]
+    return changed.tolist(), tuple(batch[key][batch.num_rows - 1].as_py() for key in keys)
+
+
+def _joiner(keys: list[str], limit: int):
+    """Task function over maps of windows in order: one map for each key and ``__block``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begin, exits, held = None, 0, b"", None
+
+        def made(rows: pa.RecordBatch, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            columns = (pa.array(list(c), kind) for c, kind in zip(zip(*found, strict=True), (pa.int64(), pa.binary()), strict=True))
+            return pa.RecordBatch.from_arrays([*(rows[c] for c in (*keys, "__block")), *columns], names=[*keys, "__window", "begin", "exits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changed, last = _changes(batch, [*keys, "__block"], last)
+            done: list[tuple[int, bytes]] = []
+            ends: list[int] = []
+            for i, (new, at, own) in enumerate(zip(changed, batch["begin"].to_pylist(), batch["exits"].to_pylist(), strict=True)):
+                if new:
+                    if i:
+                        ends.append(i - 1)
+                        done.append((begin, exits))
+                    elif held is not None:
+                        yield made(held, [(begin, exits)])
+                    begin, exits = at, own
+                else:
+                    exits = _both(begin, exits, at, own, limit)
+            if ends:
+                yield made(batch.take(pa.array(ends)), done)
+            held = batch.slice(batch.num_rows - 1)
+        if held is not None:
+            yield made(held, [(begin, exits)])
+
+    return run
+
+
+def _follower(keys: list[str], limit: int):
+    """Task function over maps of windows in order: where the last piece begins before each.
+
+    A row without a map gives the place from which to go on; a key without one begins at 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changed, last = _changes(batch, keys, last)
+            rows, starts = [], []
+            for i, (new, at, exits) in enumerate(zip(changed, batch["begin"].to_pylist(), batch["exits"].to_pylist(), strict=True)):
+                if new:
+                    place = 0
+                if exits is None:
+                    place = at
+                else:
+                    rows.append(i)
+                    starts.append(place)
+                    place = _through(at, exits, place, limit)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept[c] for c in (*keys, "__window")), pa.array(starts, pa.int64())], names=[*keys, "__window", "start"])
+
+    return run
 
 
 def _starts(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Where the last piece begins before each window: keys, ``__window`` and ``start``."""
+    """Where the last piece begins before each window: keys, ``__window`` and ``start``.
+
+    Maps are dealt by key and block of ``FAN_IN`` windows and walked in order, many keys in a task: once to join each block's, once over
+    the blocks of a key, and once from where each block is entered.
+    """
     head = [found.schema[k] for k in keys] + [T.StructField("__window", T.LongType())]
     exit_schema = T.StructType([*head, T.StructField("begin", T.LongType()), T.StructField("exits", T.BinaryType())])
     start_schema = T.StructType([*head, T.StructField("start", T.LongType())])
@@ -161,34 +249,15 @@ def _starts(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch[k] for k in (*keys, "__window", "begin")), pa.array(exits, pa.binary())], names=exit_schema.names)
 
-    def ordered(group: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        group = group.sort_by("__window")
-        return zip(*(group[c].to_pylist() for c in ("__window", "begin", "exits")), strict=True)
-
-    def joined(group: pa.Table) -> pa.Table:
-        rows = list(ordered(group))
-        begin = rows[0][1]
-        places = begin - np.arange(limit, dtype=np.int64)
-        for at, where, exits in rows:
-            places = _through(where, exits, places, limit)
-        number = rows[0][0] // FAN_IN
-        return group.select(keys).slice(0, 1).append_column("__window", pa.array([number])).append_column("begin", pa.array([begin])).append_column(
-            "exits", pa.array([places.tobytes()], pa.binary()))
-
-    def followed(group: pa.Table, start: int) -> pa.Table:
-        place, out = np.array([start]), []
-        for number, where, exits in ordered(group):
-            out.append((number, int(place[0])))
-            place = _through(where, exits, place, limit)
-        kept = group.select(keys).take(pa.array([0] * len(out), pa.int64()))
-        return kept.append_column("__window", pa.array([n for n, _ in out], pa.int64())).append_column("start", pa.array([s for _, s in out], pa.int64()))
+    def dealt(maps: DataFrame, *block: str) -> DataFrame:
+        return maps.repartition(*keys, *block).sortWithinPartitions(*keys, "__window", F.col("exits").isNotNull())
 
     windows = cut(found.mapInArrow(reduced, exit_schema))
-    number = F.expr(f"__window div {FAN_IN}").alias("__block")
-    blocks = windows.groupBy(*keys, number).applyInArrow(joined, exit_schema)
-    entered = blocks.groupBy(*keys).applyInArrow(lambda group: followed(group, 0), start_schema)
-    return windows.groupBy(*keys, number).cogroup(entered.groupBy(*keys, "__window")).applyInArrow(
-        lambda group, given: followed(group, given["start"][0].as_py()), start_schema)
+    number = F.expr(f"__window div {FAN_IN}")
+    blocks = dealt(windows.withColumn("__block", number), "__block").mapInArrow(_joiner(keys, limit), exit_schema)
+    entered = dealt(blocks).mapInArrow(_follower(keys, limit), start_schema)
+    begun = entered.select(*keys, (F.col("__window") * FAN_IN).alias("__window"), F.col("start").alias("begin"), F.lit(None).cast("binary").alias("exits"))
+    return dealt(windows.unionByName(begun).withColumn("__block", number), "__block").mapInArrow(_follower(keys, limit), start_schema)
 
 
 def stream_records(
@@ -204,6 +273,7 @@ def stream_records(
     if max_bytes < 2 or window < 2:
         raise ValueError("records and windows have at least two bytes")
     keys = list(keys)
+    small_partitions(chunks.sparkSession)
     windows = stream_windows(chunks, keys, order, data, window, 1, 1)
     if sources is None:
         bounded = windows.withColumn("__bounds", F.lit(None).cast("array<long>"))
@@ -219,13 +289,21 @@ def stream_records(
 
     def follow(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, out = [], []
+
+            def made() -> pa.RecordBatch:
+                fixed = batch.select(keys).take(pa.array(rows, pa.int64()))
+                columns = zip(*out, strict=True) if out else ([], [], [])
+                parts = (pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))
+                return pa.RecordBatch.from_arrays([*(fixed[k] for k in keys), *parts], names=out_schema.names)
+
             for i, row in enumerate(batch.select([c for c in batch.schema.names if c not in keys]).to_pylist()):
-                out: list[tuple[int, int, str]] = []
                 _walk(_events(row), row["start"], max_bytes, row["begin"], row["begin"] + row["size"], out)
-                fixed = [batch[k].take(pa.array([i] * len(out), pa.int64())) for k in keys]
-                parts = zip(*out, strict=True) if out else ([], [], [])
-                yield pa.RecordBatch.from_arrays(
-                    [*fixed, *(pa.array(list(p), kind) for p, kind in zip(parts, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=out_schema.names)
+                rows += [i] * (len(out) - len(rows))
+                if len(out) > STEP_ROWS:
+                    yield made()
+                    rows, out = [], []
+            yield made()
 
     rows = found.join(_starts(found, keys, max_bytes), [*keys, "__window"]).mapInArrow(follow, out_schema)
     ranked = scan(cut(rows), keys, "start", {"ordinal": row_number()}, span=POSITIONS)

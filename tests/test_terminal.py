@@ -75,6 +75,28 @@ def test_records_of_any_block(spark, monkeypatch, chunk, window, limit, fan):
         assert all(bytes(r["value"]) == given[r["s"]][1][r["start"] : r["end"]] for r in values)
 
 
+@pytest.mark.parametrize(("window", "limit", "fan", "rows", "step"), [(4, 8, 3, 3, 5), (2, 5, 2, 7, 1), (6, 40, 4, 1, 65_536)])
+def test_starts_are_walked_in_order_without_a_group_for_each_stream(spark, monkeypatch, window, limit, fan, rows, step):
+    monkeypatch.setattr(terminal, "FAN_IN", fan)
+    monkeypatch.setattr(terminal, "STEP_ROWS", step)
+    plans = []
+    real = terminal.cut
+    monkeypatch.setattr(terminal, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    given = streams()
+    chunks = spark.createDataFrame([(k, 0, bytearray(t)) for k, t, _ in given if t], "s int, n long, data binary")
+    ends = spark.createDataFrame([(k, p) for k, _, b in given for p in b], "s int, at long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        found = terminal.stream_records(chunks, ["s"], "n", "data", ends, limit, window).orderBy("s", "ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = [(k, i, *r) for k, t, b in given for i, r in enumerate(by_bytes(t, b, limit))]
+    assert [tuple(r) for r in found] == expected
+    # Tasks walk sorted rows; a Python group for each stream and block would cost more than the work in it.
+    assert any("MapInArrow" in plan for plan in plans) and not any("GroupsInArrow" in plan for plan in plans)
+
+
 def test_without_sources_there_are_no_prompts(spark):
     chunks = spark.createDataFrame([(1, 0, "name: "), (1, 1, "x\r\nend:")], "s int, n long, data string")
     rows = terminal.stream_records(chunks, ["s"], "n", "data").orderBy("start").collect()
