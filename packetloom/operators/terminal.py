@@ -26,8 +26,8 @@ from packetloom.session import cut, small_partitions
 MAX_BYTES = 4_096
 WINDOW = 1 << 20
 FAN_IN = 1_024
-# Records that one step of a task hands on.
-STEP_ROWS = 65_536
+# Windows that one step of a task holds as Python values.
+STEP_ROWS = 256
 
 # What ends a record at a position; at one position in this order.
 CONTROL, LINE, RETURN, PAIRED, SOURCE, REST = range(6)
@@ -74,7 +74,7 @@ def _find(window: int):
         }
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             keys = [c for c in batch.schema.names if c not in ("__at", "__raw", "__bounds")]
             rows = [
                 breaks(raw.encode("latin-1"), at, number * window, np.array(bounds or [], dtype=np.int64))
@@ -93,6 +93,11 @@ _FOUND_ARROW = {
 _FOUND = "begin long, size long, at array<long>, code array<long>, colon array<long>, tail struct<colon: long>"
 
 
+def _steps(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, STEP_ROWS) for at in range(0, batch.num_rows, STEP_ROWS))
+
+
 def _events(row: dict) -> list[tuple[int, int, int]]:
     """Breaks of a window; a source's end whose colon lies in an earlier window takes it from there, or goes."""
     carried = NONE if row["carried"] is None else row["carried"]["colon"]
@@ -206,10 +211,7 @@ def _joiner(keys: list[str], limit: int):
 
 
 def _follower(keys: list[str], limit: int):
-    """Task function over maps of windows in order: where the last piece begins before each.
-
-    A row without a map gives the place from which to go on; a key without one begins at 0.
-    """
+    """Task function over maps in order: where the last piece begins before each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, place = None, 0
@@ -217,47 +219,40 @@ def _follower(keys: list[str], limit: int):
             if not batch.num_rows:
                 continue
             changed, last = _changes(batch, keys, last)
-            rows, starts = [], []
-            for i, (new, at, exits) in enumerate(zip(changed, batch["begin"].to_pylist(), batch["exits"].to_pylist(), strict=True)):
-                if new:
-                    place = 0
-                if exits is None:
-                    place = at
-                else:
-                    rows.append(i)
-                    starts.append(place)
-                    place = _through(at, exits, place, limit)
-            kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(kept[c] for c in (*keys, "__window")), pa.array(starts, pa.int64())], names=[*keys, "__window", "start"])
+            starts = []
+            for new, at, exits in zip(changed, batch["begin"].to_pylist(), batch["exits"].to_pylist(), strict=True):
+                place = 0 if new else place
+                starts.append(place)
+                place = _through(at, exits, place, limit)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*keys, "__window")), pa.array(starts, pa.int64())], names=[*keys, "__window", "start"])
 
     return run
 
 
-def _starts(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Where the last piece begins before each window: keys, ``__window`` and ``start``.
+def _dealt(rows: DataFrame, keys: list[str], flag: str, *block: str) -> DataFrame:
+    """Rows by key and block in the order of windows; those without ``flag`` come before the window they name."""
+    return rows.repartition(*keys, *block).sortWithinPartitions(*keys, "__window", F.col(flag).isNotNull())
 
-    Maps are dealt by key and block of ``FAN_IN`` windows and walked in order, many keys in a task: once to join each block's, once over
-    the blocks of a key, and once from where each block is entered.
+
+def _entries(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Where the last piece begins before each block of ``FAN_IN`` windows: keys, ``__window`` (the block's first) and ``begin``.
+
+    Maps are walked in order, many keys in a task: once to join each block's, and once over the blocks of a key.
     """
     head = [found.schema[k] for k in keys] + [T.StructField("__window", T.LongType())]
     exit_schema = T.StructType([*head, T.StructField("begin", T.LongType()), T.StructField("exits", T.BinaryType())])
     start_schema = T.StructType([*head, T.StructField("start", T.LongType())])
 
     def reduced(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             exits = [_exits(row, limit) for row in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[k] for k in (*keys, "__window", "begin")), pa.array(exits, pa.binary())], names=exit_schema.names)
 
-    def dealt(maps: DataFrame, *block: str) -> DataFrame:
-        return maps.repartition(*keys, *block).sortWithinPartitions(*keys, "__window", F.col("exits").isNotNull())
-
-    windows = cut(found.mapInArrow(reduced, exit_schema))
-    number = F.expr(f"__window div {FAN_IN}")
-    blocks = dealt(windows.withColumn("__block", number), "__block").mapInArrow(_joiner(keys, limit), exit_schema)
-    entered = dealt(blocks).mapInArrow(_follower(keys, limit), start_schema)
-    begun = entered.select(*keys, (F.col("__window") * FAN_IN).alias("__window"), F.col("start").alias("begin"), F.lit(None).cast("binary").alias("exits"))
-    return dealt(windows.unionByName(begun).withColumn("__block", number), "__block").mapInArrow(_follower(keys, limit), start_schema)
+    windows = found.mapInArrow(reduced, exit_schema).withColumn("__block", F.expr(f"__window div {FAN_IN}"))
+    blocks = _dealt(windows, keys, "exits", "__block").mapInArrow(_joiner(keys, limit), exit_schema)
+    entered = _dealt(blocks, keys, "exits").mapInArrow(_follower(keys, limit), start_schema)
+    return entered.select(*keys, (F.col("__window") * FAN_IN).alias("__window"), F.col("start").alias("begin"))
 
 
 def stream_records(
@@ -288,24 +283,24 @@ def stream_records(
     out_schema = T.StructType([*(found.schema[k] for k in keys), *T.StructType.fromDDL("start long, end long, label string")])
 
     def follow(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, out = [], []
-
-            def made() -> pa.RecordBatch:
-                fixed = batch.select(keys).take(pa.array(rows, pa.int64()))
-                columns = zip(*out, strict=True) if out else ([], [], [])
-                parts = (pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))
-                return pa.RecordBatch.from_arrays([*(fixed[k] for k in keys), *parts], names=out_schema.names)
-
+        place = 0
+        for batch in _steps(batches):
+            rows: list[int] = []
+            out: list[tuple[int, int, str]] = []
             for i, row in enumerate(batch.select([c for c in batch.schema.names if c not in keys]).to_pylist()):
-                _walk(_events(row), row["start"], max_bytes, row["begin"], row["begin"] + row["size"], out)
+                if row["size"] is None:
+                    # A block is entered here.
+                    place = row["begin"]
+                    continue
+                place = _walk(_events(row), place, max_bytes, row["begin"], row["begin"] + row["size"], out)
                 rows += [i] * (len(out) - len(rows))
-                if len(out) > STEP_ROWS:
-                    yield made()
-                    rows, out = [], []
-            yield made()
+            fixed = batch.select(keys).take(pa.array(rows, pa.int64()))
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            parts = (pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))
+            yield pa.RecordBatch.from_arrays([*(fixed[k] for k in keys), *parts], names=out_schema.names)
 
-    rows = found.join(_starts(found, keys, max_bytes), [*keys, "__window"]).mapInArrow(follow, out_schema)
+    walked = found.unionByName(_entries(found, keys, max_bytes), allowMissingColumns=True).withColumn("__block", F.expr(f"__window div {FAN_IN}"))
+    rows = _dealt(walked, keys, "size", "__block").mapInArrow(follow, out_schema)
     ranked = scan(cut(rows), keys, "start", {"ordinal": row_number()}, span=POSITIONS)
     return ranked.select(*keys, (F.col("ordinal") - 1).alias("ordinal"), "start", "end", "label")
 

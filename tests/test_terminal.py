@@ -75,7 +75,7 @@ def test_records_of_any_block(spark, monkeypatch, chunk, window, limit, fan):
         assert all(bytes(r["value"]) == given[r["s"]][1][r["start"] : r["end"]] for r in values)
 
 
-@pytest.mark.parametrize(("window", "limit", "fan", "rows", "step"), [(4, 8, 3, 3, 5), (2, 5, 2, 7, 1), (6, 40, 4, 1, 65_536)])
+@pytest.mark.parametrize(("window", "limit", "fan", "rows", "step"), [(4, 8, 3, 3, 2), (2, 5, 2, 7, 3), (6, 40, 4, 1, 256)])
 def test_starts_are_walked_in_order_without_a_group_for_each_stream(spark, monkeypatch, window, limit, fan, rows, step):
     monkeypatch.setattr(terminal, "FAN_IN", fan)
     monkeypatch.setattr(terminal, "STEP_ROWS", step)
