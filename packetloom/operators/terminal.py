@@ -4,7 +4,7 @@ Where a line or a control byte ends a record depends on two neighbouring bytes a
 before: where a piece reaches the length limit, and whether a prompt's colon still stands in the piece that a segment ends.
 Both follow from the place where the last piece began, modulo the limit.  So a stream is cut into windows by position, each
 window is reduced to the map from that place before it to the place after it, the maps are joined ``FAN_IN`` at a time, and
-every window is then walked once from its own start.  A window travels as one narrow row of break positions; payload is
+the windows of a block are then walked once in order.  A window travels as one narrow row of break positions; payload is
 read once.
 """
 
