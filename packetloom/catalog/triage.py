@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from packetloom.catalog.registry import query
 from packetloom.catalog.streams import BYTES_SQL, MAIL_SQL, ledgers, mail_chunks
 from packetloom.operators import content, decode, rank, reassembly, records, sequence, signatures
+from packetloom.operators.ordered import lag, running_count, scan
 from packetloom.session import cut
 from packetloom.views import table, view
 
 # Bodies of pages; some hold a second file behind the text, and those that are cut short yield no whole file.
 BODY_SQL = """concat(html, CASE page_id % 3 WHEN 0 THEN concat('PK', chr(3), chr(4), page_id) WHEN 1 THEN '%PDF-1.7 end' ELSE '' END)"""
-# Blocks of even streams come without losses and altered copies; the other transfers stay partial or in conflict.
+# Every packet of every stream is sent.  Even streams number what they send without losses, an altered copy as a block of its own; odd streams
+# keep the numbers of the capture and stay partial or in conflict.
 TRIAGE_SQL = BYTES_SQL + MAIL_SQL.replace("WITH ended", ", ended", 1) + f""",
  bodies AS (SELECT page_id, {BODY_SQL} AS body, page_id % 13 <> 0 AS filled, page_id % 13 <> 0 AND page_id % 17 <> 0 AS whole FROM pages),
  tcp AS (SELECT stream_index, (n - 1) // 65536 AS block_no, string_agg(ob, '' ORDER BY n) AS d FROM (SELECT *, row_number() OVER (PARTITION BY stream_index ORDER BY pos) AS n FROM owner) GROUP BY 1, 2),
- sent AS (SELECT stream_index, payload, CASE WHEN stream_index % 2 = 0 THEN true_seq - (true_seq + 6) // 10 ELSE true_seq END AS block FROM seq_packets WHERE stream_index % 2 = 1 OR payload <> 'altered'),
+ sent AS (SELECT stream_index, frame_number, payload, CASE WHEN stream_index % 2 = 0 THEN dense_rank() OVER (PARTITION BY stream_index ORDER BY true_seq, payload = 'altered') ELSE true_seq END AS block FROM seq_packets),
+ copies AS (SELECT *, row_number() OVER w AS nth, first_value(payload) OVER w AS fp FROM sent WINDOW w AS (PARTITION BY stream_index, block ORDER BY frame_number)),
+ settled AS (SELECT stream_index, stream_index % 10 <> 0 AND count(*) FILTER (payload <> fp) = 0 AND min(block) = 1 AND max(block) = count(*) FILTER (nth = 1) AND arg_max(strlen(fp), block) < 64 AS unbroken FROM copies GROUP BY 1),
  evidence AS (
   SELECT 'http-body' AS source_kind, CAST(page_id AS VARCHAR) AS source_id, sha256(body) AS content_hash, strlen(body) AS byte_length, filled AS complete, CAST(NULL AS VARCHAR) AS parent_id FROM bodies
   UNION ALL SELECT 'transform', concat(doc_id, ':1'), CASE doc_id % 3 WHEN 0 THEN sha256(hex(text)) ELSE sha256(text) END, CASE doc_id % 3 WHEN 0 THEN 2 ELSE 1 END * strlen(text), TRUE, concat(doc_id, ':0')
@@ -26,18 +30,19 @@ TRIAGE_SQL = BYTES_SQL + MAIL_SQL.replace("WITH ended", ", ended", 1) + f""",
   UNION ALL SELECT 'file-carve', concat(page_id, ':', strpos_, ':', CASE page_id % 3 WHEN 0 THEN 'zip' ELSE 'pdf' END), sha256(tail), strlen(tail), whole, CAST(page_id AS VARCHAR)
     FROM (SELECT *, strlen(html_) AS strpos_, substr(body, length(html_) + 1) AS tail FROM (SELECT b.*, p.html AS html_ FROM bodies b JOIN pages p USING (page_id))) WHERE page_id % 3 < 2
   UNION ALL SELECT 'tcp-stream', concat(stream_index, ':', block_no), sha256(d), strlen(d), TRUE, NULL FROM tcp
-  UNION ALL SELECT 'tftp-data', concat(stream_index, ':', block), sha256(any_value(payload)), strlen(any_value(payload)), stream_index % 2 = 0 AND stream_index % 10 <> 0, CAST(stream_index AS VARCHAR)
-    FROM sent WHERE stream_index % 2 = 0 GROUP BY stream_index, block
+  UNION ALL SELECT 'tftp-data', concat(stream_index, ':', block), sha256(fp), strlen(fp), unbroken, CAST(stream_index AS VARCHAR) FROM copies JOIN settled USING (stream_index) WHERE nth = 1
   UNION ALL SELECT 'smtp-message', concat(conv_id, ':', row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1), sha256(concat('.', replace(text, chr(10), chr(13) || chr(10) || '.'), chr(13) || chr(10), CASE WHEN cut THEN COALESCE(rest, '') ELSE '' END)),
     strlen(concat('.', replace(text, chr(10), chr(13) || chr(10) || '.'), chr(13) || chr(10), CASE WHEN cut THEN COALESCE(rest, '') ELSE '' END)), NOT cut, CAST(conv_id AS VARCHAR) FROM placed WHERE role = 'user'),
  usable AS (SELECT * FROM evidence WHERE complete AND byte_length > 0) """
 
 
 def transfers(spark, sf) -> DataFrame:
-    """Blocks of each transfer with the transfer's status; odd streams are left to their own query."""
-    even = view(spark, sf, "seq_packets").where("stream_index % 2 = 0 AND payload <> 'altered'")
-    packets = even.withColumn("seq", F.expr("CAST((true_seq - (true_seq + 6) div 10) % 65536 AS INT)"))
-    stream = F.col("stream_index")
+    """Blocks of each transfer with the transfer's status, from all packets of all streams."""
+    stream, sent = F.col("stream_index"), F.struct("true_seq", "payload")
+    marked = scan(view(spark, sf, "seq_packets"), ["stream_index"], "frame_number", {"before": lag(sent)})
+    numbered = scan(marked.withColumn("new", ~sent.eqNullSafe(F.col("before"))), ["stream_index"], "frame_number", {"nth": running_count(F.col("new"))})
+    block = F.when(stream % 2 == 0, F.col("nth")).otherwise(F.col("true_seq"))
+    packets = cut(numbered.select("stream_index", "frame_number", (block % sequence.MODULUS).cast("int").alias("seq"), "payload"))
     sessions = packets.select("stream_index").distinct().select(
         "stream_index", F.lit(64).alias("block_size"), F.lit(1069).alias("server_port"), F.when(stream % 10 == 0, 2).alias("error_code"))
     blocks, status = sequence.reassemble_blocks(packets, sessions, ["stream_index"], "frame_number", "payload")
